@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from cohortwarn.functions import ratio
-from cohortwarn.operators.clean import TASK_EXCLUDES, complete, drop_missing, drop_strict, is_missing, not_in
+from cohortwarn.operators.clean import TASK_EXCLUDES, complete, drop_missing, drop_strict, is_missing, not_in, relabel
 from cohortwarn.operators.dedup import first_per_key
 from cohortwarn.operators.factors import engagement_factors
 from cohortwarn.operators.ranks import quantiles
+from cohortwarn.sources.dictionary import VARIABLE_LABELS
 from cohortwarn.sources.tables import read_cohort, read_snapshot
 
 
@@ -52,6 +53,10 @@ def column_coverage(df: DataFrame, table: str, exclude: Iterable[str] = ("id", "
     return counts.select(F.inline(pairs), F.lit(table).alias("table_name"))
 
 
+def relabel_coverage(report: DataFrame) -> DataFrame:
+    return relabel(report, "variable", VARIABLE_LABELS)
+
+
 def append_tables(tables: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), tables)
 
@@ -258,5 +263,5 @@ def attrition_funnel(
 __all__ = [
     "append_tables", "attrition_counts", "attrition_funnel", "column_coverage", "corr_matrix",
     "crosstab", "describe_by", "except_distinct", "fail_counts", "group_means", "histogram_by",
-    "label_counts", "numeric_columns", "pair_bins", "retention", "top_k",
+    "label_counts", "numeric_columns", "pair_bins", "relabel_coverage", "retention", "top_k",
 ]
