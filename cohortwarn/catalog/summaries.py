@@ -9,6 +9,7 @@ from cohortwarn.operators import hypotheses, summary
 from cohortwarn.operators.clean import drop_missing
 from cohortwarn.operators.dedup import first_per_key
 from cohortwarn.plans.tables import FACTORS, pair_table, snapshot_factors
+from cohortwarn.session import stable
 from cohortwarn.sources import cohort_tables, load, read_cohort
 
 _FAILS = "select course, count(student_id) as n_students from grades where grade = 'F' group by course"
@@ -126,6 +127,7 @@ _DESCRIBED = ("mean", "std", "q25", "q50", "q75")
 def describe_by_class(spark, path):
     t = cohort_tables(spark, path)
     rows = t.grades.join(t.absence.select("student_id", "course", "lesson_time"), ["student_id", "course"])
+    rows = stable(rows.select("grade", "lesson_time"))
     return rounded(summary.describe_by(rows, "grade", "lesson_time"), *_DESCRIBED)
 
 

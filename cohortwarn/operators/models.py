@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Mapping, Sequence
 from itertools import product
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
@@ -123,7 +124,14 @@ def bag_count(seed: int | str, tree: int, key: Column) -> Column:
 
 
 def oob_predictions(
-    df: DataFrame, key: str, features: Sequence[str], label: str, trees: int = 20, seed: int = 42, **params
+    df: DataFrame,
+    key: str,
+    features: Sequence[str],
+    label: str,
+    trees: int = 20,
+    seed: int = 42,
+    parallelism: int = 4,
+    **params,
 ) -> DataFrame:
     """Mean class-1 probability per row over the trees that did not see it: ``key, label, prediction``.
 
@@ -133,13 +141,18 @@ def oob_predictions(
     vote and are left out.
     """
     rows = stable(assemble(df.select(key, *features, label), features, label).select(key, FEATURES, LABEL))
-    scored = rows.withColumn("_for", F.lit(0.0)).withColumn("_votes", F.lit(0.0))
-    for t in range(trees):
-        count = bag_count(seed, t, F.col(key))
+    bags = [bag_count(seed, t, F.col(key)) for t in range(trees)]
+
+    def fit(t: int):
         one = forest_classifier(trees=1, bootstrap=False, seed=seed + t, **params).setWeightCol("_w")
-        model = one.fit(rows.withColumn("_w", count).filter(F.col("_w") > 0))
-        model.setProbabilityCol("_p").setPredictionCol("").setRawPredictionCol("")
-        out = (count == 0).cast("double")
+        model = one.fit(rows.withColumn("_w", bags[t]).filter(F.col("_w") > 0))
+        return model.setProbabilityCol("_p").setPredictionCol("").setRawPredictionCol("")
+
+    with ThreadPool(parallelism) as pool:
+        models = pool.map(fit, range(trees))
+    scored = rows.withColumn("_for", F.lit(0.0)).withColumn("_votes", F.lit(0.0))
+    for bag, model in zip(bags, models, strict=True):
+        out = (bag == 0).cast("double")
         scored = (
             model.transform(scored)
             .withColumn("_votes", F.col("_votes") + out)

@@ -32,6 +32,7 @@ from cohortwarn.session import stable
 LEAF_ROWS = 4096
 MAX_LEAVES = 16_384
 SAMPLE_PER_LEAF = 16
+SAMPLE_ROWS = 4096
 VISITORS = 8192
 _BLOCK = 256
 
@@ -202,8 +203,8 @@ def nearest_neighbours(
         placed = points.withColumn("_leaf", F.lit(0))
         targets = wanted.withColumn("_leaf", F.lit(0))
     else:
-        share = leaves * SAMPLE_PER_LEAF / n
-        # Bounded: at most MAX_LEAVES * SAMPLE_PER_LEAF points on average.
+        # Bounded: about MAX_LEAVES * SAMPLE_PER_LEAF points at most.
+        share = max(leaves * SAMPLE_PER_LEAF, SAMPLE_ROWS) / n
         sample = points.filter(hash_unit("leaf", F.col("_key")) < F.lit(min(1.0, share))).select("_vec").toPandas()
         tree = np.stack(sample["_vec"].to_numpy()) if len(sample) else np.zeros((1, len(features)))
         leaf = _leaf_udf(_cut_tree(tree, leaves))

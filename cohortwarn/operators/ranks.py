@@ -17,10 +17,6 @@ _BUCKET_DIGITS = 4
 _ACCURACY = 100_000
 
 
-def _same(pairs: Sequence[tuple[Column, Column]]) -> Column:
-    return reduce(lambda a, b: a & b, [x.eqNullSafe(y) for x, y in pairs])
-
-
 def _hashed(df: DataFrame, key: Sequence[str], seed: int | str) -> DataFrame:
     h = hash_hex(seed, *[F.col(k) for k in key])
     return df.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, _BUCKET_DIGITS))
@@ -46,7 +42,9 @@ def hash_rank(
     )
     inside = Window.partitionBy(*by, "_b").orderBy("_h", *key)
     ranked = rows.withColumn("_rn", F.row_number().over(inside))
-    on = _same([(F.col(c), F.col(f"_o_{c}")) for c in by] + [(F.col("_b"), F.col("_o_b"))])
+    on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_o_{c}")) for c in by], F.col("_b") == F.col("_o_b"))
+    if not by:
+        offsets = F.broadcast(offsets)  # at most 16 ** _BUCKET_DIGITS rows
     return ranked.join(offsets, on).select(
         *df.columns, (F.col("_before") + F.col("_rn") - 1).cast("long").alias(name)
     )
@@ -74,25 +72,23 @@ def mark_split(
     upto = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     total = counts.agg(F.sum("_n")).scalar()
     size = F.floor(total * F.lit(train)) if train is not None else total - F.ceil(total * F.lit(test))
-    cumulative = counts.select("_b", "_n", F.sum("_n").over(upto).alias("_upto"), size.alias("_size"))
-    edge = cumulative.filter((F.col("_upto") >= F.col("_size")) & (F.col("_upto") - F.col("_n") < F.col("_size")))
-    edge = edge.select("_b", (F.col("_size") - F.col("_upto") + F.col("_n")).alias("_need"))
+    buckets = counts.select("_b", "_n", F.sum("_n").over(upto).alias("_upto"), size.alias("_size"))
+    holds_cut = (F.col("_upto") >= F.col("_size")) & (F.col("_upto") - F.col("_n") < F.col("_size"))
+    need = F.col("_size") - F.col("_upto") + F.col("_n")
+    edge = buckets.filter(holds_cut).select(F.struct("_b", need.alias("need"))).scalar()
     point = F.struct("_h", *key)
-    in_edge = (
-        rows.join(edge, "_b").groupBy("_need", "_h", *key).agg(F.count(F.lit(1)).alias("_n"))
-        .select("_need", point.alias("_p"), "_n")
-    )
-    running = Window.partitionBy("_need").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
+    # One bucket of rows, repeated keys already counted together.
+    in_edge = rows.filter(F.col("_b") == edge["_b"]).groupBy("_b", "_h", *key).agg(F.count(F.lit(1)).alias("_n"))
+    running = Window.partitionBy("_b").orderBy("_h", *key).rowsBetween(Window.unboundedPreceding, 0)
     cut = (
         in_edge.withColumn("_run", F.sum("_n").over(running))
-        .filter(F.col("_run") <= F.col("_need"))
-        .agg(F.max("_p"))
+        .filter(F.col("_run") <= edge["need"])
+        .agg(F.max(point))
         .scalar()
     )
-    # An edge bucket whose first key already overshoots (repeated keys) gives no
-    # cut point; everything before the bucket is then the training part.
-    edge_bucket = edge.agg(F.max("_b")).scalar()
-    is_train = F.coalesce(point <= cut, F.col("_b") < edge_bucket, F.lit(False))
+    # If the first key of the bucket already overshoots (repeated keys) there is
+    # no cut point, and the training part ends before the bucket.
+    is_train = F.coalesce(point <= cut, F.col("_b") < edge["_b"], F.lit(False))
     return rows.withColumn(name, is_train.cast("int")).drop("_h", "_b")
 
 
@@ -148,36 +144,36 @@ def _bracketed(rows: DataFrame, by: list[str], probs: Sequence[float]) -> DataFr
     """
     eps = 2.0 / _ACCURACY
     cuts = [F.lit(min(1.0, max(0.0, p + d))) for p in probs for d in (-eps, eps)]
-    sketch = rows.groupBy(*by).agg(
-        F.count("_v").alias("_n"), F.percentile_approx("_v", F.array(*cuts), _ACCURACY).alias("_q")
-    )
-    wanted = F.array(*[
-        F.struct(F.lit(p).alias("prob"), F.col("_q")[2 * i].alias("_lo"), F.col("_q")[2 * i + 1].alias("_hi"))
-        for i, p in enumerate(probs)
-    ])
-    goals = sketch.select(*by, "_n", F.inline(wanted)).withColumn("_at", F.col("prob") * (F.col("_n") - 1))
-    placed = (
-        rows.join(goals, by)
-        .groupBy(*by, "prob", "_n", "_at", "_lo", "_hi")
-        .agg(F.count_if(F.col("_v") < F.col("_lo")).alias("_below"), F.count_if(F.col("_v") <= F.col("_hi")).alias("_upto"))
-    )
-    hit = (F.col("_below") <= F.floor("_at")) & (F.col("_upto") > F.ceil("_at"))
-    ranges = placed.select(
-        *by, "prob", "_at",
-        F.when(hit, F.col("_lo")).otherwise(F.lit(float("-inf"))).alias("_lo"),
-        F.when(hit, F.col("_hi")).otherwise(F.lit(float("inf"))).alias("_hi"),
-        F.when(hit, F.col("_below")).otherwise(F.lit(0)).alias("_below"),
-    )
+    goals = rows.groupBy(*by).agg(
+        F.count("_v").alias("_n"), F.percentile_approx("_v", F.array(*cuts), _ACCURACY).alias("_q"))
+    v, q = F.col("_v"), F.col("_q")
+    places = [F.struct(F.count_if(v < q[2 * i]).alias("below"), F.count_if(v <= q[2 * i + 1]).alias("upto"))
+              for i in range(len(probs))]
+    placed = rows.join(goals, by).groupBy(*by, "_n", "_q").agg(F.array(*places).alias("_p"))
+
+    def bracket(i: int, prob: float) -> Column:
+        at = F.lit(prob) * (F.col("_n") - 1)
+        place = F.col("_p")[i]
+        hit = (place["below"] <= F.floor(at)) & (place["upto"] > F.ceil(at))
+        return F.struct(
+            F.lit(prob).alias("prob"), at.alias("at"),
+            F.when(hit, q[2 * i]).otherwise(F.lit(float("-inf"))).alias("lo"),
+            F.when(hit, q[2 * i + 1]).otherwise(F.lit(float("inf"))).alias("hi"),
+            F.when(hit, place["below"]).otherwise(F.lit(0)).alias("below"),
+        )
+
+    ranges = placed.select(*by, F.array(*[bracket(i, p) for i, p in enumerate(probs)]).alias("_r"))
+    inside = F.filter("_r", lambda r: (v >= r["lo"]) & (v <= r["hi"]))
     near = (
         rows.join(ranges, by)
-        .filter((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
-        .groupBy(*by, "prob", "_at", "_below", "_v")
+        .select(*by, "_v", F.inline(inside))
+        .groupBy(*by, "prob", "at", "below", "_v")
         .agg(F.count(F.lit(1)).alias("_c"))
     )
     upto = Window.partitionBy(*by, "prob").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.col("_below") + F.col("_cum") - 1
-    low, high = (F.min(F.when(last >= f("_at"), F.col("_v"))) for f in (F.floor, F.ceil))
-    share = F.first(F.col("_at") - F.floor("_at"))
+    last = F.col("below") + F.col("_cum") - 1
+    low, high = (F.min(F.when(last >= f("at"), v)) for f in (F.floor, F.ceil))
+    share = F.first(F.col("at") - F.floor("at"))
     return (
         near.withColumn("_cum", F.sum("_c").over(upto))
         .groupBy(*by, "prob")

@@ -18,7 +18,7 @@ from cohortwarn.operators.models import (
     predict,
     tree_rules,
 )
-from cohortwarn.operators.ranks import split
+from cohortwarn.operators.ranks import mark_split
 from cohortwarn.operators.smote import borderline_smote2, smote
 from cohortwarn.operators.summary import append_tables, column_coverage, relabel_coverage
 from cohortwarn.plans.tables import Cohort, coverage_parts, task
@@ -43,8 +43,9 @@ class Study:
         seed: int = 42,
     ):
         self.key, self.label, self.features, self.seed = key, label, list(features), seed
-        self.table = stable(table.select(key, *features, label))
-        self.train, self.test = (stable(p) for p in split(self.table, [key], None if test else train, test, seed))
+        rows = stable(table.select(key, *features, label))
+        marked = stable(mark_split(rows, [key], None if test else train, test, seed))
+        self.train, self.test = (marked.filter(F.col("is_train") == v).drop("is_train") for v in (1, 0))
 
     def forest(self, features: Sequence[str] | None = None, train: DataFrame | None = None, **params):
         rows = self.train if train is None else train

@@ -7,9 +7,9 @@ text below is the same data model for an independent engine.
 
 from __future__ import annotations
 
-from types import SimpleNamespace
+from functools import cached_property
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortwarn.sources.tables import load
@@ -60,49 +60,67 @@ def _pick(remainder, values):
     return expr
 
 
-def cohort_tables(spark: SparkSession, path: str) -> SimpleNamespace:
-    orders, lines = load(spark, path, "orders"), load(spark, path, "lineitem")
-    customers, events = load(spark, path, "customer"), load(spark, path, "events")
-    c = F.col
-    grades = orders.select(
-        c("o_orderkey").alias("id"),
-        c("o_custkey").alias("student_id"),
-        c("o_orderpriority").alias("course"),
-        _pick(c("o_orderkey") % 7, _GRADES).alias("grade"),
-    )
-    absence = lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(
-        c("o_custkey").alias("student_id"),
-        c("o_orderpriority").alias("course"),
-        F.year("l_shipdate").alias("school_year"),
-        c("l_extendedprice").alias("lesson_time"),
-        F.when(c("l_linenumber") != 7, c("l_quantity")).alias("absence_time"),
-        c("l_orderkey").alias("order_id"),
-        c("l_linenumber").alias("line_no"),
-        c("l_partkey").alias("part_id"),
-        c("l_suppkey").alias("supplier_id"),
-    )
-    diagnostics = customers.select(
-        c("c_custkey").alias("student_id"),
-        F.when(c("c_custkey") % 10 != 0, c("c_acctbal")).alias("math_score"),
-        F.when(c("c_custkey") % 13 == 0, F.lit("NULL"))
-        .otherwise(F.concat((c("c_custkey") % 101).cast("string"), F.lit("%")))
-        .alias("english_total"),
-    )
-    activity = events.select(
-        c("event_id").alias("id"),
-        c("user_id").alias("student_id"),
-        F.concat(c("event_type"), F.lit("-"), _pick(c("user_id") % 3, _CLASSES)).alias("course"),
-        c("ts").cast("date").alias("snapshot_date"),
-        F.floor("value").cast("int").alias("page_views"),
-        (c("event_id") % 5).cast("int").alias("participations"),
-        (c("event_id") % 4).cast("int").alias("missing"),
-        (c("event_id") % 7).cast("int").alias("on_time"),
-        (c("event_id") % 3).cast("int").alias("late"),
-    )
-    return SimpleNamespace(
-        grades=grades,
-        absence=absence,
-        diagnostics=diagnostics,
-        activity=activity,
-        students=customers.select(c("c_custkey").alias("student_id")),
-    )
+class CohortTables:
+    """The cohort views; a table is opened when its view is first asked for."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._open = lambda name: load(spark, path, name)
+
+    @cached_property
+    def grades(self) -> DataFrame:
+        c = F.col
+        return self._open("orders").select(
+            c("o_orderkey").alias("id"),
+            c("o_custkey").alias("student_id"),
+            c("o_orderpriority").alias("course"),
+            _pick(c("o_orderkey") % 7, _GRADES).alias("grade"),
+        )
+
+    @cached_property
+    def absence(self) -> DataFrame:
+        c = F.col
+        lines, orders = self._open("lineitem"), self._open("orders")
+        return lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(
+            c("o_custkey").alias("student_id"),
+            c("o_orderpriority").alias("course"),
+            F.year("l_shipdate").alias("school_year"),
+            c("l_extendedprice").alias("lesson_time"),
+            F.when(c("l_linenumber") != 7, c("l_quantity")).alias("absence_time"),
+            c("l_orderkey").alias("order_id"),
+            c("l_linenumber").alias("line_no"),
+            c("l_partkey").alias("part_id"),
+            c("l_suppkey").alias("supplier_id"),
+        )
+
+    @cached_property
+    def diagnostics(self) -> DataFrame:
+        key = F.col("c_custkey")
+        share = F.concat((key % 101).cast("string"), F.lit("%"))
+        return self._open("customer").select(
+            key.alias("student_id"),
+            F.when(key % 10 != 0, F.col("c_acctbal")).alias("math_score"),
+            F.when(key % 13 == 0, F.lit("NULL")).otherwise(share).alias("english_total"),
+        )
+
+    @cached_property
+    def activity(self) -> DataFrame:
+        c = F.col
+        return self._open("events").select(
+            c("event_id").alias("id"),
+            c("user_id").alias("student_id"),
+            F.concat(c("event_type"), F.lit("-"), _pick(c("user_id") % 3, _CLASSES)).alias("course"),
+            c("ts").cast("date").alias("snapshot_date"),
+            F.floor("value").cast("int").alias("page_views"),
+            (c("event_id") % 5).cast("int").alias("participations"),
+            (c("event_id") % 4).cast("int").alias("missing"),
+            (c("event_id") % 7).cast("int").alias("on_time"),
+            (c("event_id") % 3).cast("int").alias("late"),
+        )
+
+    @cached_property
+    def students(self) -> DataFrame:
+        return self._open("customer").select(F.col("c_custkey").alias("student_id"))
+
+
+def cohort_tables(spark: SparkSession, path: str) -> CohortTables:
+    return CohortTables(spark, path)
