@@ -124,7 +124,7 @@ def _search(k: int):
                     "_tag": hit["_tag"].to_numpy(), "_nvec": hit["_vec"].to_numpy(),
                 }))
         if not out:
-            return pd.DataFrame({"_vec": [], "_d2": [], "_key": [], "_tag": [], "_nvec": []})
+            return pd.DataFrame(columns=["_vec", "_d2", "_key", "_tag", "_nvec"], dtype=object)
         return pd.concat(out, ignore_index=True)
 
     return run

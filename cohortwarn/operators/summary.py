@@ -167,7 +167,8 @@ def describe_by(df: DataFrame, by: str, col: str) -> DataFrame:
 
 def _bin(v: Column, lo: Column, hi: Column, bins: int) -> Column:
     """0-based equal-width bin; the top edge belongs to the last bin."""
-    return F.least(F.floor((v - lo) / (hi - lo) * bins), F.lit(bins - 1)).cast("int")
+    at = F.least(F.floor((v - lo) / (hi - lo) * bins), F.lit(bins - 1)).cast("int")
+    return F.when(v.isNotNull(), at)  # least() alone would skip the null
 
 
 def _edges(lo: Column, hi: Column) -> tuple[Column, Column]:
