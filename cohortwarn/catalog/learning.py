@@ -189,31 +189,89 @@ def borderline_smote_rows(spark, path):
     return rounded(smote.borderline_smote2(rows, "row_id", FEATURES, "label"), *FEATURES)
 
 
-_STUMP_SQL = SCORES_SQL + """
-, v as (select distinct english_total as x from ef)
-, cuts as (select x, lead(x) over (order by x) as nx from v)
-, cand as (select (x + nx) / 2.0 as threshold from cuts where nx is not null)
-, sides as (select threshold, count(*) filter (english_total <= threshold) as nl,
-    count(*) filter (english_total <= threshold and label = 0) as l0, count(*) as n, count(*) filter (label = 0) as n0
-  from cand, ef group by threshold)
-, gini as (select threshold, n0, n, l0, nl,
-    (nl / n) * (1 - (l0 / nl) * (l0 / nl) - (1 - l0 / nl) * (1 - l0 / nl))
-    + ((n - nl) / n) * (1 - ((n0 - l0) / (n - nl)) * ((n0 - l0) / (n - nl)) - (1 - (n0 - l0) / (n - nl)) * (1 - (n0 - l0) / (n - nl)))
-    as impurity from sides)
-, best as (select * from gini order by impurity, threshold limit 1)
-select row_id, case when english_total <= threshold then case when l0 * 2 >= nl then 0.0 else 1.0 end
-  else case when (n0 - l0) * 2 >= n - nl then 0.0 else 1.0 end end::double as prediction from ef, best
+def bag_sql(tree: int, seed: int = 42) -> str:
+    """How often a row is in the bag of a tree."""
+    u = unit_sql(f"{seed}bag{tree}", "row_id")
+    return "(" + " + ".join(f"(case when {u} >= {b!r} then 1 else 0 end)" for b in models.bag_bounds()) + ")::double"
+
+
+def stump_sql(name: str, rows: str, x: str, weight: str = "1.0::double") -> str:
+    """The best single gini cut of a whole-number feature: ``<name>_best`` with class-1 shares of both sides."""
+
+    def gini(zero: str, every: str) -> str:
+        return f"(1 - ({zero} / {every}) * ({zero} / {every}) - (1 - {zero} / {every}) * (1 - {zero} / {every}))"
+
+    return f""", {name}_rows as (select {x} as x, label, {weight} as wt from {rows} where {weight} > 0)
+, {name}_v as (select distinct x from {name}_rows)
+, {name}_cuts as (select (x + lead(x) over (order by x)) / 2.0 as cut from {name}_v)
+, {name}_sides as (select cut, sum(wt) filter (x <= cut) as wl, coalesce(sum(wt) filter (x <= cut and label = 0), 0) as l0,
+    sum(wt) as w, coalesce(sum(wt) filter (label = 0), 0) as w0
+  from {name}_cuts, {name}_rows where cut is not null group by cut)
+, {name}_best as (select cut, 1 - l0 / wl as p_left, 1 - (w0 - l0) / (w - wl) as p_right from {name}_sides
+  order by (wl / w) * {gini('l0', 'wl')} + ((w - wl) / w) * {gini('(w0 - l0)', '(w - wl)')}, cut limit 1)
 """
 
 
-@register(_STUMP_SQL, cohort=True)
-def tree_of_depth_one(spark, path):
+def stump_predicts(name: str, x: str) -> str:
+    return f"(case when case when {x} <= {name}_best.cut then p_left else p_right end > 0.5 then 1.0 else 0.0 end)::double"
+
+
+def stump(spark, path):
     """One split on a whole-number feature is exact, so SQL can name the same cut."""
     rows = score_table(spark, path, "EF")
-    model = models.fit_tree(rows, ["english_total"], "label", max_depth=1)
+    return rows, models.fit_tree(rows, ["english_total"], "label", max_depth=1)
+
+
+_STUMP_SQL = SCORES_SQL + stump_sql("s", "ef", "english_total")
+
+
+@register(_STUMP_SQL + f"select row_id, {stump_predicts('s', 'english_total')} as prediction from ef, s_best", cohort=True)
+def tree_of_depth_one(spark, path):
+    rows, model = stump(spark, path)
     return models.predict(model, rows).select("row_id", "prediction")
 
 
+@register(
+    _STUMP_SQL + f""", scored as (select grade, {stump_predicts('s', 'english_total')} as p from scores, s_best
+      where grade in ('A', 'B', 'C', 'D'))
+    select grade, count(*) filter (p = 0) as "F", count(*) filter (p = 1) as "P" from scored group by grade""", cohort=True)
+def higher_grades_by_stump(spark, path):
+    _, model = stump(spark, path)
+    return evaluate.higher_grade_check(model, early_warning(cohort_tables(spark, path), COHORT, activity=False))
+
+
+_SHUFFLED = " union all ".join(
+    f"""select avg(case when {stump_predicts('s', 'a.x')} = a.label then 1.0 else 0.0 end)
+      - avg(case when {stump_predicts('s', 'b.x')} = a.label then 1.0 else 0.0 end) as loss
+    from (select english_total as x, label, row_number() over (order by md5('42a{r}|' || row_id), row_id) as rk from ef) a
+    join (select english_total as x, row_number() over (order by md5('42b{r}|' || row_id), row_id) as rk from ef) b
+      using (rk), s_best""" for r in range(3))
+
+
+@register(
+    _STUMP_SQL + f""", drops as ({_SHUFFLED}) select 'english_total' as feature,
+    round(avg(loss), 6) as importance_mean, round(stddev_pop(loss), 6) as importance_std from drops""", cohort=True)
+def permutation_by_stump(spark, path):
+    rows, model = stump(spark, path)
+    out = models.permutation_importance(model, rows, "row_id", "label", repeats=3)
+    return rounded(out, "importance_mean", "importance_std")
+
+
+_OOB_TREES = 3
+
+
+@register(
+    SCORES_SQL + "".join(stump_sql(f"t{t}", "ef", "english_total", bag_sql(t)) for t in range(_OOB_TREES))
+    + ", votes as (" + " union all ".join(
+        f"""select row_id, label, case when english_total <= cut then p_left else p_right end as p
+        from ef, t{t}_best where {bag_sql(t)} = 0""" for t in range(_OOB_TREES))
+    + """) select row_id, label, case when sum(p) * 2 > count(*) then 1.0 else 0.0 end::double as prediction
+    from votes group by row_id, label""", cohort=True)
+def out_of_bag_stumps(spark, path):
+    rows = score_table(spark, path, "EF")
+    return models.oob_predictions(rows, "row_id", ["english_total"], "label", trees=_OOB_TREES, max_depth=1)
+
+
 @register()
 def decision_tree(spark, path):
     study = Study(score_table(spark, path, "EF"), FEATURES, test=0.2, seed=10)
@@ -238,9 +296,7 @@ def out_of_bag(spark, path):
 
 
 @register(
-    SCORES_SQL + "select row_id, " + ", ".join(
-        "(" + " + ".join(f"(case when {unit_sql(f'42bag{t}', 'row_id')} >= {b!r} then 1 else 0 end)" for b in models.bag_bounds()) + f")::double as bag_{t}" for t in range(3))
-    + " from pf", cohort=True)
+    SCORES_SQL + "select row_id, " + ", ".join(f"{bag_sql(t)} as bag_{t}" for t in range(3)) + " from pf", cohort=True)
 def bag_counts(spark, path):
     rows = score_table(spark, path)
     return rows.select("row_id", *[models.bag_count(42, t, F.col("row_id")).alias(f"bag_{t}") for t in range(3)])
