@@ -121,6 +121,23 @@ def correlation_study(spark, path):
     return rounded(summary.corr_matrix(rows, _CORR), "r")
 
 
+_CLASSES = ("view-A", "view-B", "click-A", "click-B")
+_CLASS_CORR = ["grade", "absence_time", "page_views", "participations", "missing", "on_time", "late"]
+
+
+@register(
+    f""", m as (select case g.grade when 'A' then 5 when 'B' then 4 when 'C' then 3 when 'D' then 2 when 'E' then 1
+        when 'F' then 0 end as grade, a.absence_time, page_views, participations, missing, on_time, late
+      from (select * from grades where course = '1-URGENT') g
+      join (select * from absence where course = '1-URGENT') a using (student_id)
+      join (select * from activity where course in {_CLASSES} and snapshot_date = date '2024-01-15') s using (student_id)) """
+    + corr_sql("m", _CLASS_CORR), cohort=True)
+def class_correlation(spark, path):
+    day = F.to_date(F.lit("2024-01-15"))
+    rows = tables.class_correlation_table(cohort_tables(spark, path), COHORT, _CLASSES, day)
+    return rounded(summary.corr_matrix(rows, _CLASS_CORR), "r")
+
+
 @register(PICKS_SQL + """select g.id as row_id, g.student_id, g.grade, a1.absence_time, a1.lesson_time, d.math_score
           from (select * from grades where course = '1-URGENT') g join a1 using (student_id)
           join diagnostics d using (student_id)""", cohort=True)

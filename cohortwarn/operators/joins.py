@@ -59,6 +59,7 @@ def cohort_features(
     Every side is reduced to one row per student before the joins, so nothing
     fans out.  ``scope='course'`` takes absence from the graded course only;
     ``scope='student'`` takes the student's first absence record of any course.
+    Where tables share other column names, the grade row's value is kept.
     """
     cohort = grades.filter(course_startswith(F.col(course), prefix, exact))
     g = first_per_key(cohort, [student], grade_order)
@@ -68,8 +69,10 @@ def cohort_features(
         a = absence
     else:
         raise ValueError(f"scope must be course or student, not {scope!r}")
-    a = first_per_key(a, [student], absence_order).drop(course)
+    a = first_per_key(a, [student], absence_order)
+    a = a.select(student, *[c for c in a.columns if c not in g.columns])
     d = diagnostics if diagnostics_order is None else first_per_key(diagnostics, [student], diagnostics_order)
+    d = d.select(student, *[c for c in d.columns if c not in {*g.columns, *a.columns}])
     return g.join(a, student).join(d, student)
 
 

@@ -16,14 +16,16 @@ from pyspark.sql import functions as F
 
 from cohortwarn.functions import encode_label, grade_binary
 from cohortwarn.operators.clean import (
+    TASK_EXCLUDES,
+    any_of,
     build_task,
     drop_missing,
     drop_sentinel,
     exclude_values,
+    grades_to_points,
     include_values,
     keep,
     parse_percent,
-    TASK_EXCLUDES,
 )
 from cohortwarn.operators.dedup import distinct_rows, first_per_key
 from cohortwarn.operators.factors import (
@@ -32,11 +34,16 @@ from cohortwarn.operators.factors import (
     engagement_factors,
     relative_factors,
 )
-from cohortwarn.operators.joins import build_student_table, cohort_features, join_suffixed, prior_grades
+from cohortwarn.operators.joins import build_student_table, cohort_features, prior_grades
 from cohortwarn.sources.tables import read_cohort, read_snapshot
 
 STUDENT = "student_id"
 FACTORS = (*VIEW_FACTORS, *TARDINESS_FACTORS)
+# Variables of the modelling tables; a source without one goes without.
+SCORES = ("math_score", "word_chains", "letter_chains", "sentence_chains", "english_total")
+ALL_SCORES = (*SCORES, "spelling")
+# Diagnostic columns left out of the correlation study.
+NOT_CORRELATED = ("id", "english_total", "english_vocabulary", "english_grammar", "english_reading", "dictation")
 
 
 @dataclass(frozen=True)
@@ -46,13 +53,18 @@ class Cohort:
     course: str
     prefix: str
     month_day: str
-    absence_order: Sequence[str | Column]
+    absence_order: Sequence[str | Column] = ("school_year", "id")
+    diagnostics_order: Sequence[str | Column] | None = None
     exact: bool = False
 
 
-def snapshot_factors(t, c: Cohort, stat: str = "median", tardiness_stat: str | None = None) -> DataFrame:
-    """Factors of the cohort's snapshot, every activity row kept."""
+def snapshot_factors(
+    t, c: Cohort, stat: str = "median", tardiness_stat: str | None = None, dedupe: bool = False
+) -> DataFrame:
+    """Factors of the cohort's snapshot; every activity row, or one per student with ``dedupe``."""
     rows = read_snapshot(t.activity, c.prefix, c.month_day, exact=c.exact)
+    if dedupe:
+        rows = first_per_key(rows, [STUDENT], ["id"])
     return engagement_factors(rows, stat=stat, tardiness_stat=tardiness_stat)
 
 
@@ -64,22 +76,36 @@ def single_activity(t, c: Cohort, stat: str = "mean") -> DataFrame:
 
 def _features(t, c: Cohort, scope: str) -> DataFrame:
     return cohort_features(
-        t.grades, t.absence, t.diagnostics, c.course, c.absence_order, scope=scope, exact=c.exact)
+        t.grades, t.absence, t.diagnostics, c.course, c.absence_order, scope=scope,
+        diagnostics_order=c.diagnostics_order, exact=c.exact)
+
+
+def _scores(t, c: Cohort) -> DataFrame:
+    """Diagnostics, one row per student where the cohort names an order."""
+    if c.diagnostics_order is None:
+        return t.diagnostics
+    return first_per_key(t.diagnostics, [STUDENT], c.diagnostics_order)
 
 
 def early_warning(
-    t, c: Cohort, scope: str = "course", activity: bool = True, factors: Sequence[str] = FACTORS
+    t,
+    c: Cohort,
+    scope: str = "course",
+    activity: bool = True,
+    factors: Sequence[str] = FACTORS,
+    variables: Sequence[str] = ("absence_time", *SCORES),
+    dedupe: bool = False,
 ) -> DataFrame:
     """Grade, absence, scores and, if wanted, relative activity; complete rows with parsed percentages."""
     base = _features(t, c, scope).withColumnRenamed("id", "grade_id")
     if activity:
-        act = snapshot_factors(t, c).select(F.col("id").alias("row_id"), STUDENT, *factors)
+        act = snapshot_factors(t, c, dedupe=dedupe).select(F.col("id").alias("row_id"), STUDENT, *factors)
         base = base.join(act, STUDENT)
     else:
         base = base.withColumn("row_id", F.col(STUDENT))
         factors = ()
-    kept = keep(base, ["row_id", STUDENT, "grade", "absence_time", "math_score", "english_total", *factors])
-    return parse_percent(kept, "english_total")
+    kept = keep(base, ["row_id", STUDENT, "grade", *variables, *factors])
+    return parse_percent(kept, "english_total") if "english_total" in kept.columns else drop_missing(kept)
 
 
 def early_warning_with_history(t, c: Cohort, courses: dict[str, str], activity: bool = True) -> DataFrame:
@@ -93,9 +119,9 @@ def all_variables(t, c: Cohort) -> DataFrame:
     grades = read_cohort(t.grades, c.course, exact=c.exact).select(STUDENT, "grade")
     absence = read_cohort(t.absence, c.course, exact=c.exact).select("absence_time", STUDENT)
     scores = parse_percent(drop_sentinel(t.diagnostics, "english_total"), "english_total", complete_rows=False)
-    act = snapshot_factors(t, c, tardiness_stat="mean")
-    joined = grades.join(absence, STUDENT).join(scores, STUDENT).join(act.drop("course"), STUDENT)
-    return keep(joined, [STUDENT, "grade", "absence_time", "math_score", "english_total", *FACTORS])
+    act = snapshot_factors(t, c, tardiness_stat="mean").select(STUDENT, *FACTORS)
+    joined = grades.join(absence, STUDENT).join(scores, STUDENT).join(act, STUDENT)
+    return keep(joined, [STUDENT, "grade", "absence_time", *ALL_SCORES, *FACTORS])
 
 
 def coverage_parts(t, c: Cohort) -> dict[str, DataFrame]:
@@ -103,13 +129,13 @@ def coverage_parts(t, c: Cohort) -> dict[str, DataFrame]:
     grades = first_per_key(read_cohort(t.grades, c.course, exact=c.exact), [STUDENT], ["id"])
     absence = read_cohort(t.absence, c.course, exact=c.exact).select("absence_time", STUDENT)
     with_absence = distinct_rows(grades.join(absence, STUDENT))
-    scores = distinct_rows(t.diagnostics)
+    scores = distinct_rows(t.diagnostics).drop("id")
     activity = snapshot_factors(t, c).select(STUDENT, *FACTORS)
     merged = distinct_rows(with_absence.join(scores, STUDENT)).join(activity, STUDENT)
     return {
         "grades": grades.drop("course"),
         "absence": with_absence.drop("course", "grade"),
-        "diagnosis": grades.join(scores, STUDENT).drop("id", "course", "grade"),
+        "diagnosis": grades.select(STUDENT).join(scores, STUDENT),
         "activity": activity,
         "merged": merged.drop("id", "course"),
     }
@@ -124,7 +150,7 @@ def correlation_table(t, c: Cohort) -> DataFrame:
             grades.select(STUDENT, "grade"),
             single_activity(t, c).select(STUDENT, "page_views", "participations", *VIEW_FACTORS),
             absence.select(STUDENT, "absence_time"),
-            t.diagnostics.select(STUDENT, "math_score"),
+            _scores(t, c).drop(*NOT_CORRELATED),
         ],
         [STUDENT],
     )
@@ -132,12 +158,23 @@ def correlation_table(t, c: Cohort) -> DataFrame:
     return rows.select(grade_binary(F.col("grade")).alias("grade"), *[x for x in joined.columns if x not in (STUDENT, "grade")])
 
 
+def class_correlation_table(t, c: Cohort, classes: Sequence[str], day: Column) -> DataFrame:
+    """All grades as points with absence and one day's activity of the listed classes, not de-duplicated."""
+    grades = read_cohort(t.grades, c.course, exact=c.exact).select(STUDENT, "grade")
+    absence = read_cohort(t.absence, c.course, exact=c.exact).select(STUDENT, "absence_time")
+    wanted = any_of([{"course": x, "snapshot_date": day} for x in classes])
+    counters = ["page_views", "page_views_level", "participations", "participations_level", "missing", "on_time", "late"]
+    act = keep(t.activity.filter(wanted), [STUDENT, *counters])
+    joined = grades_to_points(grades, "grade", "null").join(absence, STUDENT).join(act, STUDENT)
+    return joined.drop(STUDENT)
+
+
 def absence_score(t, c: Cohort) -> DataFrame:
     """First E/F tree study: grade, first absence record of the course, maths score."""
     grades = read_cohort(t.grades, c.course, exact=c.exact).select(F.col("id").alias("row_id"), STUDENT, "grade")
     absence = first_per_key(read_cohort(t.absence, c.course, exact=c.exact), [STUDENT], c.absence_order)
     joined = grades.join(absence.select(STUDENT, "absence_time", "lesson_time"), STUDENT).join(
-        t.diagnostics.select(STUDENT, "math_score"), STUDENT)
+        _scores(t, c).select(STUDENT, "math_score"), STUDENT)
     return joined
 
 
@@ -176,7 +213,7 @@ def activity_baseline(t, c: Cohort) -> DataFrame:
     joined = build_student_table(
         [
             grades.select(STUDENT, "grade"),
-            t.diagnostics.select(STUDENT, "math_score"),
+            _scores(t, c).select(STUDENT, "math_score"),
             absence.select(STUDENT, "absence_time"),
             single_activity(t, c).select(STUDENT, "missing", *VIEW_FACTORS),
         ],
@@ -190,9 +227,3 @@ def task(df: DataFrame, name: str) -> DataFrame:
     """Rows of the ``EF`` or ``PF`` task with the 0/1 label (risk class 0)."""
     return build_task(df, TASK_EXCLUDES[name]).withColumn("label", encode_label(F.col("grade")))
 
-
-__all__ = [
-    "Cohort", "FACTORS", "STUDENT", "absence_activity", "absence_score", "activity_baseline", "activity_only",
-    "all_variables", "baseline", "correlation_table", "coverage_parts", "early_warning",
-    "early_warning_with_history", "join_suffixed", "pair_table", "single_activity", "snapshot_factors", "task",
-]

@@ -29,6 +29,16 @@ SOURCE_COLUMNS = {
     "Totalt betyg NP": "national_grade",
 }
 
+# Source table name -> name used by the plans in this package.
+SOURCE_TABLES = {
+    "elever": "students",
+    "betyg": "grades",
+    "franvaro": "absence",
+    "diagnoser": "diagnostics",
+    "canvas": "activity",
+    "nationella_prov": "national_tests",
+}
+
 # Variable name -> name shown in coverage reports.
 VARIABLE_LABELS = {
     "word_chains": "Swedish word chains",
