@@ -23,6 +23,12 @@ from cohortwarn.session import stable
 
 MAX_DEPTH = 30
 FEATURES, LABEL = "features", "label"
+# Says that the label has two classes, which saves every fit a pass to count them.
+_TWO_CLASSES = {"ml_attr": {"name": LABEL, "type": "nominal", "vals": ["0", "1"]}}
+
+
+def _label(name: str) -> Column:
+    return F.col(name).cast("double").alias(LABEL, metadata=_TWO_CLASSES)
 
 
 def assembler(features: Sequence[str], output: str = FEATURES) -> VectorAssembler:
@@ -31,7 +37,8 @@ def assembler(features: Sequence[str], output: str = FEATURES) -> VectorAssemble
 
 def assemble(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     """Feature vector and label by name; a missing value is an error."""
-    return assembler(features).transform(df).withColumn(LABEL, F.col(label).cast("double"))
+    rows = assembler(features).transform(df)
+    return rows.select(*[c for c in rows.columns if c != LABEL], _label(label))
 
 
 def _depth(max_depth: int | None) -> int:
@@ -69,7 +76,7 @@ def forest_classifier(
 
 
 def _fit(stage, df: DataFrame, features: Sequence[str], label: str) -> PipelineModel:
-    rows = df.withColumn(LABEL, F.col(label).cast("double"))
+    rows = df.select(*[c for c in features if c != LABEL], _label(label))
     return Pipeline(stages=[assembler(features), stage]).fit(rows)
 
 

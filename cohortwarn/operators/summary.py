@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from functools import reduce
-from itertools import combinations
+from itertools import combinations, combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -127,26 +127,29 @@ def retention(funnel: DataFrame, scale: float = 0.2) -> DataFrame:
 def corr_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Pearson correlations, each pair over the rows complete for that pair.
 
-    Rows ``a, b, r, n`` for every ordered pair, from one aggregation without a
-    shuffle of rows.  A constant column has no correlation (null), also with itself.
+    Rows ``a, b, r, n`` for every ordered pair.  Each row is stacked into its
+    pairs of columns, which are summed up map-side, so only one line per pair
+    and task is shuffled.  (One aggregate per pair in a single row is slower: it
+    outgrows code generation.)  A constant column has no correlation (null),
+    also with itself.
     """
     cols = list(cols or numeric_columns(df))
-    aggs, entries = [], []
-    for i, j in [*combinations(range(len(cols)), 2), *[(i, i) for i in range(len(cols))]]:
-        both = ~is_missing(df, cols[i]) & ~is_missing(df, cols[j])
-        x, y = (F.when(both, F.col(f"`{cols[k]}`").cast("double")) for k in (i, j))
-        p = f"_{i}_{j}"
-        aggs += [
-            F.covar_pop(x, y).alias("c" + p),
-            F.var_pop(x).alias("x" + p),
-            F.var_pop(y).alias("y" + p),
-            F.count(x).alias("n" + p),
-        ]
-        r = ratio(F.col("c" + p), F.sqrt(F.col("x" + p)) * F.sqrt(F.col("y" + p)))
-        for a, b in {(i, j), (j, i)}:
-            entries.append(F.struct(
-                F.lit(cols[a]).alias("a"), F.lit(cols[b]).alias("b"), r.alias("r"), F.col("n" + p).alias("n")))
-    return df.agg(*aggs).select(F.inline(F.array(*entries)))
+    values = [F.when(~is_missing(df, c), F.col(f"`{c}`").cast("double")) for c in cols]
+    pairs = list(combinations_with_replacement(range(len(cols)), 2))
+    cells = [x for i, j in pairs for x in (F.lit(i), F.lit(j), values[i], values[j])]
+    moments = (
+        df.select(F.stack(F.lit(len(pairs)), *cells).alias("_i", "_j", "_x", "_y"))
+        .filter(F.col("_x").isNotNull() & F.col("_y").isNotNull())
+        .groupBy("_i", "_j")
+        .agg(F.covar_pop("_x", "_y").alias("_c"), F.var_pop("_x").alias("_vx"), F.var_pop("_y").alias("_vy"),
+             F.count(F.lit(1)).alias("n"))
+    )
+    # Every ordered pair of names, so that a pair without complete rows is listed too.
+    wanted = [(a, b, *sorted((i, j))) for i, a in enumerate(cols) for j, b in enumerate(cols)]
+    names = df.sparkSession.createDataFrame(wanted, "a string, b string, _i int, _j int")
+    r = ratio(F.col("_c"), F.sqrt("_vx") * F.sqrt("_vy"))
+    return names.join(moments, ["_i", "_j"], "left").select(
+        "a", "b", r.alias("r"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def describe_by(df: DataFrame, by: str, col: str) -> DataFrame:

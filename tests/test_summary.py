@@ -71,6 +71,12 @@ def test_correlation_is_pairwise_and_null_for_constants(spark):
     assert got["a", "c"] == (None, 4) and got["c", "c"] == (None, 5)
 
 
+def test_pairs_without_complete_rows_are_listed(spark):
+    df = spark.createDataFrame([(1.0, None), (None, 2.0)], "a double, b double")
+    got = {(r.a, r.b): (r.r, r.n) for r in summary.corr_matrix(df).collect()}
+    assert got == {("a", "a"): (None, 1), ("b", "b"): (None, 1), ("a", "b"): (None, 0), ("b", "a"): (None, 0)}
+
+
 @pytest.mark.parametrize("shared", [False, True])
 def test_histogram_edges(spark, shared):
     data = [("P", float(i)) for i in range(11)] + [("F", 4.0), ("F", None)]
