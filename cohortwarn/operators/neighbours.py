@@ -34,7 +34,7 @@ MAX_LEAVES = 16_384
 SAMPLE_PER_LEAF = 16
 SAMPLE_ROWS = 4096
 VISITORS = 8192
-_BLOCK = 256
+_CELLS = 2_000_000
 
 
 def _vectors(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -90,14 +90,20 @@ def _leaf_udf(nodes: list[tuple[int, float, int, int]]):
     return leaf
 
 
+def _block(width: int) -> int:
+    """Rows per block, so that a distance table has about ``_CELLS`` entries whatever its width."""
+    return max(1, min(1024, _CELLS // max(1, width)))
+
+
 def _nearest(q: np.ndarray, r: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Blocks of (query row, reference row, squared distance), k best per query row.
 
     ``r`` is in key order, so ties keep the smaller key.
     """
     k = min(k, len(r))
-    for start in range(0, len(q), _BLOCK):
-        block = q[start : start + _BLOCK]
+    size = _block(len(r))
+    for start in range(0, len(q), size):
+        block = q[start : start + size]
         d2 = np.zeros((len(block), len(r)))
         for j in range(q.shape[1]):
             d2 += (block[:, j, None] - r[None, :, j]) ** 2
@@ -146,9 +152,10 @@ def _visits(boxes: pd.DataFrame, groups: dict[int, int] | None):
     lo, hi = np.stack(boxes["_lo"].to_numpy()), np.stack(boxes["_hi"].to_numpy())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        size = _block(len(leaf))
         for pdf in batches:
-            for start in range(0, len(pdf), _BLOCK):
-                part = pdf.iloc[start : start + _BLOCK]
+            for start in range(0, len(pdf), size):
+                part = pdf.iloc[start : start + size]
                 x = np.stack(part["_vec"].to_numpy())
                 gap = np.zeros((len(x), len(leaf)))
                 for j in range(x.shape[1]):

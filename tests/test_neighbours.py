@@ -27,7 +27,7 @@ def cloud():
     return pdf
 
 
-@pytest.mark.parametrize("leaf_rows, visitors", [(4096, 8192), (30, 8), (3, 2)])
+@pytest.mark.parametrize("leaf_rows, visitors", [(4096, 8192), (60, 8)])
 def test_exact_against_brute_force(spark, cloud, leaf_rows, visitors):
     df = spark.createDataFrame(cloud)
     out = nearest_neighbours(df.filter("y = 0"), df, "k", ["a", "b"], 6, "y", leaf_rows, visitors)
