@@ -153,21 +153,19 @@ def oob_predictions(
     def fit(t: int):
         one = forest_classifier(trees=1, bootstrap=False, seed=seed + t, **params).setWeightCol("_w")
         model = one.fit(rows.withColumn("_w", bags[t]).filter(F.col("_w") > 0))
-        return model.setProbabilityCol("_p").setPredictionCol("").setRawPredictionCol("")
+        return model.setProbabilityCol(f"_p{t}").setPredictionCol("").setRawPredictionCol("")
 
     with ThreadPool(parallelism) as pool:
-        models = pool.map(fit, range(trees))
-    scored = rows.withColumn("_for", F.lit(0.0)).withColumn("_votes", F.lit(0.0))
-    for bag, model in zip(bags, models, strict=True):
-        out = (bag == 0).cast("double")
-        scored = (
-            model.transform(scored)
-            .withColumn("_votes", F.col("_votes") + out)
-            .withColumn("_for", F.col("_for") + out * vector_to_array("_p")[1])
-            .drop("_p")
-        )
-    vote = (F.col("_for") * 2 > F.col("_votes")).cast("double")
-    return scored.filter(F.col("_votes") > 0).select(key, LABEL, vote.alias("prediction"))
+        fitted = pool.map(fit, range(trees))
+    scored = rows
+    for model in fitted:
+        scored = model.transform(scored)
+    out = [(bag == 0).cast("double") for bag in bags]
+    votes = sum(out[1:], out[0])
+    shares = [o * vector_to_array(f"_p{t}")[1] for t, o in enumerate(out)]
+    scored = scored.select(key, LABEL, votes.alias("_votes"), sum(shares[1:], shares[0]).alias("_for"))
+    prediction = (F.col("_for") * 2 > F.col("_votes")).cast("double")
+    return scored.filter(F.col("_votes") > 0).select(key, LABEL, prediction.alias("prediction"))
 
 
 def oob_score(df: DataFrame, key: str, features: Sequence[str], label: str, **params) -> DataFrame:
