@@ -196,7 +196,10 @@ def bag_sql(tree: int, seed: int = 42) -> str:
 
 
 def stump_sql(name: str, rows: str, x: str, weight: str = "1.0::double") -> str:
-    """The best single gini cut of a whole-number feature: ``<name>_best`` with class-1 shares of both sides."""
+    """The best single gini cut of a whole-number feature: ``<name>_best`` with class-1 shares of both sides.
+
+    Sides that predict the same class are one leaf in the fitted tree, so both get its share.
+    """
 
     def gini(zero: str, every: str) -> str:
         return f"(1 - ({zero} / {every}) * ({zero} / {every}) - (1 - {zero} / {every}) * (1 - {zero} / {every}))"
@@ -207,8 +210,10 @@ def stump_sql(name: str, rows: str, x: str, weight: str = "1.0::double") -> str:
 , {name}_sides as (select cut, sum(wt) filter (x <= cut) as wl, coalesce(sum(wt) filter (x <= cut and label = 0), 0) as l0,
     sum(wt) as w, coalesce(sum(wt) filter (label = 0), 0) as w0
   from {name}_cuts, {name}_rows where cut is not null group by cut)
-, {name}_best as (select cut, 1 - l0 / wl as p_left, 1 - (w0 - l0) / (w - wl) as p_right from {name}_sides
+, {name}_cut as (select cut, 1 - l0 / wl as pl, 1 - (w0 - l0) / (w - wl) as pr, 1 - w0 / w as p from {name}_sides
   order by (wl / w) * {gini('l0', 'wl')} + ((w - wl) / w) * {gini('(w0 - l0)', '(w - wl)')}, cut limit 1)
+, {name}_best as (select cut, case when (pl > 0.5) = (pr > 0.5) then p else pl end as p_left,
+    case when (pl > 0.5) = (pr > 0.5) then p else pr end as p_right from {name}_cut)
 """
 
 
@@ -272,6 +277,27 @@ def out_of_bag_stumps(spark, path):
     return models.oob_predictions(rows, "row_id", ["english_total"], "label", trees=_OOB_TREES, max_depth=1)
 
 
+_WHOLE = {"score only": "english_total", "absence only": "absence_time"}
+
+
+@register(
+    SCORES_SQL + """
+    , tt as (select *, row_number() over (order by md5('42|' || row_id), row_id)
+        <= floor((select count(*) from ef) * 0.8) as is_train from ef)
+    , tr as (select * from tt where is_train), te as (select * from tt where not is_train)"""
+    + "".join(stump_sql(f"w{i}", "tr", x) for i, x in enumerate(_WHOLE.values()))
+    + " union all ".join(
+        f"""select '{name}' as variant, 1 as n_features, count(*) as n,
+        round(avg(case when {stump_predicts(f'w{i}', x)} = label then 1.0 else 0.0 end), 6) as accuracy
+        from te, w{i}_best""" for i, (name, x) in enumerate(_WHOLE.items())), cohort=True)
+def ablation_by_stump(spark, path):
+    """One-cut trees on what is left after each removal, scored on the test rows."""
+    drops = {name: [x for x in _WHOLE.values() if x != kept] for name, kept in _WHOLE.items()}
+    out = ablation(score_table(spark, path, "EF"), list(_WHOLE.values()), drops,
+                   trees=1, max_depth=1, max_features=None, bootstrap=False)
+    return rounded(out, "accuracy")
+
+
 @register()
 def decision_tree(spark, path):
     study = Study(score_table(spark, path, "EF"), FEATURES, test=0.2, seed=10)
