@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,24 +27,36 @@ def local_session(app: str = "cohortwarn", cpus: str | int = "*", partitions: in
     )
 
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
-    sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    shared = spark.conf.get(CHECKPOINT_CONF, None)
-    if shared:
-        sc.setCheckpointDir(shared)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="cohortwarn-"))
-    else:
-        raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate data that the driver and every executor reach.
+
+    It is the one named in ``spark.checkpoint.dir``; where that is unset (tests, notebooks), a folder in the
+    session's warehouse.  Each application has its own subfolder.
+    """
+    base = spark.conf.get(CHECKPOINT_CONF, None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
+    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def clear_shared(spark: SparkSession) -> None:
+    """Remove the intermediate data of this application, when all results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def stable(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once into the shared checkpoint folder and read it from there.
+def stable(df: DataFrame, name: str = "table", *partition_by: str) -> DataFrame:
+    """Compute ``df`` once, write it as Parquet to the shared folder and read it from there.
 
-    Used where several jobs run over one expensive table (a model fit is many
-    jobs): the stored copy survives lost executors and cuts the lineage.
+    Used where several jobs run over one expensive table (a model fit is many jobs): the stored copy survives
+    lost executors, cuts the lineage, and later reads still prune columns and partitions.
     """
-    _ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = new_folder(spark, name)
+    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
+    writer.parquet(path)
+    schema = df.schema
+    return spark.read.schema(schema).parquet(path)
