@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cohortwarn.llm import bpe_automaton, records
+from cohortwarn.llm import bpe_automaton, records, simhash
 from cohortwarn.llm.common import documents
 from cohortwarn.session import new_folder
 
@@ -32,3 +33,9 @@ def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "records")
     records.write_records(documents(spark, sf_dir), folder, BYTE_TOKENIZER)
     return records.read_records(spark, folder, ids=False)
+
+
+@query
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
