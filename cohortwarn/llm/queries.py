@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortwarn.llm import bpe_automaton, records, simhash
+from cohortwarn.llm import bpe_automaton, exact_dedup, mixing, records, simhash
 from cohortwarn.llm.common import documents
 from cohortwarn.session import new_folder
 
@@ -22,12 +22,30 @@ def query(fn):
     return fn
 
 
+@query
+def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.mark_copies(documents(spark, sf_dir)).drop("file", "row")
+
+
+SQL["op1_exact_dedup"] = """
+with d as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                    'abcdefghijklmnopqrstuvwxyz') as norm from documents)
+select doc_id, max(doc_id) over (partition by norm) as keep_id, count(*) over (partition by norm) as group_size,
+  doc_id = max(doc_id) over (partition by norm) as kept, sha256(norm) as text_sha256
+from d"""
+
+
 @query
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return bpe_automaton.encode(docs, WORD_TOKENIZER, ids=False).drop("text")
 
 
+@query
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
 @query
 def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "records")
