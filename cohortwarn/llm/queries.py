@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortwarn.llm import bpe_automaton, exact_dedup, mixing, records, simhash
-from cohortwarn.llm.common import documents
+from cohortwarn.llm import bpe_automaton, exact_dedup, mixing, records, simhash, toxicity
+from cohortwarn.llm.common import documents, held_out
 from cohortwarn.session import new_folder
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -53,6 +53,13 @@ def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_records(spark, folder, ids=False)
 
 
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), documents(spark, sf_dir, "labels")
+    scored = toxicity.score(docs.select("doc_id", "text"), toxicity.learn(docs, labels))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 @query
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir))
