@@ -14,8 +14,7 @@ removed an arc that ``y`` was built on (the left parts of ``y``, each up to the
 kept in a transition table.
 
 Because the automaton is deterministic and accepts one sequence for each string, the last token before each
-position of a word is unique: a word is encoded in one pass from left to right, looking only back over the longest
-token.  Decoding writes out the labels of the arcs.
+position of a word is unique: a word is encoded from left to right, each position being left at most once.  Decoding writes out the labels of the arcs.
 """
 
 from __future__ import annotations
@@ -31,8 +30,8 @@ from pyspark.sql import functions as F
 
 from cohortwarn.llm.common import UNICODE_SPACE, add_columns, once, sha256_hex
 
-#: Words (between white space) and arcs that a task keeps; more are computed again.
-KEPT_WORDS, KEPT_ARCS, KEPT_LENGTH = 150_000, 500_000, 64
+#: Parts between white space, pieces and arcs that a task keeps; more are computed again.
+KEPT_WORDS, KEPT_PIECES, KEPT_ARCS, KEPT_LENGTH = 150_000, 400_000, 500_000, 64
 
 
 def byte_symbols() -> list[str]:
@@ -98,20 +97,38 @@ class MergeAutomaton:
         return found
 
     def encode(self, symbols: str) -> list[int]:
-        """Tokens of one word, given as base symbols without the word-end suffix."""
-        n, get, step, start = len(symbols), self.tokens.get, self.step, self.start
-        last, back = [-1] * (n + 1), [0] * (n + 1)
-        for end in range(1, n + 1):
-            for at in range(max(0, end - self.longest), end):
-                t = get(symbols[at:end] if end < n else symbols[at:end] + self.suffix)
-                if t is not None and t in start and (at == 0 or last[at] >= 0 and step(last[at], t)):
-                    last[end], back[end] = t, at
-                    break
-        out, end = [], n
-        while end:
-            out.append(last[end])
-            end = back[end]
-        return out[::-1]
+        """Tokens of one word, given as base symbols without the word-end suffix.
+
+        Follows arcs from the left, the longest label first.  A path of arcs to a position is the one way to read
+        that far, so a position from which the word cannot be finished is left for good.
+        """
+        n, get, start, arcs, step = len(symbols), self.tokens.get, self.start, self.arcs, self.step
+        longest, whole = self.longest, symbols + self.suffix
+        t = get(whole)
+        if t is not None and t in start:
+            return [t]
+        path, ends, dead, at, last, end = [], [], set(), 0, -1, min(n, longest)
+        while at < n:
+            t, found = None, False
+            while end > at:
+                if end not in dead:
+                    t = get(symbols[at:end] if end < n else whole[at:])
+                    if t is not None and t in start:
+                        ok = arcs.get((last, t)) if last >= 0 else True
+                        if ok or (ok is None and step(last, t)):
+                            found = True
+                            break
+                end -= 1
+            if found:
+                path.append(t)
+                ends.append(end)
+                at, last, end = end, t, min(n, end + longest)
+            else:
+                dead.add(at)
+                path.pop()
+                end = ends.pop() - 1
+                at, last = (ends[-1], path[-1]) if path else (0, -1)
+        return path
 
     def decode(self, ids: list[int]) -> list[str]:
         return [self.labels[i] for i in ids]
@@ -136,26 +153,36 @@ class WordTokenizer:
         self.symbols = byte_symbols()
         self.labels = {**self.automaton.labels, **{i: t for t, i in self.special.items()}}
         self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.words: dict[str, tuple[str, str, int]] = {}
+        self.words: dict[str, tuple[str, str, int]] = {}  # parts between white space
+        self.kept: dict[str, list[int]] = {}  # pieces
 
-    def ids_of_part(self, part: str) -> list[int]:
-        part = unicodedata.normalize("NFC", part)
-        part = part.lower() if "Σ" not in part else "".join(c.lower() for c in part)
-        out: list[int] = []
-        for piece in self.pieces(part):
+    def _piece(self, piece: str) -> tuple[str, str, int]:
+        found = self.kept.get(piece)
+        if found is None:
             raw = piece.encode("utf-8", "surrogatepass")
-            out += self.automaton.encode("".join([self.symbols[b] for b in raw]))
-        return out
+            ids = self.automaton.encode("".join([self.symbols[b] for b in raw]))
+            found = " ".join(map(str, ids)), " ".join([self.labels[i] for i in ids]), len(ids)
+            if len(piece) <= KEPT_LENGTH:
+                if len(self.kept) >= KEPT_PIECES:
+                    self.kept.clear()
+                self.kept[piece] = found
+        return found
 
     def _word(self, part: str) -> tuple[str, str, int]:
-        found = self.words.get(part)
-        if found is None:
-            ids = self.ids_of_part(part)
-            found = " ".join(map(str, ids)), " ".join([self.labels[i] for i in ids]), len(ids)
-            if len(part) <= KEPT_LENGTH:
-                if len(self.words) >= KEPT_WORDS:
-                    self.words.clear()
-                self.words[part] = found
+        plain = part if part.isascii() else unicodedata.normalize("NFC", part)
+        plain = plain.lower() if "Σ" not in plain else "".join(c.lower() for c in plain)
+        if plain.isalpha():  # one run of letters
+            found = self._piece(plain)
+        elif plain[-1:] in _SIGNS and plain[:-1].isalpha():
+            (a, b, c), (d, e, f) = self._piece(plain[:-1]), self._piece(plain[-1])
+            found = f"{a} {d}", f"{b} {e}", c + f
+        else:
+            pieces = [self._piece(x) for x in self.pieces(plain)]
+            found = " ".join([x[0] for x in pieces]), " ".join([x[1] for x in pieces]), sum([x[2] for x in pieces])
+        if len(part) <= KEPT_LENGTH:
+            if len(self.words) >= KEPT_WORDS:
+                self.words.clear()
+            self.words[part] = found
         return found
 
     def encode_words(self, text: str) -> list[tuple[str, str, int]]:
@@ -178,6 +205,7 @@ class WordTokenizer:
         return " ".join([self.labels[i] for i in ids if i in self.labels])
 
 
+_SIGNS = frozenset(".,;:!?")
 _SEPARATORS = re.compile("[\x1c-\x1f]").search
 _PARTS = re.compile(f"[^{UNICODE_SPACE}]+").findall
 
