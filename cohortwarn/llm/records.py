@@ -7,8 +7,8 @@ A shard is a sequence of records, each framed as
     payload
     masked CRC-32C of the payload, unsigned 32-bit
 
-all little-endian.  A payload is one document: 32-bit flag (1: it has an id), 64-bit doc_id, then its token ids as
-unsigned 32-bit integers.  The index file beside a shard has the offset of each record as unsigned 64-bit integers,
+all little-endian.  A payload is one document: 32-bit flags (1: it has an id, 2: wide), 64-bit doc_id, then its token
+ids as unsigned 16-bit integers, or 32-bit where an id is 65,536 or more (wide).  The index file beside a shard has the offset of each record as unsigned 64-bit integers,
 the end of the shard last, so any record can be read alone, in any order.
 """
 
@@ -38,7 +38,8 @@ HEAD = "<Iq"
 BLOCK = 1024
 #: Records that are read from a shard at once.
 READ_AT_ONCE = 256
-KEPT_PIECES, KEPT_LENGTH = 150_000, 64
+#: Pieces that a task keeps with their ids, and the longest of them; others are encoded again.
+KEPT_PIECES, KEPT_LENGTH = 400_000, 64
 
 
 class Crc32c:
@@ -130,44 +131,81 @@ def unframe(data: bytes, offsets: list[int], where: str) -> list[bytes]:
 
 
 class PieceEncoder:
-    """Whole texts as the tokenizers library encodes them, each space-delimited piece once.
+    """Whole texts as the tokenizers library encodes them, each piece between spaces once.
 
     The byte-level splitter never puts a character and a later white space into one token, and a single space
-    belongs to what follows it.  So where no space is followed by more white space, a text is its first piece and
-    then pieces that begin with a space, and the library's ids of these pieces are the ids of the text.  Other texts
-    are taken apart at white space by the same rule, written as an expression.
+    belongs to what follows it.  So where no space is followed by more white space, a text can be cut before each
+    space, and the library's ids of these pieces are the ids of the text.  Other texts are cut by the same rule,
+    written as an expression.  A run of letters and the sign after it are never one token either.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
         self.special = {t.content: struct.pack("<I", i) for i, t in self.library.get_added_tokens_decoder().items()}
-        self.kept: dict[str, bytes] = {}
         self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+        self.kept: dict[str, bytes] = dict(self.special)
 
-    def _encode(self, pieces: list[str]) -> None:
-        for piece, got in zip(pieces, self.library.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
-            self.kept[piece] = np.asarray(got.ids, "<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
+    def pieces(self, text: str) -> list[str]:
         out = []
         for raw in self.specials.split(text) if self.specials and "<" in text else [text]:
             if raw in self.special:
-                out.append(self.special[raw])
-                continue
-            pieces = _PIECES(raw)
-            if missing := {p for p in pieces if p not in self.kept}:
-                self._encode(list(missing))
-            out += [self.kept[p] for p in pieces]
-            if len(self.kept) > KEPT_PIECES:
-                self.kept.clear()
-            for p in [p for p in missing if len(p) > KEPT_LENGTH]:
-                self.kept.pop(p, None)
-        return b"".join(out)
-
-
-# A run of other characters with one space before it, or white space up to the last before such a run.
+                out.append(raw)
+            elif _ODD(raw):
+                out += _PIECES(raw)
+            else:
+                out += raw.replace(" ", "\0 ").split("\0")
+        return out
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as unsigned 32-bit integers."""
+        if len(self.kept) > KEPT_PIECES:
+            self.kept = dict(self.special)
+        kept, cut = self.kept, [self.pieces(t) for t in texts]
+        missing = {p for pieces in cut for p in set(pieces).difference(kept)}
+        smaller = {p: x for p in missing if len(x := self._parts(p)) != 1}
+        whole = missing.difference(smaller)
+        whole.update(*smaller.values())
+        self._encode(list(whole.difference(kept)))
+        for p, parts in smaller.items():
+            kept[p] = b"".join([kept[x] for x in parts])
+        out = [b"".join(map(kept.__getitem__, pieces)) for pieces in cut]
+        for p in [p for p in missing | whole if len(p) > KEPT_LENGTH]:
+            kept.pop(p, None)
+        return out
+
+    @staticmethod
+    def _parts(piece: str) -> list[str]:
+        """A piece taken apart at inner white space and before a last sign that follows letters only."""
+        out = []
+        for p in [piece] if piece.isalpha() or piece[1:].isalpha() else _PIECES(piece):
+            if p[-1] in _SIGNS and p[:-1].removeprefix(" ").isalpha():
+                out += [p[:-1], p[-1]]
+            else:
+                out.append(p)
+        return out
+
+    def _encode(self, pieces: list[str]) -> None:
+        """Pieces without line breaks go to the library as the lines of one text, whose ids are cut at the breaks."""
+        line = self.library.encode("\n", add_special_tokens=False).ids
+        joined = [p for p in pieces if not _SPACES(p[1:]) and not _SPACES(p.lstrip(" ")[:1])] if len(line) == 1 else []
+        single = list(set(pieces).difference(joined))
+        for piece, got in zip(single, self.library.encode_batch_fast(single, add_special_tokens=False), strict=True):
+            self.kept[piece] = np.asarray(got.ids, "<u4").tobytes()
+        if joined:
+            [got] = self.library.encode_batch_fast(["\n".join(joined)], add_special_tokens=False)
+            ids = np.asarray(got.ids, "<u4")
+            data, ends = ids.tobytes(), (np.flatnonzero(ids == line[0]) * 4).tolist()
+            for piece, a, b in zip(joined, [0, *[e + 4 for e in ends]], [*ends, len(data)], strict=True):
+                self.kept[piece] = data[a:b]
+
+
+_SIGNS = frozenset(".,;:!?")
+# Fixed rule of the splitter: a run of other characters with one space before it, or white space up to the last
+# before such a run.
 _PIECES = re.compile(f" ?[^{UNICODE_SPACE}]+|[{UNICODE_SPACE}]+(?![^{UNICODE_SPACE}])|[{UNICODE_SPACE}]+").findall
+_SPACES = re.compile(f"[{UNICODE_SPACE}]").search
+_ODD = re.compile(f"\0| [{UNICODE_SPACE}]").search
 
 
 def encoder(path: str) -> PieceEncoder:
@@ -204,16 +242,16 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0)
         store, base = filesystem(folder)
         shard = TaskContext.get().partitionId()
         path, end = f"{base}/shard-{shard:06d}.rec", struct.pack("<I", end_id)
-        tokens, offsets, encode = 0, [0], encoder(tokenizer).encode
+        tokens, offsets, encode = 0, [0], encoder(tokenizer).encode_all
 
         def write(out) -> None:
             nonlocal tokens
             for batch in slices(batches, 200):
                 payloads = []
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    ids = encode(text) + end
-                    tokens += len(ids) // 4
-                    payloads.append(struct.pack(HEAD, doc is not None, doc or 0) + ids)
+                encoded = encode(batch.column(1).to_pylist())
+                for doc, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
+                    tokens += len(ids) // 4 + 1
+                    payloads.append(payload(doc, np.frombuffer(ids + end, "<u4")))
                 for record in frame(payloads):
                     out.write(record)
                     offsets.append(offsets[-1] + len(record))
@@ -252,9 +290,15 @@ def read_at(folder_path: str, positions: list[int]) -> list[tuple[int | None, np
     return out
 
 
-def parse(payload: bytes) -> tuple[int | None, np.ndarray]:
-    has, doc = struct.unpack_from(HEAD, payload)
-    return doc if has else None, np.frombuffer(payload, "<u4", offset=struct.calcsize(HEAD))
+def payload(doc: int | None, ids: np.ndarray) -> bytes:
+    wide = bool(len(ids)) and int(ids.max()) >= 1 << 16
+    return struct.pack(HEAD, (doc is not None) | wide << 1, doc or 0) + ids.astype("<u4" if wide else "<u2").tobytes()
+
+
+def parse(data: bytes) -> tuple[int | None, np.ndarray]:
+    flags, doc = struct.unpack_from(HEAD, data)
+    ids = np.frombuffer(data, "<u4" if flags & 2 else "<u2", offset=struct.calcsize(HEAD))
+    return doc if flags & 1 else None, ids.astype("<u4")
 
 
 def read_records(spark: SparkSession, folder: str, ids: bool = True) -> DataFrame:
