@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortwarn.llm import bpe_automaton, exact_dedup, langid, mixing, records, simhash, toxicity
+from cohortwarn.llm import bpe_automaton, disclosure, exact_dedup, langid, mixing, records, simhash, toxicity
 from cohortwarn.llm.common import documents, held_out
 from cohortwarn.session import new_folder
 
@@ -60,6 +60,12 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+@query
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = [f"n_{k}" for k in disclosure.KINDS]
+    return disclosure.find(documents(spark, sf_dir)).select("doc_id", *counts, "base_sha256", "spans")
+
+
 @query
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
