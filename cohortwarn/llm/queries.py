@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortwarn.llm import bpe_automaton, disclosure, exact_dedup, langid, mixing, order_minhash, records, simhash, toxicity
+from cohortwarn.llm import bpe_automaton, disclosure, exact_dedup, langid, mixing, order_minhash, records, simhash, substring_dedup, toxicity
 from cohortwarn.llm.common import documents, held_out
 from cohortwarn.session import new_folder
 
@@ -58,6 +58,11 @@ def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.compare_with_edited(documents(spark, sf_dir))
 
 
+@query
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeats(documents(spark, sf_dir))
+
+
 @query
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), documents(spark, sf_dir, "labels")
