@@ -1,7 +1,7 @@
 """Substring deduplication by content-defined chunks.
 
 A gear hash rolls over the code points of a text: each step shifts the hash by one bit and adds a random number for
-the code point, so it depends on the last 32 code points only.  Where its low bits are zero a chunk ends.  Chunks of
+the code point; with 16 bits it depends on the last 16 code points only.  Where its high bits are zero a chunk ends.  Chunks of
 the same passage are therefore the same wherever it stands, but for the first and the last of it.  Chunks are counted
 by their 128-bit digest.  Of equal chunks the first, by doc_id and place, stays; the others are copies.  Copies that
 follow one another without a gap make a span, and spans of at least ``WORDS`` words are reported.
@@ -24,33 +24,33 @@ from pyspark.sql.window import Window
 from cohortwarn.llm.common import add_columns, slices
 from cohortwarn.session import stable
 
-#: Shortest and longest chunk in code points, low bits of the hash that are zero at an end, words of a span.
+#: Shortest and longest chunk in code points, high bits of the hash that are zero at an end, words of a span.
 SHORTEST, LONGEST, ZEROS, WORDS = 12, 256, 5, 20
 _SPACE = np.array([9, 10, 11, 12, 13, 32], np.uint32)
 
 
 def gear(codes: np.ndarray) -> np.ndarray:
-    """A random 32-bit number for each code point (the finaliser of a 32-bit hash)."""
+    """A random 16-bit number for each code point (the finaliser of a 32-bit hash, upper half)."""
     x = codes * np.uint32(0x9E3779B1) + np.uint32(1)
     x = (x ^ (x >> np.uint32(16))) * np.uint32(0x85EBCA6B)
     x = (x ^ (x >> np.uint32(13))) * np.uint32(0xC2B2AE35)
-    return x ^ (x >> np.uint32(16))
+    return ((x ^ (x >> np.uint32(16))) >> np.uint32(16)).astype(np.uint16)
 
 
 def rolling(codes: np.ndarray) -> np.ndarray:
-    """The hash after each code point, h = 2 h + gear, for all at once: sums over 1, 2, 4, 8, 16, 32 code points."""
+    """The hash after each code point, h = 2 h + gear, for all at once: sums over 1, 2, 4, 8, 16 code points."""
     h = gear(codes)
-    for k in (1, 2, 4, 8, 16):
+    for k in (1, 2, 4, 8):
         shifted = np.zeros_like(h)
-        shifted[k:] = h[:-k] << np.uint32(k) if len(h) > k else 0
+        shifted[k:] = h[:-k] << np.uint16(k) if len(h) > k else 0
         h = h + shifted
     return h
 
 
 def cuts(codes: np.ndarray) -> list[int]:
     """Ends of the chunks of a text."""
-    # The low bits of a sum of shifted numbers depend on the last few code points only, so the high bits decide.
-    found = np.flatnonzero(rolling(codes) >> np.uint32(32 - ZEROS) == 0) + 1
+    # The low bits depend on the last few code points only, so the high bits decide.
+    found = np.flatnonzero(rolling(codes) >> np.uint16(16 - ZEROS) == 0) + 1
     out, last, n = [], 0, len(codes)
     for end in [*found.tolist(), n]:
         while end - last > LONGEST:
