@@ -27,6 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from cohortwarn.llm.common import UNICODE_SPACE, add_columns, once, sha256_hex
 
@@ -68,7 +69,8 @@ class MergeAutomaton:
         if w in self.made:
             raise ValueError(f"two merges make {self.labels[w]!r}")
         self.made[w] = k
-        if self.follows(u, v):  # else no arc u is followed by v, and nothing leads to w
+        there = all(t not in self.made or t in self.parts for t in (u, v))
+        if there and self.follows(u, v):  # else no arc u is followed by v, and nothing leads to w
             self.parts[w] = (u, v)
         self.removed[u, v] = k
 
@@ -151,16 +153,16 @@ class WordTokenizer:
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.pieces = regex.compile(split).findall
         self.symbols = byte_symbols()
+        self.library = Tokenizer.from_str(json.dumps(spec))
         self.labels = {**self.automaton.labels, **{i: t for t, i in self.special.items()}}
         self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.words: dict[str, tuple[str, str, int]] = {}  # parts between white space
         self.kept: dict[str, list[int]] = {}  # pieces
 
-    def _piece(self, piece: str) -> tuple[str, str, int]:
+    def _piece(self, piece: str, symbols: str | None = None) -> tuple[str, str, int]:
         found = self.kept.get(piece)
         if found is None:
-            raw = piece.encode("utf-8", "surrogatepass")
-            ids = self.automaton.encode("".join([self.symbols[b] for b in raw]))
+            ids = self.automaton.encode(symbols or "".join([self.symbols[b] for b in piece.encode("utf-8")]))
             found = " ".join(map(str, ids)), " ".join([self.labels[i] for i in ids]), len(ids)
             if len(piece) <= KEPT_LENGTH:
                 if len(self.kept) >= KEPT_PIECES:
@@ -169,6 +171,10 @@ class WordTokenizer:
         return found
 
     def _word(self, part: str) -> tuple[str, str, int]:
+        if not _SETTLED(part):
+            # Python and the library may have different versions of Unicode: the library splits, and gives symbols.
+            pieces = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part))
+            return self._keep(part, [self._piece(f"\0{x}", x) for x, _ in pieces])
         plain = part if part.isascii() else unicodedata.normalize("NFC", part)
         plain = plain.lower() if "Σ" not in plain else "".join(c.lower() for c in plain)
         if plain.isalpha():  # one run of letters
@@ -177,8 +183,12 @@ class WordTokenizer:
             (a, b, c), (d, e, f) = self._piece(plain[:-1]), self._piece(plain[-1])
             found = f"{a} {d}", f"{b} {e}", c + f
         else:
-            pieces = [self._piece(x) for x in self.pieces(plain)]
-            found = " ".join([x[0] for x in pieces]), " ".join([x[1] for x in pieces]), sum([x[2] for x in pieces])
+            return self._keep(part, [self._piece(x) for x in self.pieces(plain)])
+        return self._keep(part, [found])
+
+    def _keep(self, part: str, pieces: list[tuple[str, str, int]]) -> tuple[str, str, int]:
+        found = pieces[0] if len(pieces) == 1 else (
+            " ".join([x[0] for x in pieces]), " ".join([x[1] for x in pieces]), sum([x[2] for x in pieces]))
         if len(part) <= KEPT_LENGTH:
             if len(self.words) >= KEPT_WORDS:
                 self.words.clear()
@@ -206,6 +216,8 @@ class WordTokenizer:
 
 
 _SIGNS = frozenset(".,;:!?")
+# Latin, Greek and Cyrillic: these blocks have been the same in all versions of Unicode for long.
+_SETTLED = re.compile("[\0-\u052f]*").fullmatch
 _SEPARATORS = re.compile("[\x1c-\x1f]").search
 _PARTS = re.compile(f"[^{UNICODE_SPACE}]+").findall
 
