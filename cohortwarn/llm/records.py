@@ -39,7 +39,7 @@ BLOCK = 1024
 #: Records that are read from a shard at once.
 READ_AT_ONCE = 256
 #: Pieces that a task keeps with their ids, and the longest of them; others are encoded again.
-KEPT_PIECES, KEPT_LENGTH = 400_000, 64
+KEPT_PIECES, KEPT_LENGTH = 1_000_000, 64
 
 
 class Crc32c:
