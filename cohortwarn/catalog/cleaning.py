@@ -89,12 +89,14 @@ def label_codes(spark, path):
 
 
 @register(
-    """select id, case when participations = 0 then null else round(page_views / participations::double, 6) end as ratio
-    from activity""", cohort=True)
+    """select event_id, case when event_id % 5 = 0 or event_id % 7 = 1 or event_id % 11 = 2 then null
+      else round(value / (event_id % 5), 6) end as ratio from events""")
 def finite_ratios(spark, path):
-    rows = cohort_tables(spark, path).activity
-    value = fn.finite_or_null(fn.ratio(F.col("page_views"), F.col("participations")))
-    return rounded(rows.select("id", value.alias("ratio")), "ratio")
+    """Divisors that are zero, not a number, and so small that the ratio overflows."""
+    i = F.col("event_id")
+    num = F.when(i % 11 == 2, F.lit(1e308)).otherwise(F.col("value"))
+    den = F.when(i % 5 == 0, F.lit(0.0)).when(i % 7 == 1, F.lit(float("nan"))).when(i % 11 == 2, F.lit(1e-10)).otherwise(i % 5)
+    return rounded(load(spark, path, "events").select("event_id", fn.ratio(num, den).alias("ratio")), "ratio")
 
 
 _TASK_SQL = "select id, student_id, course, case when grade = 'F' then 'F' else 'P' end as grade from grades where grade {}"

@@ -6,7 +6,7 @@ from cohortwarn.catalog.registry import COHORT, PICKS_SQL, register, rounded
 from cohortwarn.functions import encode_label, hash_unit
 from cohortwarn.operators import evaluate, models, ranks, smote
 from cohortwarn.operators.clean import build_task, TASK_EXCLUDES
-from cohortwarn.plans.studies import Study, ablation, forest_scores, tuned_forest
+from cohortwarn.plans.studies import Study, ablation, forest_scores, tree_report, tuned_forest
 from cohortwarn.plans.tables import early_warning, task
 from cohortwarn.sources import cohort_tables
 
@@ -312,7 +312,7 @@ def tree_rules(spark, path):
 
 @register()
 def random_forest_scores(spark, path):
-    return forest_scores(score_table(spark, path), FEATURES, trees=50, oob_trees=10)
+    return forest_scores(score_table(spark, path), FEATURES, trees=50)
 
 
 @register()
@@ -362,3 +362,85 @@ def feature_ablation(spark, path):
     return ablation(score_table(spark, path), FEATURES, drops, trees=20)
 
 
+@register("""select * from (values ('english_total', 1.0::double), ('zero', 0.0::double)) t(feature, importance)""")
+def importances_by_stump(spark, path):
+    """A one-cut tree leans on the feature it cuts and on no other."""
+    rows = score_table(spark, path, "EF").withColumn("zero", F.lit(0.0))
+    return models.importances(models.fit_tree(rows, ["english_total", "zero"], "label", max_depth=1), spark)
+
+
+def side_sql(share: str) -> str:
+    return f"'Predict: ' || case when {share} > 0.5 then '1.0' else '0.0' end"
+
+
+@register(
+    _STUMP_SQL + f""", one as (select *, (p_left > 0.5) = (p_right > 0.5) as same from s_best)
+    select 1 as line, case when same then {side_sql('p_left')} else 'If (english_total <= ' || cut || ')' end as rule from one
+    union all select 2, {side_sql('p_left')} from one where not same
+    union all select 3, 'Else (english_total > ' || cut || ')' from one where not same
+    union all select 4, {side_sql('p_right')} from one where not same""", cohort=True)
+def rules_by_stump(spark, path):
+    """Rules of a one-cut tree, without the line that names the fitted object."""
+    _, model = stump(spark, path)
+    lines = models.tree_rules(model, spark)
+    return lines.filter("line_no > 0").select(F.col("line_no").alias("line"), F.trim("rule").alias("rule"))
+
+
+@register(_STUMP_SQL + f"select row_id, {stump_predicts('s', 'english_total')} as prediction from ef, s_best", cohort=True)
+def forest_of_stumps(spark, path):
+    """Trees without bags or feature subsets are all the same tree."""
+    rows = score_table(spark, path, "EF")
+    model = models.fit_forest(rows, ["english_total"], "label", trees=3, max_depth=1, max_features=None, bootstrap=False)
+    return models.predict(model, rows).select("row_id", "prediction")
+
+
+_SPLIT_SQL = """
+    , tt as (select *, row_number() over (order by md5('{seed}|' || row_id), row_id)
+        <= {train} as is_train from ef)
+    , tr as (select * from tt where is_train), te as (select * from tt where not is_train)"""
+_EIGHTY = _SPLIT_SQL.format(seed=42, train="floor((select count(*) from ef) * 0.8)")
+
+
+@register(
+    SCORES_SQL + _EIGHTY + stump_sql("s", "tr", "english_total") + stump_sql("b", "tr", "english_total", bag_sql(0)) + f"""
+    , scored as (select label, {stump_predicts('s', 'english_total')} as p from te, s_best)
+    , out_of_bag as (select label, {stump_predicts('b', 'english_total')} as p from tr, b_best where {bag_sql(0).replace('row_id', 'tr.row_id')} = 0)
+    select 'test accuracy' as measure, round(avg(case when p = label then 1.0 else 0.0 end), 6) as value from scored
+    union all select 'oob accuracy', round(avg(case when p = label then 1.0 else 0.0 end), 6) from out_of_bag
+    union all select 'importance english_total', 1.0
+    union all select 'label ' || cast(label as integer) || ' predicted_0', count(*) filter (p = 0)::double from scored group by label
+    union all select 'label ' || cast(label as integer) || ' predicted_1', count(*) filter (p = 1)::double from scored group by label
+    """, cohort=True)
+def forest_scores_by_stump(spark, path):
+    """The forest study with one unbagged one-cut tree; the out-of-bag tree has the first bag."""
+    out = forest_scores(score_table(spark, path, "EF"), ["english_total"], trees=1, max_depth=1, max_features=None,
+                        bootstrap=False)
+    return rounded(out, "value")
+
+
+@register(
+    SCORES_SQL + _SPLIT_SQL.format(seed=10, train="(select count(*) - ceil(count(*) * 0.2) from ef)")
+    + stump_sql("s", "tr", "english_total") + f"""
+    select count(*) as n, round(avg(case when {stump_predicts('s', 'english_total')} = label then 1.0 else 0.0 end), 6)
+      as accuracy from te, s_best""", cohort=True)
+def tree_report_by_stump(spark, path):
+    out = tree_report(score_table(spark, path, "EF"), ["english_total"], test=0.2, max_depth=1)[1]
+    return rounded(out, "accuracy")
+
+
+_FOLD = """, fo as (select *, (row_number() over (partition by label order by md5('42|' || row_id), row_id) - 1) % 4 as fold
+    from tr)"""
+
+
+@register(
+    SCORES_SQL + _EIGHTY + _FOLD
+    + "".join(f", f{i} as (select * from fo where fold <> {i})" + stump_sql(f"g{i}", f"f{i}", "english_total") for i in range(4))
+    + ", per as (" + " union all ".join(
+        f"""select avg(case when {stump_predicts(f'g{i}', 'english_total')} = label then 1.0 else 0.0 end) as a
+        from fo, g{i}_best where fold = {i}""" for i in range(4))
+    + ") select setting, round(avg(a), 6) as accuracy from per, (values (0), (1)) s(setting) group by setting", cohort=True)
+def grid_of_stumps(spark, path):
+    """Cross-validated accuracy of two settings that give the same one-cut trees."""
+    grid = models.param_grid(trees=[1, 3], max_depth=[1], max_features=[None])
+    settings = tuned_forest(score_table(spark, path, "EF"), ["english_total"], grid, bootstrap=False)[1]
+    return rounded(settings.select("setting", "accuracy"), "accuracy")

@@ -6,6 +6,7 @@ from cohortwarn.catalog.registry import COHORT, register, rounded
 from cohortwarn.functions import course_is, course_prefix, course_startswith
 from cohortwarn.operators import clean
 from cohortwarn.sources import cohort_tables, load, read_cohort, read_snapshot
+from cohortwarn.sources.tables import describe_columns
 
 
 @register("select student_id from students", cohort=True)
@@ -13,6 +14,14 @@ def scan_students(spark, path):
     return cohort_tables(spark, path).students
 
 
+@register(
+    """select cast(row_number() over (order by column_index) - 1 as integer) as position, column_name as name,
+      case data_type when 'VARCHAR' then 'string' when 'INTEGER' then 'int' else lower(data_type) end as type, is_nullable as nullable
+    from duckdb_columns() where table_name = 'customer'""")
+def list_columns(spark, path):
+    return describe_columns(load(spark, path, "customer"))
+
+
 @register("select c_custkey as student_id, c_acctbal as math_diagnosis from customer")
 def scan_aliased(spark, path):
     return load(spark, path, "customer").select(

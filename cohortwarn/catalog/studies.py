@@ -8,7 +8,7 @@ from cohortwarn.catalog.registry import COHORT, PICKS_SQL, factor_sql, r6, regis
 from cohortwarn.catalog.summaries import corr_sql, histogram_sql
 from cohortwarn.operators import models, summary
 from cohortwarn.plans import studies, tables
-from cohortwarn.plans.tables import FACTORS
+from cohortwarn.plans.tables import FACTORS, VIEW_FACTORS
 from cohortwarn.sources import cohort_tables
 
 _COMPLETE = " and ".join(f"{f} is not null" for f in FACTORS)
@@ -32,8 +32,8 @@ def early_warning_table(spark, path):
 
 @register()
 def early_warning_models(spark, path):
-    rows = tables.task(tables.early_warning(cohort_tables(spark, path), COHORT, activity=False), "PF")
-    return studies.warning_reports(rows, FEATURES, dropped=["english_total"], trees=50)
+    rows = tables.task(tables.early_warning(cohort_tables(spark, path), COHORT), "PF")
+    return studies.warning_reports(rows, [*FEATURES, *FACTORS], dropped=["english_total"], trees=50)
 
 
 @register(_early_sql(["page_view_factor"]) + prior_sql() + f"""select row_id, student_id, grade, absence_time, math_score,
@@ -47,9 +47,9 @@ def history_table(spark, path):
 
 @register()
 def history_models(spark, path):
-    rows = tables.early_warning_with_history(cohort_tables(spark, path), COHORT, _PRIOR, activity=False)
+    rows = tables.early_warning_with_history(cohort_tables(spark, path), COHORT, _PRIOR)
     grid = models.param_grid(trees=[10, 20], max_depth=[2, 5], max_features=["sqrt", None])
-    features = [*FEATURES, *_PRIOR.values()]
+    features = [*FEATURES, "page_view_factor", *_PRIOR.values()]
     return studies.tuned_forest(tables.task(rows, "PF"), features, grid)[2]
 
 
@@ -89,6 +89,7 @@ _COVERAGE = PICKS_SQL + f"""
 , me as (select ab.grade, ab.absence_time, d.math_score, d.english_total, {', '.join('fac.' + f for f in FACTORS)}
     from ab join (select distinct * from diagnostics) d using (student_id) join fac using (student_id))
 """
+# Display names of the variables.
 _LABELS = {
     "grade": "Grade", "absence_time": "Absence", "math_score": "Math diagnosis", "english_total": "English total",
     "page_view_factor": "Page view factor", "participation_factor": "Participation factor",
@@ -190,7 +191,7 @@ def baseline_table(spark, path):
 @register()
 def baseline_forest(spark, path):
     rows = tables.task(tables.baseline(cohort_tables(spark, path), COHORT), "EF")
-    return studies.forest_scores(rows, ["absence_time", "math_score"], trees=50, oob_trees=10)
+    return studies.forest_scores(rows, ["absence_time", "math_score"], trees=50)
 
 
 @register(PICKS_SQL + f""", fac as {factor_sql('snap1', 'mean')}
@@ -206,8 +207,16 @@ def activity_baseline_table(spark, path):
 
 @register()
 def before_after_balance(spark, path):
-    rows = tables.task(tables.early_warning(cohort_tables(spark, path), COHORT, activity=False), "PF")
-    return studies.before_after_smote(rows, FEATURES, trees=50)
+    rows = tables.task(tables.activity_baseline(cohort_tables(spark, path), COHORT), "EF")
+    return studies.before_after_smote(rows, ["absence_time", "math_score", "missing", *VIEW_FACTORS], trees=50)
+
+
+@register(
+    """select student_id, count(student_id) as n_students from grades where grade = 'F' group by student_id
+    having count(student_id) >= 2""", cohort=True)
+def repeated_failures(spark, path):
+    """Groups with two fails or more; at every scale some groups have fewer."""
+    return summary.fail_counts(cohort_tables(spark, path).grades, course="student_id", student="id", min_n=2)
 
 
 @register(
@@ -237,5 +246,3 @@ def task_sizes(spark, path):
     parts = [summary.label_counts(tables.task(rows, t), "label").select(F.lit(t).alias("task"), "label", "n")
              for t in ("PF", "EF")]
     return summary.append_tables(parts)
-
-

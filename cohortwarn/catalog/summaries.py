@@ -8,8 +8,8 @@ from cohortwarn.catalog.registry import COHORT, PICKS_SQL, factor_sql, r6, regis
 from cohortwarn.operators import hypotheses, summary
 from cohortwarn.operators.clean import drop_missing
 from cohortwarn.operators.dedup import first_per_key
+from cohortwarn.operators.joins import cohort_features
 from cohortwarn.plans.tables import FACTORS, pair_table, snapshot_factors
-from cohortwarn.session import stable
 from cohortwarn.sources import cohort_tables, load, read_cohort
 
 _FAILS = "select course, count(student_id) as n_students from grades where grade = 'F' group by course"
@@ -48,13 +48,16 @@ def label_counts(spark, path):
     return summary.label_counts(cohort_tables(spark, path).grades, "grade")
 
 
-_POINTED = """select course, cast(count(*) filter (grade = 'E') as bigint) as "E",
-    cast(count(*) filter (grade = 'F') as bigint) as "F" from grades group by course"""
+_GRADES = ("A", "B", "C", "D", "E", "F")
+_POINTED = "select course, " + ", ".join(
+    f"""cast(count(*) filter (grade = '{g}') as bigint) as "{g}" """ for g in _GRADES) + """,
+    cast(count(*) filter (grade not in ('A', 'B', 'C', 'D', 'E', 'F') or grade is null) as bigint) as other
+    from grades group by course"""
 
 
 @register(_POINTED, cohort=True)
 def crosstab(spark, path):
-    return summary.crosstab(cohort_tables(spark, path).grades, "course", "grade", ["E", "F"])
+    return summary.crosstab(cohort_tables(spark, path).grades, "course", "grade", _GRADES, other="other")
 
 
 @register("select count(*) as n from absence", cohort=True)
@@ -119,16 +122,16 @@ _DESCRIBED = ("mean", "std", "q25", "q50", "q75")
 
 
 @register(
-    f"""select grade, n, {r6('mean', 'std')}, "min", {r6('q25', 'q50', 'q75')}, "max" from (
+    PICKS_SQL + f"""select grade, n, {r6('mean', 'std')}, "min", {r6('q25', 'q50', 'q75')}, "max" from (
     select grade, count(v) as n, avg(v) as mean, stddev_samp(v) as std, min(v) as "min", max(v) as "max",
       quantile_cont(v, 0.25) as q25, quantile_cont(v, 0.5) as q50, quantile_cont(v, 0.75) as q75
-    from (select grade, absence.lesson_time as v from grades join absence
-          on grades.student_id = absence.student_id and grades.course = absence.course) group by grade)""", cohort=True)
+    from (select grade, math_score as v from g1 join a1 using (student_id) join diagnostics using (student_id))
+      group by grade)""", cohort=True)
 def describe_by_class(spark, path):
+    """One row per student: the baseline rows with every grade."""
     t = cohort_tables(spark, path)
-    rows = t.grades.join(t.absence.select("student_id", "course", "lesson_time"), ["student_id", "course"])
-    rows = stable(rows.select("grade", "lesson_time"))
-    return rounded(summary.describe_by(rows, "grade", "lesson_time"), *_DESCRIBED)
+    rows = cohort_features(t.grades, t.absence, t.diagnostics, COHORT.course, COHORT.absence_order, exact=True)
+    return rounded(summary.describe_by(rows, "grade", "math_score"), *_DESCRIBED)
 
 
 def histogram_sql(source: str, by: str, cols: list[str], bins: int, shared: bool) -> str:

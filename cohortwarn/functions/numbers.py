@@ -30,7 +30,7 @@ def finite_or_null(col: Column) -> Column:
 
 def ratio(num: Column, den: Column) -> Column:
     """Division that is null where the divisor is zero or the result is not finite."""
-    return F.try_divide(num.cast("double"), den.cast("double"))
+    return finite_or_null(F.try_divide(num.cast("double"), den.cast("double")))
 
 
 def hash_hex(seed: int | str, *cols: Column) -> Column:

@@ -7,15 +7,20 @@
 from __future__ import annotations
 
 import argparse
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cohortwarn.operators import summary
 from cohortwarn.operators.clean import keep
-from cohortwarn.operators.models import param_grid
+from cohortwarn.operators.evaluate import higher_grade_check
+from cohortwarn.operators.hypotheses import chi2_scores
+from cohortwarn.operators.models import fit_forest, param_grid
 from cohortwarn.plans import studies, tables
 from cohortwarn.plans.tables import FACTORS, Cohort
+from cohortwarn.session import clear_shared
 from cohortwarn.sources.folder import SchoolTables
 
 Study = Callable[[object, Cohort, argparse.Namespace], DataFrame]
@@ -39,8 +44,19 @@ def _models(t, c, a):
 
 def _search(t, c, a):
     rows = _warning_rows(t, c, a)
-    grid = param_grid(trees=[10, 20, 50], max_depth=[None, 4], max_features=[None, "sqrt"], min_leaf=[1, 2])
-    return studies.tuned_forest(rows, _features(rows), grid)[1]
+    return studies.tuned_forest(rows, _features(rows), param_grid(**a.grid))[1]
+
+
+def _feature_scores(t, c, a):
+    rows = _warning_rows(t, c, a)
+    return chi2_scores(rows, _features(rows), "label")
+
+
+def _higher_grades(t, c, a):
+    every = tables.early_warning(t, c, scope=a.scope, activity=not a.no_activity)
+    rows = tables.task(every, "EF")
+    model = fit_forest(rows, _features(rows), "label", trees=a.trees)
+    return higher_grade_check(model, every)
 
 
 def _forest(table):
@@ -60,6 +76,9 @@ def _tree(table, test):
     return run
 
 
+#: Settings that a search tries when none are given.
+GRID = {"trees": [10, 20, 50], "max_depth": [None, 4], "max_features": [None, "sqrt"], "min_leaf": [1, 2]}
+
 STUDIES: dict[str, Study] = {
     "attrition": lambda t, c, a: summary.retention(summary.attrition_funnel(
         t, c.course, c.prefix, c.month_day, c.absence_order, diagnostics_drop=a.drop,
@@ -81,6 +100,12 @@ STUDIES: dict[str, Study] = {
     "tree_absence_activity": _tree(tables.absence_activity, 0.2),
     "tree_activity": _tree(tables.activity_only, 0.3),
     "forest_baseline": _forest(tables.baseline),
+    "before_after": lambda t, c, a: studies.before_after_smote(
+        rows := tables.task(tables.activity_baseline(t, c), a.task), _features(rows), trees=a.trees, k=a.neighbours),
+    "class_correlation": lambda t, c, a: summary.corr_matrix(tables.class_correlation_table(
+        t, c, a.classes, F.to_date(F.lit(a.day)))),
+    "feature_scores": _feature_scores,
+    "higher_grades": _higher_grades,
     "forest_activity": _forest(tables.activity_baseline),
 }
 
@@ -99,6 +124,9 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--drop", nargs="*", default=[], help="variables to leave out")
     p.add_argument("--trees", type=int, default=100)
     p.add_argument("--neighbours", type=int, default=5)
+    p.add_argument("--classes", nargs="*", default=[], help="class codes, for class_correlation")
+    p.add_argument("--day", help="snapshot day, for class_correlation")
+    p.add_argument("--grid", type=json.loads, default=GRID, help="JSON: values to try for each forest parameter")
     p.add_argument("--no-activity", action="store_true")
     p.add_argument("--exact", action="store_true", help="codes have one spelling: push the filters down")
     p.add_argument("--plan-names", action="store_true", help="tables carry the names of this package")
@@ -109,7 +137,10 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
     t = SchoolTables(spark, a.tables, source_names=not a.plan_names)
     cohort = Cohort(
         a.course, a.prefix or a.course[:8], a.month_day, ("school_year", "id"), ("id",), exact=a.exact)
-    STUDIES[a.study](t, cohort, a).write.mode("errorifexists").parquet(a.out)
+    try:
+        STUDIES[a.study](t, cohort, a).write.mode("errorifexists").parquet(a.out)
+    finally:
+        clear_shared(spark)
 
 
 if __name__ == "__main__":

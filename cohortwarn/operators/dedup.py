@@ -21,6 +21,8 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str | C
 
     Spark turns ``row_number() = 1`` into a group limit that also runs before
     the shuffle, so a key holding a third of the table sends one row per map task.
+    A column given by name sorts missing values last: a row without a year is not the earliest.
     """
-    spec = Window.partitionBy(*keys).orderBy(*order_by)
+    order = [F.col(c).asc_nulls_last() if isinstance(c, str) else c for c in order_by]
+    spec = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(spec)).filter(F.col("_rn") == 1).drop("_rn")

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortwarn.functions import course_startswith, grade_points
+from cohortwarn.functions import canonical_code, course_is, course_startswith, grade_points
 from cohortwarn.operators.clean import drop_missing, keep
 from cohortwarn.operators.dedup import first_per_key
 
@@ -57,14 +57,18 @@ def cohort_features(
     """Grade, absence and diagnostics, one row per student.
 
     Every side is reduced to one row per student before the joins, so nothing
-    fans out.  ``scope='course'`` takes absence from the graded course only;
+    fans out.  ``scope='course'`` takes absence from the graded course only (not from another with the same prefix);
     ``scope='student'`` takes the student's first absence record of any course.
     Where tables share other column names, the grade row's value is kept.
     """
     cohort = grades.filter(course_startswith(F.col(course), prefix, exact))
     g = first_per_key(cohort, [student], grade_order)
     if scope == "course":
-        a = absence.filter(course_startswith(F.col(course), prefix, exact))
+        code = F.col(course) if exact else canonical_code(F.col(course))
+        graded = g.select(F.col(student).alias("_student"), code.alias("_graded"))
+        a = absence.filter(course_startswith(F.col(course), prefix, exact)).withColumn("_code", code).join(
+            graded, (F.col(student) == F.col("_student")) & (F.col("_code") == F.col("_graded")), "left_semi")
+        a = a.drop("_code")
     elif scope == "student":
         a = absence
     else:
@@ -83,19 +87,21 @@ def prior_grades(
     course: str = "course",
     grade: str = "grade",
     order: str = "id",
+    exact: bool = False,
 ) -> DataFrame:
     """Points of earlier courses side by side, for students graded in all of them.
 
     One scan and one aggregation: per course the first valid grade in ``order``.
-    ``courses`` maps course code to output column.
+    ``courses`` maps course code to output column; codes match in any spelling unless ``exact``.
     """
+    is_code = {code: course_is(F.col(course), code, exact) for code in courses}
     points = (
-        grades.filter(F.col(course).isin(*courses))
+        grades.filter(reduce(lambda a, b: a | b, is_code.values()))
         .select(student, course, order, grade_points(F.col(grade)).alias("_points"))
         .filter(F.col("_points").isNotNull())
     )
     wide = points.groupBy(student).agg(*[
-        F.min_by(F.when(F.col(course) == code, F.col("_points")), F.when(F.col(course) == code, F.col(order)))
+        F.min_by(F.when(is_code[code], F.col("_points")), F.when(is_code[code], F.col(order)))
         .alias(out)
         for code, out in courses.items()
     ])

@@ -42,7 +42,12 @@ def assemble(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
 
 
 def _depth(max_depth: int | None) -> int:
-    return MAX_DEPTH if max_depth is None else min(max_depth, MAX_DEPTH)
+    """``None`` is as deep as Spark's trees go; a greater depth is an error, not a silent cut."""
+    if max_depth is None:
+        return MAX_DEPTH
+    if max_depth > MAX_DEPTH:
+        raise ValueError(f"trees go {MAX_DEPTH} levels deep at most, not {max_depth}")
+    return max_depth
 
 
 def _subset(max_features: str | float | int | None) -> str:
@@ -220,6 +225,7 @@ def grid_search(
     folds: int = 4,
     seed: int = 42,
     parallelism: int = 4,
+    bootstrap: bool = True,
 ) -> tuple[PipelineModel, DataFrame]:
     """Cross-validated accuracy of each setting; the best is refitted on all rows.
 
@@ -227,7 +233,7 @@ def grid_search(
     """
     rows = assign_folds(df.select(key, *features, label), key=[key], label=label, folds=folds, seed=seed)
     rows = stable(assemble(rows, features, label).select(FEATURES, LABEL, "fold"))
-    forest = forest_classifier(seed=seed)
+    forest = forest_classifier(seed=seed, bootstrap=bootstrap)
     setters = {
         "trees": (forest.numTrees, int), "max_depth": (forest.maxDepth, _depth),
         "max_features": (forest.featureSubsetStrategy, _subset), "min_leaf": (forest.minInstancesPerNode, int),

@@ -70,12 +70,27 @@ def label_counts(df: DataFrame, label: str, name: str = "n") -> DataFrame:
     return df.groupBy(label).agg(F.count(F.lit(1)).alias(name))
 
 
-def crosstab(df: DataFrame, rows: str, cols: str, values: Sequence[object], names: Sequence[str] | None = None):
-    """Counts of ``rows`` against the listed ``cols`` values, zero filled, in one aggregation."""
+def crosstab(
+    df: DataFrame,
+    rows: str,
+    cols: str,
+    values: Sequence[object],
+    names: Sequence[str] | None = None,
+    other: str | None = None,
+) -> DataFrame:
+    """Counts of ``rows`` against the listed ``cols`` values, zero filled, in one aggregation.
+
+    Values that are not listed (missing ones too) are counted in the column ``other``; without one they are an error.
+    """
     names = list(names or [str(v) for v in values])
-    return df.groupBy(rows).agg(*[
-        F.count_if(F.col(cols) == v).alias(n) for v, n in zip(values, names, strict=True)
-    ])
+    unlisted = ~F.coalesce(F.col(cols).isin(*values), F.lit(False))
+    counts = df.groupBy(rows).agg(
+        *[F.count_if(F.col(cols) == v).alias(n) for v, n in zip(values, names, strict=True)],
+        F.count_if(unlisted).alias(other or "_other"))
+    if other:
+        return counts
+    error = F.raise_error(F.lit(f"{cols} has values other than {list(values)}")).cast("long")
+    return counts.select(rows, *[F.when(F.col("_other") > 0, error).otherwise(F.col(f"`{n}`")).alias(n) for n in names])
 
 
 def attrition_counts(

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortwarn.operators.evaluate import accuracy, classification_report, prediction_table
+from cohortwarn.operators.evaluate import accuracy, classification_report, confusion, prediction_table
 from cohortwarn.operators.models import (
     ablate,
     fit_forest,
@@ -43,8 +43,9 @@ class Study:
         seed: int = 42,
     ):
         self.key, self.label, self.features, self.seed = key, label, list(features), seed
-        rows = stable(table.select(key, *features, label))
-        marked = stable(mark_split(rows, [key], None if test else train, test, seed))
+        rows = stable(table.select(key, *features, label), "study")
+        # One folder for each side: a fit does not read the test rows.
+        marked = stable(mark_split(rows, [key], None if test else train, test, seed), "split", "is_train")
         self.train, self.test = (marked.filter(F.col("is_train") == v).drop("is_train") for v in (1, 0))
 
     def forest(self, features: Sequence[str] | None = None, train: DataFrame | None = None, **params):
@@ -78,15 +79,17 @@ def warning_reports(
         study.report(study.forest(trees=trees, max_features=None), "all features"),
         study.report(study.forest(left, trees=trees, max_features=None), "features dropped"),
         study.report(study.forest(left, balanced, trees=trees), "balanced"),
-        study.report(study.forest(left, balanced, trees=20, max_depth=10, max_features=None, min_leaf=2), "tuned"),
+        study.report(study.forest(left, balanced, trees=20, max_depth=None, max_features=None, min_leaf=2), "tuned"),
     ])
 
 
-def tuned_forest(table: DataFrame, features: Sequence[str], grid: Sequence[Mapping[str, object]], folds: int = 4):
+def tuned_forest(
+    table: DataFrame, features: Sequence[str], grid: Sequence[Mapping[str, object]], folds: int = 4, **params
+):
     """Grid search on the training rows; the settings table and the best model's test report."""
     study = Study(table, features)
     model, settings = grid_search(
-        study.train, study.key, study.features, study.label, grid, folds=folds, seed=study.seed)
+        study.train, study.key, study.features, study.label, grid, folds=folds, seed=study.seed, **params)
     return model, settings, study.report(model, "best setting")
 
 
@@ -97,16 +100,32 @@ def tree_report(table: DataFrame, features: Sequence[str], test: float = 0.2, **
     return tree_rules(model, table.sparkSession), accuracy(predict(model, study.test))
 
 
-def forest_scores(table: DataFrame, features: Sequence[str], trees: int = 100, oob_trees: int = 20) -> DataFrame:
-    """Test accuracy, out-of-bag accuracy and importances of one forest, long form."""
+def forest_scores(
+    table: DataFrame,
+    features: Sequence[str],
+    trees: int = 100,
+    parallelism: int = 4,
+    bootstrap: bool = True,
+    **params,
+) -> DataFrame:
+    """Test accuracy, out-of-bag accuracy, confusion and importances of one forest, long form.
+
+    The out-of-bag trees have the number, depth and feature subset of the forest.
+    """
     study = Study(table, features)
-    model = study.forest(trees=trees)
-    test = accuracy(predict(model, study.test)).select(F.lit("test accuracy").alias("measure"), F.col("accuracy").alias("value"))
-    oob = oob_score(study.train, study.key, study.features, study.label, trees=oob_trees, seed=study.seed, max_depth=5)
+    model = study.forest(trees=trees, bootstrap=bootstrap, **params)
+    scored = predict(model, study.test)
+    test = accuracy(scored).select(F.lit("test accuracy").alias("measure"), F.col("accuracy").alias("value"))
+    cells = confusion(scored).select(F.col("label"), F.inline(F.array(*[
+        F.struct(F.lit(p).alias("name"), F.col(p).alias("n")) for p in ("predicted_0", "predicted_1")])))
+    cells = cells.select(F.concat_ws(" ", F.lit("label"), F.col("label").cast("int").cast("string"), "name").alias("measure"),
+                         F.col("n").cast("double").alias("value"))
+    oob = oob_score(study.train, study.key, study.features, study.label, trees=trees, seed=study.seed,
+                    parallelism=parallelism, **params)
     oob = oob.select(F.lit("oob accuracy").alias("measure"), F.col("oob_accuracy").alias("value"))
     imp = importances(model, table.sparkSession).select(
         F.concat(F.lit("importance "), "feature").alias("measure"), F.col("importance").alias("value"))
-    return append_tables([test, oob, imp])
+    return append_tables([test, cells, oob, imp])
 
 
 def before_after_smote(table: DataFrame, features: Sequence[str], trees: int = 100, k: int = 5) -> DataFrame:

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortwarn.functions import encode_label, grade_binary
+from cohortwarn.functions import canonical_code, encode_label, grade_binary
 from cohortwarn.operators.clean import (
     TASK_EXCLUDES,
     any_of,
@@ -111,7 +111,7 @@ def early_warning(
 def early_warning_with_history(t, c: Cohort, courses: dict[str, str], activity: bool = True) -> DataFrame:
     """The early-warning table with the points of earlier courses."""
     return early_warning(t, c, activity=activity, factors=("page_view_factor",)).join(
-        prior_grades(t.grades, courses), STUDENT)
+        prior_grades(t.grades, courses, exact=c.exact), STUDENT)
 
 
 def all_variables(t, c: Cohort) -> DataFrame:
@@ -162,9 +162,11 @@ def class_correlation_table(t, c: Cohort, classes: Sequence[str], day: Column) -
     """All grades as points with absence and one day's activity of the listed classes, not de-duplicated."""
     grades = read_cohort(t.grades, c.course, exact=c.exact).select(STUDENT, "grade")
     absence = read_cohort(t.absence, c.course, exact=c.exact).select(STUDENT, "absence_time")
-    wanted = any_of([{"course": x, "snapshot_date": day} for x in classes])
+    codes = [x if c.exact else x.rstrip().lower() for x in classes]
+    rows = t.activity if c.exact else t.activity.withColumn("course", canonical_code(F.col("course")))
+    wanted = any_of([{"course": x, "snapshot_date": day} for x in codes])
     counters = ["page_views", "page_views_level", "participations", "participations_level", "missing", "on_time", "late"]
-    act = keep(t.activity.filter(wanted), [STUDENT, *counters])
+    act = keep(rows.filter(wanted), [STUDENT, *counters])
     joined = grades_to_points(grades, "grade", "null").join(absence, STUDENT).join(act, STUDENT)
     return joined.drop(STUDENT)
 
