@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from cohortwarn.catalog.registry import COHORT, PICKS_SQL, register, rounded
+from cohortwarn.catalog.registry import COHORT, PICKS_SQL, SQL, register, rounded
 from cohortwarn.functions import encode_label, hash_unit
 from cohortwarn.operators import evaluate, models, ranks, smote
 from cohortwarn.operators.clean import build_task, TASK_EXCLUDES
@@ -158,6 +158,13 @@ def smote_rows(spark, path):
     return rounded(smote.smote(rows, "row_id", FEATURES, "label"), *FEATURES)
 
 
+@register(SQL["smote_rows"], name="smote_rows_many_leaves")
+def smote_rows_many_leaves(spark, path):
+    """The same rows when the neighbour search spreads over many leaves and groups."""
+    rows = score_table(spark, path).select("row_id", *FEATURES, "label")
+    return rounded(smote.smote(rows, "row_id", FEATURES, "label", leaf_rows=16, visitors=8), *FEATURES)
+
+
 _DANGER = _pair_cte("around", "small", "pf", 10) + """
 , marked as (select row_id, count(*) filter (nb_label = 1) as n_majority from around group by row_id)
 , border as (select small.* from small join marked using (row_id) where n_majority * 2 >= 10 and n_majority < 10)
@@ -174,6 +181,12 @@ def danger_rows(spark, path):
     return smote.danger_points(rows, "row_id", FEATURES, "label")
 
 
+@register(SQL["danger_rows"], name="danger_rows_many_leaves")
+def danger_rows_many_leaves(spark, path):
+    rows = score_table(spark, path).select("row_id", *FEATURES, "label")
+    return smote.danger_points(rows, "row_id", FEATURES, "label", leaf_rows=32, visitors=16)
+
+
 @register(
     _SMALL_SQL + _DANGER + _pair_cte("near_small", "border", "small", 5) + _pair_cte("near_large", "border", "large", 5)
     + _copies_cte("border") + _KEPT

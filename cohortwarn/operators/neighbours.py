@@ -7,10 +7,15 @@
    leaves of similar size.  The tree only decides where points go; the answer
    does not depend on it.
 3. Own leaf: each query point finds its nearest points inside its leaf.
-4. Other leaves: a query point visits only leaves whose bounding box is at most
-   as far away as the best distance so far.  Leaves with many visitors are split
-   into several groups.
-5. The lists are merged by distance, then key.
+4. Nearest boxes: a query point visits the few leaves with the nearest bounding
+   boxes, if these are not farther away than its best distance so far.
+5. Other leaves: with the distance found by then, it visits what other leaves may
+   still hold something nearer.  With many features boxes overlap, and the second
+   round keeps most of them from being visited.
+6. The lists are merged by distance, then key.
+
+In each pass a leaf with many query points is split into several groups, so where
+the query points cluster does not matter.
 
 No pair of points leaves a task; a task holds one leaf and works in blocks.
 """
@@ -33,6 +38,8 @@ LEAF_ROWS = 4096
 MAX_LEAVES = 16_384
 SAMPLE_PER_LEAF = 16
 SAMPLE_ROWS = 4096
+# Boxes that the first round of visits may go to.
+FIRST_BOXES = 4
 VISITORS = 8192
 _CELLS = 2_000_000
 
@@ -136,18 +143,8 @@ def _search(k: int):
     return run
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A number per row that depends on its values only, so a rerun task sends rows the same way."""
-    h = np.zeros(len(x), dtype=np.uint64)
-    for j in range(x.shape[1]):
-        bits = np.ascontiguousarray(x[:, j]).view(np.uint64)
-        h = (h ^ bits) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(32)
-    return h
-
-
-def _visits(boxes: pd.DataFrame, groups: dict[int, int] | None):
-    """For each query point: the other leaves that may hold a nearer point."""
+def _visits(boxes: pd.DataFrame, first: bool):
+    """For each query point: other leaves that may hold a nearer point, among the nearest boxes or the rest."""
     leaf = boxes["_leaf"].to_numpy()
     lo, hi = np.stack(boxes["_lo"].to_numpy()), np.stack(boxes["_hi"].to_numpy())
 
@@ -161,20 +158,38 @@ def _visits(boxes: pd.DataFrame, groups: dict[int, int] | None):
                 for j in range(x.shape[1]):
                     v = x[:, j, None]
                     gap += np.maximum(np.maximum(lo[None, :, j] - v, v - hi[None, :, j]), 0.0) ** 2
+                own = leaf[None, :] == part["_leaf"].to_numpy()[:, None]
                 # The slack covers rounding in the two distance sums.
-                reach = part["_reach"].to_numpy()[:, None] * (1 + 1e-9)
-                near = (gap <= reach) & (leaf[None, :] != part["_leaf"].to_numpy()[:, None])
-                rows, cols = np.nonzero(near)
-                target = leaf[cols]
-                slot = np.zeros(len(target), dtype=np.int32)
-                if groups is not None:
-                    parts = np.array([groups[int(t)] for t in target], dtype=np.uint64)
-                    slot = (_mix(x)[rows] % np.maximum(parts, 1)).astype(np.int32)
-                yield pd.DataFrame({"_vec": part["_vec"].to_numpy()[rows], "_leaf": target, "_slot": slot})
+                near = (gap <= part["_reach"].to_numpy()[:, None] * (1 + 1e-9)) & ~own
+                order = np.argsort(np.where(own, np.inf, gap), axis=1, kind="stable")[:, :FIRST_BOXES]
+                nearest = np.zeros_like(near)
+                np.put_along_axis(nearest, order, True, axis=1)
+                rows, cols = np.nonzero(near & (nearest if first else ~nearest))
+                yield pd.DataFrame({"_vec": part["_vec"].to_numpy()[rows], "_leaf": leaf[cols]})
 
     return run
 
 
+def _search_leaves(travel: DataFrame, placed: DataFrame, kk: int, schema: str, visitors: int) -> DataFrame:
+    """Nearest points of each query row (_vec, _leaf) within that leaf; busy leaves are held by several groups."""
+    # One row for each leaf: bounded by the number of leaves.
+    parts = travel.groupBy("_leaf").agg(F.ceil(F.count(F.lit(1)) / visitors).cast("int").alias("_parts"))
+    guests = travel.join(parts, "_leaf").select(
+        "_vec", "_leaf", F.pmod(F.xxhash64("_vec"), F.col("_parts")).cast("int").alias("_slot"))
+    hosts = placed.join(parts, "_leaf").select(
+        "_key", "_tag", "_vec", "_leaf", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_slot"))
+    return guests.groupBy("_leaf", "_slot").cogroup(hosts.groupBy("_leaf", "_slot")).applyInPandas(_search(kk), schema)
+
+
+def _reach(targets: DataFrame, found: DataFrame, kk: int) -> DataFrame:
+    """Query points with the distance within which a nearer point would have to lie."""
+    by_rank = Window.partitionBy("_vec").orderBy("_d2")
+    best = found.select("_vec", "_d2").withColumn("_rn", F.row_number().over(by_rank)).filter(F.col("_rn") <= kk)
+    reach = best.groupBy("_vec").agg(
+        F.when(F.count(F.lit(1)) >= kk, F.max("_d2")).otherwise(F.lit(float("inf"))).alias("_reach"))
+    return targets.join(reach, "_vec", "left").na.fill(float("inf"), ["_reach"])
+
+
 def nearest_neighbours(
     queries: DataFrame,
     references: DataFrame,
@@ -208,7 +223,7 @@ def nearest_neighbours(
 
     if leaves == 1:
         placed = points.withColumn("_leaf", F.lit(0))
-        targets = wanted.withColumn("_leaf", F.lit(0))
+        targets = stable(wanted.withColumn("_leaf", F.lit(0)), "targets")
     else:
         # Bounded: about MAX_LEAVES * SAMPLE_PER_LEAF points at most.
         share = max(leaves * SAMPLE_PER_LEAF, SAMPLE_ROWS) / n
@@ -216,30 +231,19 @@ def nearest_neighbours(
         tree = np.stack(sample["_vec"].to_numpy()) if len(sample) else np.zeros((1, len(features)))
         leaf = _leaf_udf(_cut_tree(tree, leaves))
         placed = stable(points.withColumn("_leaf", leaf("_vec")))
-        targets = wanted.withColumn("_leaf", leaf("_vec"))
+        targets = stable(wanted.withColumn("_leaf", leaf("_vec")), "targets")
 
-    own = targets.groupBy("_leaf").cogroup(placed.groupBy("_leaf")).applyInPandas(_search(kk), schema)
+    own = _search_leaves(targets, placed, kk, schema, visitors)
     if leaves > 1:
-        own = stable(own)
-        reach = own.groupBy("_vec").agg(
-            F.when(F.count(F.lit(1)) >= kk, F.max("_d2")).otherwise(F.lit(float("inf"))).alias("_reach"))
-        reach = targets.join(reach, "_vec", "left").na.fill(float("inf"), ["_reach"])
-        # One row per leaf: bounded by MAX_LEAVES.
         boxes = placed.groupBy("_leaf").agg(
             F.array(*[F.min(F.col("_vec")[j]) for j in range(len(features))]).alias("_lo"),
             F.array(*[F.max(F.col("_vec")[j]) for j in range(len(features))]).alias("_hi"),
-        ).toPandas()
-        visit_schema = "_vec array<double>, _leaf int, _slot int"
-        load = reach.mapInPandas(_visits(boxes, None), visit_schema).groupBy("_leaf").count().toPandas()
-        groups = {int(a): math.ceil(b / visitors) for a, b in zip(load["_leaf"], load["count"], strict=True)}
-        travel = reach.mapInPandas(_visits(boxes, groups), visit_schema)
-        table = placed.sparkSession.createDataFrame(
-            [(a, b) for a, b in groups.items()] or [(-1, 1)], "_leaf int, _parts int")
-        hosts = placed.join(F.broadcast(table), "_leaf").select(
-            "_key", "_tag", "_vec", "_leaf", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_slot"))
-        other = travel.groupBy("_leaf", "_slot").cogroup(hosts.groupBy("_leaf", "_slot")).applyInPandas(
-            _search(kk), schema)
-        own = own.unionByName(other)
+        ).toPandas()  # bounded by MAX_LEAVES
+        for first in (True, False):
+            own = stable(own, "found")
+            reach = _reach(targets, own, kk)
+            travel = stable(reach.mapInPandas(_visits(boxes, first), "_vec array<double>, _leaf int"), "visits")
+            own = own.unionByName(_search_leaves(travel, placed, kk, schema, visitors))
 
     best = Window.partitionBy("_vec").orderBy("_d2", "_key")
     lists = (

@@ -26,10 +26,9 @@ def _class_sizes(df: DataFrame, label: str, minority: float) -> tuple[int, int]:
 
 def _copies(df: DataFrame, need: int, base: int) -> DataFrame:
     """``need`` copies in all, spread evenly over ``base`` rows by rank; numbered from 1."""
-    each, extra = divmod(need, base)
-    times = (F.lit(each) + F.when(F.col("_rank") < extra, 1).otherwise(0)).cast("int")
-    some = df.withColumn("_times", times).filter(F.col("_times") > 0)
-    return some.withColumn("syn_no", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    numbers = df.sparkSession.range(need).select(
+        (F.col("id") % base).alias("_rank"), (F.floor(F.col("id") / base) + 1).cast("int").alias("syn_no"))
+    return df.withColumn("_rank", F.col("_rank").cast("long")).join(numbers, "_rank")
 
 
 def _between(name: str, at: int, towards: Column, u: Column) -> Column:
@@ -57,18 +56,20 @@ def smote(
     minority: float = 0.0,
     k: int = 5,
     seed: int = 42,
+    **search,
 ) -> DataFrame:
     """Balance two classes with points on segments between minority neighbours.
 
     Returns ``key, syn_no, features, label``: originals have ``syn_no`` 0 and a
     synthetic row carries the key of its base row, so (key, syn_no) is unique.
+    ``search`` goes to the neighbour search.
     """
     rows = stable(df.select(key, *features, label))
     size, need = _class_sizes(rows, label, minority)
     if size <= k:
         raise ValueError(f"{size} minority rows are too few for {k} neighbours")
     base = stable(hash_rank(rows.filter(F.col(label) == minority), [key], seed, name="_rank"))
-    near = nearest_neighbours(base, base, key, features, k)
+    near = nearest_neighbours(base, base, key, features, k, **search)
     copies = _copies(near, need, size)
     u = hash_unit(f"{seed}u", F.col(key), F.col("syn_no"))
     synthetic = copies.withColumn("_to", _pick("neighbours", seed, key)).select(
@@ -78,18 +79,18 @@ def smote(
 
 
 def danger_points(
-    df: DataFrame, key: str, features: Sequence[str], label: str, minority: float = 0.0, m: int = 10
+    df: DataFrame, key: str, features: Sequence[str], label: str, minority: float = 0.0, m: int = 10, **search
 ) -> DataFrame:
     """Minority rows with the number of other-class rows among their ``m`` nearest of all rows.
 
     ``danger`` is 1 where at least half but not all of them are of the other class.
     """
     rows = stable(df.select(key, *features, label))
-    return _danger(rows, key, features, label, minority, m)
+    return _danger(rows, key, features, label, minority, m, **search)
 
 
-def _danger(rows, key, features, label, minority, m):
-    near = nearest_neighbours(rows.filter(F.col(label) == minority), rows, key, features, m, tag=label)
+def _danger(rows, key, features, label, minority, m, **search):
+    near = nearest_neighbours(rows.filter(F.col(label) == minority), rows, key, features, m, tag=label, **search)
     foreign = F.size(F.filter("neighbours", lambda e: e["tag"] != F.lit(float(minority))))
     return near.withColumn("n_majority", foreign).withColumn(
         "danger", ((F.col("n_majority") * 2 >= m) & (F.col("n_majority") < m)).cast("int")).drop("neighbours")

@@ -128,7 +128,7 @@ def test_reports_of_whole_studies(people):
     acc = {r.variant: r.accuracy for r in got.collect()}
     assert acc["all"] > acc["no signal"]
     assert {r.variant for r in before_after_smote(people, ["x", "u"], trees=3).collect()} == {"as is", "balanced"}
-    scores = {r.measure for r in forest_scores(people, ["x", "u"], trees=3, oob_trees=3).collect()}
+    scores = {r.measure for r in forest_scores(people, ["x", "u"], trees=3).collect()}
     assert scores == {"test accuracy", "oob accuracy", "importance x", "importance u"}
     assert warning_reports(people, ["x", "u"], ["u"], trees=3).select("variant").distinct().count() == 4
 
