@@ -60,7 +60,9 @@ class Lexicon:
         self.stems = {t[:-1]: w for t, w in weights.items() if t.endswith("*")}
         self.nodes: list[dict[str, int]] = [{}]
         self.ends: dict[int, str] = {}
-        self.heads, self.tails = set(), set()
+        # For each beginning and end of a term, the lengths of such terms as a bit set.
+        self.heads: dict[str, int] = {}
+        self.tails: dict[str, int] = {}
         for term in self.words:
             at = 0
             for c in term:
@@ -69,8 +71,9 @@ class Lexicon:
                     self.nodes.append({})
                 at = self.nodes[at][c]
             self.ends[at] = term
-            self.heads |= {term[:i] for i in range(1, len(term) + 1)}
-            self.tails |= {term[-i:] for i in range(1, len(term) + 1)}
+            for i in range(1, len(term) + 1):
+                self.heads[term[:i]] = self.heads.get(term[:i], 0) | 1 << len(term)
+                self.tails[term[-i:]] = self.tails.get(term[-i:], 0) | 1 << len(term)
         self.kept: dict[str, tuple | None] = {}
 
     def within(self, word: str, edits: int = EDITS) -> tuple[str, int] | None:
@@ -91,7 +94,18 @@ class Lexicon:
                         best = (e, self.ends[node])
                         found = best if found is None or best < found else found
                         break
-            for c, child in self.nodes[node].items():
+            branches = self.nodes[node]
+            if not any(sets[:-1]):
+                # No error is left to make: only the letters that come next in the word lead on.
+                last = sets[-1] & (done - 1)
+                while last:
+                    low = last & -last
+                    last ^= low
+                    c = word[low.bit_length() - 1]
+                    if c in branches:
+                        stack.append((branches[c], [*sets[:-1], (sets[-1] & reads[c]) << 1]))
+                continue
+            for c, child in branches.items():
                 mask, after, below = reads.get(c, 0), [], 0
                 for e, s in enumerate(sets):
                     new = (s & mask) << 1
@@ -111,10 +125,12 @@ class Lexicon:
         for n in reversed(STEMS):
             if len(word) > n and word[:n] in self.stems:
                 return "stems", self.stems[word[:n]], word[:n]
-        half = len(word) // 2
-        # One error leaves one half of the word as it is, at the same end of the term.
-        if len(word) >= SHORTEST and (word[:half] in self.heads or word[half:] in self.tails) \
-                and (near := self.within(word)):
+        n = len(word)
+        if n < SHORTEST:
+            return None
+        # One error leaves one half of the word as it is, at the same end of a term whose length differs by one at most.
+        half, lengths = n // 2, 0b111 << (n - 1)
+        if (self.heads.get(word[:half], 0) | self.tails.get(word[half:], 0)) & lengths and (near := self.within(word)):
             return "near", self.words[near[0]], near[0]
         return None
 
