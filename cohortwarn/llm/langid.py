@@ -133,7 +133,7 @@ class Model:
 
 
 def _has_letter(token: str) -> bool:
-    return token.isalpha() or bool(_LETTERS(token))
+    return any(map(str.isalpha, token))
 
 
 def learn(docs: DataFrame, words: int = WORDS, grams_: int = GRAMS) -> Model:

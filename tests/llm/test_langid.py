@@ -24,7 +24,7 @@ def test_words_come_first_then_long_grams_then_short():
 
 def test_no_letters_is_undetermined():
     predict = model().predictor()
-    for text in (None, "", "  ", "12 34", "!!! _ _"):
+    for text in (None, "", "  ", "12 34", "!!! _ _", "½ ²"):
         assert predict(text) == ("und", 0.0)
 
 
