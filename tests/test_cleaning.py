@@ -170,3 +170,8 @@ def test_importing_starts_nothing():
 
     root = pathlib.Path(__file__).parent.parent
     subprocess.run([sys.executable, "-c", code], check=True, cwd=root, timeout=120)
+
+
+def test_a_missing_year_is_not_the_earliest(spark):
+    df = spark.createDataFrame([("s1", None, 1), ("s1", "2019", 2), ("s2", None, 3)], "s string, year string, id long")
+    assert sorted(rows(dedup.first_per_key(df, ["s"], ["year", "id"]).select("s", "id"))) == [("s1", 2), ("s2", 3)]

@@ -93,3 +93,27 @@ def test_one_hot_class_is_combined_before_the_shuffle(activity):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan
     assert "partial_percentile" in plan
+
+
+def test_absence_is_taken_from_the_graded_course_only(spark):
+    grades = spark.createDataFrame([(1, "s1", "FYSFYS01a", "A"), (2, "s2", "FYSFYS01A ", "F")],
+                                   "id long, student_id string, course string, grade string")
+    absence = spark.createDataFrame(
+        [("s1", "FYSFYS01b", 2018, 1.0), ("s1", "fysfys01a", 2019, 2.0), ("s2", "FYSFYS01a", 2020, 3.0)],
+        "student_id string, course string, year int, absence double")
+    diag = spark.createDataFrame([("s1", 1.0), ("s2", 2.0)], "student_id string, math double")
+    out = joins.cohort_features(grades, absence, diag, "FYSFYS01", ["year"])
+    assert rows(out.select("student_id", "absence")) == [("s1", 2.0), ("s2", 3.0)]
+
+
+def test_prior_grades_match_any_spelling(spark):
+    grades = spark.createDataFrame([(1, "s1", "m2 ", "A"), (2, "s2", "M2", "E")],
+                                   "id long, student_id string, course string, grade string")
+    assert rows(joins.prior_grades(grades, {"M2": "p"})) == [("s1", 5), ("s2", 1)]
+    assert rows(joins.prior_grades(grades, {"M2": "p"}, exact=True)) == [("s2", 1)]
+
+
+def test_factors_are_finite(spark):
+    df = spark.createDataFrame([("c", 1e308), ("c", 1e-10), ("c", 1e-10), ("d", float("inf"))], "course string, x double")
+    out = factors.relative_factors(df, ["course"], {"f": "x"})
+    assert sorted(r.f for r in out.collect() if r.f is not None) == [1.0, 1.0]

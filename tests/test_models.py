@@ -137,3 +137,23 @@ def test_balanced_rows_leave_the_test_part_alone(study):
     new = study.resampled("borderline", k=3)
     test_keys = {r.row_id for r in study.test.select("row_id").collect()}
     assert not test_keys & {r.row_id for r in new.select("row_id").collect()}
+
+
+def test_a_depth_that_spark_does_not_have_is_an_error(people):
+    assert models.forest_classifier(max_depth=None).getMaxDepth() == 30
+    with pytest.raises(ValueError):
+        models.fit_tree(people, ["x"], "label", max_depth=31)
+
+
+def test_the_studies_use_the_stated_parameters(people, monkeypatch):
+    import cohortwarn.plans.studies as plans
+
+    fitted, bags = [], []
+    real_fit, real_oob = plans.fit_forest, plans.oob_score
+    monkeypatch.setattr(plans, "fit_forest", lambda *a, **k: fitted.append(k) or real_fit(*a, **k))
+    monkeypatch.setattr(plans, "oob_score", lambda *a, **k: bags.append(k) or real_oob(*a, **k))
+    plans.forest_scores(people, ["x", "u"], trees=2, max_depth=3)
+    same = ("trees", "max_depth", "max_features", "min_leaf")
+    assert {k: v for k, v in fitted[0].items() if k in same} == {k: v for k, v in bags[0].items() if k in same}
+    plans.warning_reports(people, ["x", "u"], dropped=[], trees=2)
+    assert fitted[-1]["max_depth"] is None and fitted[-1]["max_features"] is None and fitted[-1]["min_leaf"] == 2

@@ -107,3 +107,32 @@ def test_too_few_rows_is_an_error(spark):
     df = spark.createDataFrame([(1, 0.0, 0.0), (2, 1.0, 1.0), (3, 2.0, 1.0)], "k long, a double, y double")
     with pytest.raises(ValueError, match="too few"):
         smote.smote(df, "k", ["a"], "y")
+
+
+def test_many_features_and_clustered_queries(spark, monkeypatch):
+    """Queries that all fall into few leaves are split, and few boxes are visited in the second round."""
+    from cohortwarn.operators import neighbours
+
+    rng = np.random.default_rng(8)
+    n, features = 1200, [f"f{j}" for j in range(8)]
+    x = rng.normal(size=(n, 8))
+    x[:200] = 0.1 * rng.normal(size=(200, 8))  # the cluster
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], f"k long, {', '.join(f'{f} double' for f in features)}")
+    visited, sizes, real = [], [], neighbours._search_leaves
+
+    def counted(travel, placed, kk, schema, visitors):
+        per_leaf = travel.groupBy("_leaf").count().collect()
+        visited.append(sum(r["count"] for r in per_leaf))
+        sizes.append(max((r["count"] for r in per_leaf), default=0))
+        return real(travel, placed, kk, schema, visitors)
+
+    monkeypatch.setattr(neighbours, "_search_leaves", counted)
+    out = neighbours.nearest_neighbours(df.filter("k < 200"), df, "k", features, 4, leaf_rows=40, visitors=16)
+    got = {r.k: [e.key for e in r.neighbours] for r in out.collect()}
+    for i in range(200):
+        d = ((x - x[i]) ** 2).sum(axis=1)
+        d[i] = np.inf
+        assert got[i] == np.argsort(d, kind="stable")[:4].tolist()
+    leaves = df.count() / 40
+    assert len(visited) == 3 and visited[0] == 200 and visited[1] <= 200 * neighbours.FIRST_BOXES
+    assert visited[2] < 200 * (leaves - 5) / 2

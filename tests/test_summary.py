@@ -31,6 +31,13 @@ def test_crosstab_is_zero_filled(spark):
     assert out.columns == ["g", "F", "P"] and rows(out) == [("A", 2, 0), ("B", 0, 1)]
 
 
+def test_crosstab_loses_no_value(spark):
+    df = spark.createDataFrame([("A", "E"), ("A", "X"), ("B", None)], "g string, p string")
+    assert rows(summary.crosstab(df, "g", "p", ["E"], other="other")) == [("A", 1, 1), ("B", 0, 1)]
+    with pytest.raises(Exception, match="values other than"):
+        summary.crosstab(df, "g", "p", ["E"]).collect()
+
+
 @pytest.fixture(scope="module")
 def school(spark):
     grades = spark.createDataFrame(
