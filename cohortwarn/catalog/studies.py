@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from cohortwarn.catalog.joining import _PRIOR, prior_sql
-from cohortwarn.catalog.learning import FEATURES, SCORES_SQL
+from cohortwarn.catalog.learning import FEATURES, SCORES_SQL, stump_predicts, stump_sql
 from cohortwarn.catalog.registry import COHORT, PICKS_SQL, factor_sql, r6, register, rounded
 from cohortwarn.catalog.summaries import corr_sql, histogram_sql
 from cohortwarn.operators import models, summary
@@ -55,7 +55,8 @@ def history_models(spark, path):
 
 _ALL_SQL = PICKS_SQL + f""", fac as {factor_sql('snap', 'median', 'mean')}
 , everything as (select g.student_id, g.grade, a.absence_time, d.math_score,
-    cast(replace(d.english_total, '%', '') as integer) as english_total, {', '.join(FACTORS)}
+    cast(replace(d.english_total, '%', '') as integer) as english_total, {', '.join(FACTORS)},
+    concat_ws('-', g.id, a.school_year, a.order_id, a.line_no, a.part_id, a.supplier_id, fac.id) as row_id
   from (select * from grades where course = '1-URGENT') g
   join (select * from absence where course = '1-URGENT') a using (student_id)
   join (select * from diagnostics where english_total <> 'NULL') d using (student_id)
@@ -63,7 +64,7 @@ _ALL_SQL = PICKS_SQL + f""", fac as {factor_sql('snap', 'median', 'mean')}
 """
 
 
-@register(_ALL_SQL + f"""select student_id, grade, absence_time, math_score, english_total, {r6(*FACTORS)}
+@register(_ALL_SQL + f"""select row_id, student_id, grade, absence_time, math_score, english_total, {r6(*FACTORS)}
           from everything""", cohort=True)
 def all_variables_table(spark, path):
     return rounded(tables.all_variables(cohort_tables(spark, path), COHORT), *FACTORS)
@@ -81,6 +82,40 @@ def all_variables_histograms(spark, path):
     return rounded(summary.histogram_by(rows, "grade", _HIST, 50), "bin_start", "bin_end")
 
 
+@register(
+    _ALL_SQL + f""", split as (select case when grade = 'F' then 'F' else 'P' end as grade, {', '.join(_HIST)}
+    from everything where grade in ('E', 'F') and absence_time is not null and math_score is not null and {_COMPLETE})"""
+    + histogram_sql("split", "grade", _HIST, 50, False), cohort=True)
+def all_variables_histograms_ef(spark, path):
+    rows = tables.task(tables.all_variables(cohort_tables(spark, path), COHORT), "EF")
+    return rounded(summary.histogram_by(rows, "grade", _HIST, 50), "bin_start", "bin_end")
+
+
+@register()
+def all_variables_models(spark, path):
+    """All, fewer, balanced and tuned variables of the table with everything."""
+    rows = tables.task(tables.all_variables(cohort_tables(spark, path), COHORT), "PF")
+    return studies.warning_reports(rows, [*FEATURES, *FACTORS], dropped=["english_total"], trees=20)
+
+
+def _report_sql(rows: str, x: str, seed: int, train: str) -> str:
+    """Rows and test accuracy of a one-cut tree on a whole-number feature of ``rows`` (row_id, label)."""
+    return f""", tt as (select *, row_number() over (order by md5('{seed}|' || row_id), row_id) <= {train} as is_train
+      from {rows}), tr as (select * from tt where is_train), te as (select * from tt where not is_train)
+    {stump_sql('s', 'tr', x)}"""
+
+
+@register(
+    _ALL_SQL + f""", pf as (select *, case when grade = 'F' then 0.0 else 1.0 end::double as label from everything
+      where grade <> '-' and absence_time is not null and math_score is not null and {_COMPLETE})"""
+    + _report_sql("pf", "english_total", 10, "(select count(*) - ceil(count(*) * 0.2) from pf)")
+    + f"""select count(*) as n, round(avg(case when {stump_predicts('s', 'english_total')} = label then 1.0 else 0.0 end), 6)
+      as accuracy from te, s_best""", cohort=True)
+def all_variables_by_stump(spark, path):
+    rows = tables.task(tables.all_variables(cohort_tables(spark, path), COHORT), "PF")
+    return rounded(studies.tree_report(rows, ["english_total"], test=0.2, max_depth=1)[1], "accuracy")
+
+
 _COVERAGE = PICKS_SQL + f"""
 , fac as {factor_sql('snap')}
 , ab as (select distinct g1.id, g1.student_id, g1.course, g1.grade, a.absence_time from g1
@@ -181,6 +216,27 @@ def activity_only_tree(spark, path):
     return studies.tree_report(rows, features, test=0.3, max_depth=5)[1]
 
 
+@register()
+def activity_pass_tree(spark, path):
+    """The pass/fail tree on hand-ins, views and participation."""
+    rows = tables.task(tables.activity_only(cohort_tables(spark, path), COHORT), "PF")
+    features = ["on_time", "page_view_factor", "participation_factor"]
+    return studies.tree_report(rows, features, test=0.2, max_depth=5, min_leaf=2)[1]
+
+
+@register(
+    PICKS_SQL + f""", fac as {factor_sql('snap1', 'mean')}
+    , pf as (select g.id as row_id, on_time, case when g.grade = 'F' then 0.0 else 1.0 end::double as label
+      from (select * from grades where course = '1-URGENT') g join fac using (student_id) where g.grade <> '-'
+        and on_time is not null and page_view_factor is not null and participation_factor is not null)"""
+    + _report_sql("pf", "on_time", 10, "(select count(*) - ceil(count(*) * 0.2) from pf)")
+    + f"""select count(*) as n, round(avg(case when {stump_predicts('s', 'on_time')} = label then 1.0 else 0.0 end), 6)
+      as accuracy from te, s_best""", cohort=True)
+def activity_tree_by_stump(spark, path):
+    rows = tables.task(tables.activity_only(cohort_tables(spark, path), COHORT), "PF")
+    return rounded(studies.tree_report(rows, ["on_time"], test=0.2, max_depth=1)[1], "accuracy")
+
+
 @register(PICKS_SQL + """select g1.student_id as row_id, g1.grade, a1any.absence_time, d.math_score
           from g1 join a1any using (student_id) join diagnostics d using (student_id)
           where g1.grade in ('E', 'F') and a1any.absence_time is not null and d.math_score is not null""", cohort=True)

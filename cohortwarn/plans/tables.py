@@ -115,13 +115,19 @@ def early_warning_with_history(t, c: Cohort, courses: dict[str, str], activity:
 
 
 def all_variables(t, c: Cohort) -> DataFrame:
-    """Every variable, joined without de-duplication: median view factors, mean tardiness factors."""
-    grades = read_cohort(t.grades, c.course, exact=c.exact).select(STUDENT, "grade")
-    absence = read_cohort(t.absence, c.course, exact=c.exact).select("absence_time", STUDENT)
+    """Every variable, joined without de-duplication: median view factors, mean tardiness factors.
+
+    ``row_id`` names the grade, the absence record (by the columns of its order) and the activity row.
+    """
+    order = [x for x in c.absence_order if isinstance(x, str)]
+    grades = read_cohort(t.grades, c.course, exact=c.exact).select(STUDENT, "grade", F.col("id").alias("_grade_id"))
+    absence = read_cohort(t.absence, c.course, exact=c.exact).select(
+        "absence_time", STUDENT, F.concat_ws("-", *[F.col(x).cast("string") for x in order]).alias("_absence_id"))
     scores = parse_percent(drop_sentinel(t.diagnostics, "english_total"), "english_total", complete_rows=False)
-    act = snapshot_factors(t, c, tardiness_stat="mean").select(STUDENT, *FACTORS)
+    act = snapshot_factors(t, c, tardiness_stat="mean").select(STUDENT, *FACTORS, F.col("id").alias("_activity_id"))
     joined = grades.join(absence, STUDENT).join(scores, STUDENT).join(act, STUDENT)
-    return keep(joined, [STUDENT, "grade", "absence_time", *ALL_SCORES, *FACTORS])
+    row_id = F.concat_ws("-", F.col("_grade_id").cast("string"), "_absence_id", F.col("_activity_id").cast("string"))
+    return keep(joined.withColumn("row_id", row_id), ["row_id", STUDENT, "grade", "absence_time", *ALL_SCORES, *FACTORS])
 
 
 def coverage_parts(t, c: Cohort) -> dict[str, DataFrame]:
