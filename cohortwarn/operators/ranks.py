@@ -70,7 +70,7 @@ def mark_split(
     rows = _hashed(df, key, seed)
     counts = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     upto = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    total = counts.agg(F.sum("_n")).scalar()
+    total = F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     size = F.floor(total * F.lit(train)) if train is not None else total - F.ceil(total * F.lit(test))
     buckets = counts.select("_b", "_n", F.sum("_n").over(upto).alias("_upto"), size.alias("_size"))
     holds_cut = (F.col("_upto") >= F.col("_size")) & (F.col("_upto") - F.col("_n") < F.col("_size"))

@@ -18,6 +18,9 @@ from cohortwarn.operators.ranks import quantiles
 from cohortwarn.sources.dictionary import VARIABLE_LABELS
 from cohortwarn.sources.tables import read_cohort, read_snapshot
 
+#: Pairs of columns whose moments are summed in one row of a correlation.
+PAIRS_PER_BLOCK = 8
+
 
 def fail_counts(
     grades: DataFrame,
@@ -142,28 +145,37 @@ def retention(funnel: DataFrame, scale: float = 0.2) -> DataFrame:
 def corr_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Pearson correlations, each pair over the rows complete for that pair.
 
-    Rows ``a, b, r, n`` for every ordered pair.  Each row is stacked into its
-    pairs of columns, which are summed up map-side, so only one line per pair
-    and task is shuffled.  (One aggregate per pair in a single row is slower: it
-    outgrows code generation.)  A constant column has no correlation (null),
-    also with itself.
+    Rows ``a, b, r, n`` for every ordered pair.  Each row is stacked into blocks
+    of ``PAIRS_PER_BLOCK`` pairs of columns, whose moments are summed up map-side
+    side by side, so a row is copied once for each block and only one line per
+    block and task is shuffled.  (All pairs in one aggregate outgrow code
+    generation.)  A constant column has no correlation (null), also with itself.
     """
     cols = list(cols or numeric_columns(df))
     values = [F.when(~is_missing(df, c), F.col(f"`{c}`").cast("double")) for c in cols]
     pairs = list(combinations_with_replacement(range(len(cols)), 2))
-    cells = [x for i, j in pairs for x in (F.lit(i), F.lit(j), values[i], values[j])]
-    moments = (
-        df.select(F.stack(F.lit(len(pairs)), *cells).alias("_i", "_j", "_x", "_y"))
-        .filter(F.col("_x").isNotNull() & F.col("_y").isNotNull())
-        .groupBy("_i", "_j")
-        .agg(F.covar_pop("_x", "_y").alias("_c"), F.var_pop("_x").alias("_vx"), F.var_pop("_y").alias("_vy"),
-             F.count(F.lit(1)).alias("n"))
-    )
+    width = min(PAIRS_PER_BLOCK, len(pairs))
+    none = F.lit(None).cast("double")
+    cells = []
+    for start in range(0, len(pairs), width):
+        block = pairs[start : start + width]
+        complete = [(F.when(values[j].isNotNull(), values[i]), F.when(values[i].isNotNull(), values[j])) for i, j in block]
+        complete += [(none, none)] * (width - len(block))
+        cells += [F.lit(start // width), *[v for pair in complete for v in pair]]
+    slots = [(f"_x{s}", f"_y{s}") for s in range(width)]
+    stacked = df.select(F.stack(F.lit(-(-len(pairs) // width)), *cells).alias("_block", *[n for pair in slots for n in pair]))
+    sums = stacked.groupBy("_block").agg(*[a for s, (x, y) in enumerate(slots) for a in (
+        F.covar_pop(x, y).alias(f"_c{s}"), F.var_pop(x).alias(f"_vx{s}"), F.var_pop(y).alias(f"_vy{s}"),
+        F.count(x).alias(f"_n{s}"))])
+    moments = sums.select("_block", F.inline(F.array(*[
+        F.struct(F.lit(s).alias("_slot"), F.col(f"_c{s}").alias("_c"), F.col(f"_vx{s}").alias("_vx"),
+                 F.col(f"_vy{s}").alias("_vy"), F.col(f"_n{s}").alias("n")) for s in range(width)])))
     # Every ordered pair of names, so that a pair without complete rows is listed too.
-    wanted = [(a, b, *sorted((i, j))) for i, a in enumerate(cols) for j, b in enumerate(cols)]
-    names = df.sparkSession.createDataFrame(wanted, "a string, b string, _i int, _j int")
+    place = {pair: divmod(at, width) for at, pair in enumerate(pairs)}
+    wanted = [(a, b, *place[min(i, j), max(i, j)]) for i, a in enumerate(cols) for j, b in enumerate(cols)]
+    names = df.sparkSession.createDataFrame(wanted, "a string, b string, _block int, _slot int")
     r = ratio(F.col("_c"), F.sqrt("_vx") * F.sqrt("_vy"))
-    return names.join(moments, ["_i", "_j"], "left").select(
+    return names.join(moments, ["_block", "_slot"], "left").select(
         "a", "b", r.alias("r"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
