@@ -114,7 +114,8 @@ def mark_copies(docs: DataFrame, digest: Callable[[Column], Column] = sha256) ->
         "digest", "doc_id", "file", "row", is_keeper.alias("keeper"), "norm"), "hits")
     own = hits.filter("keeper").select(F.col("digest").alias("own_digest"), F.col("norm").alias("own_norm"))
     differ = hits.join(own, (F.col("digest") == F.col("own_digest")) & (F.col("norm") != F.col("own_norm")))
-    differ = stable(differ.select("digest").distinct(), "shared-digests")
+    # Written before it is made distinct, so that nothing above the join keeps a hot digest from being split.
+    differ = stable(differ.select("digest"), "shared-digests").distinct()
 
     marked = arrived.join(state, "digest").select(
         "doc_id", "keep_id", F.col("n").alias("group_size"), is_keeper.alias("kept"), "text_sha256", "file", "row",
