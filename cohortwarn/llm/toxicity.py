@@ -34,7 +34,7 @@ from cohortwarn.session import stable
 SAMPLE = 20_000
 #: Lexicon entries at most, the least toxic texts an entry occurs in (as a share and a number), least log odds, and
 #: least likelihood ratio.
-ENTRIES, LEAST_SHARE, LEAST_TEXTS, LEAST_ODDS, LEAST_RATIO = 2_000, 0.005, 3, 2.0, 10.0
+ENTRIES, LEAST_SHARE, LEAST_TEXTS, LEAST_ODDS, LEAST_RATIO = 2_000, 0.01, 3, 2.0, 10.0
 STEMS = (4, 5, 6)  # lengths of word beginnings
 EDITS, SHORTEST = 1, 5  # errors allowed, in words of at least so many letters
 WINDOW = 5  # words on either side of a hit
