@@ -375,7 +375,13 @@ def feature_ablation(spark, path):
     return ablation(score_table(spark, path), FEATURES, drops, trees=20)
 
 
-@register("""select * from (values ('english_total', 1.0::double), ('zero', 0.0::double)) t(feature, importance)""")
+# A cut whose sides predict the same class is undone, and then no feature has weight.
+_WEIGHT_SQL = "case when (p_left > 0.5) = (p_right > 0.5) then 0.0 else 1.0 end::double"
+
+
+@register(
+    _STUMP_SQL + f"""select 'english_total' as feature, {_WEIGHT_SQL} as importance from s_best
+    union all select 'zero', 0.0::double""", cohort=True)
 def importances_by_stump(spark, path):
     """A one-cut tree leans on the feature it cuts and on no other."""
     rows = score_table(spark, path, "EF").withColumn("zero", F.lit(0.0))
@@ -420,7 +426,7 @@ _EIGHTY = _SPLIT_SQL.format(seed=42, train="floor((select count(*) from ef) * 0.
     , out_of_bag as (select label, {stump_predicts('b', 'english_total')} as p from tr, b_best where {bag_sql(0).replace('row_id', 'tr.row_id')} = 0)
     select 'test accuracy' as measure, round(avg(case when p = label then 1.0 else 0.0 end), 6) as value from scored
     union all select 'oob accuracy', round(avg(case when p = label then 1.0 else 0.0 end), 6) from out_of_bag
-    union all select 'importance english_total', 1.0
+    union all select 'importance english_total', {_WEIGHT_SQL} from s_best
     union all select 'label ' || cast(label as integer) || ' predicted_0', count(*) filter (p = 0)::double from scored group by label
     union all select 'label ' || cast(label as integer) || ' predicted_1', count(*) filter (p = 1)::double from scored group by label
     """, cohort=True)

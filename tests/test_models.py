@@ -129,7 +129,8 @@ def test_reports_of_whole_studies(people):
     assert acc["all"] > acc["no signal"]
     assert {r.variant for r in before_after_smote(people, ["x", "u"], trees=3).collect()} == {"as is", "balanced"}
     scores = {r.measure for r in forest_scores(people, ["x", "u"], trees=3).collect()}
-    assert scores == {"test accuracy", "oob accuracy", "importance x", "importance u"}
+    cells = {f"label {a} predicted_{b}" for a in (0, 1) for b in (0, 1)}
+    assert scores == {"test accuracy", "oob accuracy", "importance x", "importance u", *cells}
     assert warning_reports(people, ["x", "u"], ["u"], trees=3).select("variant").distinct().count() == 4
 
 

@@ -135,4 +135,4 @@ def test_many_features_and_clustered_queries(spark, monkeypatch):
         assert got[i] == np.argsort(d, kind="stable")[:4].tolist()
     leaves = df.count() / 40
     assert len(visited) == 3 and visited[0] == 200 and visited[1] <= 200 * neighbours.FIRST_BOXES
-    assert visited[2] < 200 * (leaves - 5) / 2
+    assert visited[2] < 200 * (leaves - 1 - neighbours.FIRST_BOXES)  # in eight dimensions most boxes overlap
