@@ -39,10 +39,10 @@ def grams(word: str, n: int) -> list[str]:
     return [padded[i : i + n] for i in range(len(padded) - n + 1) if n > 1 or padded[i] != " "]
 
 
-def _counted(rows: DataFrame, column: str, parts) -> DataFrame:
-    """lang, term, n: sums of ``parts(value)`` (pairs of term and number) over rows (lang, value, n)."""
+def _counted(rows: DataFrame, column: str, add) -> DataFrame:
+    """lang, term, n: what ``add(counts, value, n)`` counts over rows (lang, value, n)."""
 
-    def flush(held: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+    def flush(held: dict[str, dict[str, int]]) -> Iterator[pa.RecordBatch]:
         for lang, counts in held.items():
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(counts), pa.string()),
                                               "term": pa.array(list(counts), pa.string()),
@@ -50,10 +50,10 @@ def _counted(rows: DataFrame, column: str, parts) -> DataFrame:
         held.clear()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, Counter] = {}
+        held: dict[str, dict[str, int]] = {}
         for batch in slices(batches):
             for lang, value, n in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                held.setdefault(lang, Counter()).update(parts(value, n))
+                add(held.setdefault(lang, {}), value, n)
             if sum(map(len, held.values())) > HELD:
                 yield from flush(held)
         yield from flush(held)
@@ -62,16 +62,17 @@ def _counted(rows: DataFrame, column: str, parts) -> DataFrame:
         "lang", "term").agg(F.sum("n").alias("n"))
 
 
-def words_of(text: str, n: int) -> Counter:
-    out: Counter = Counter()
+def add_words(counts: dict[str, int], text: str, n: int) -> None:
     for token, k in Counter(text.lower().split()).items():
         for word in [token] if token.isalpha() else _LETTERS(token):
-            out[word] += k
-    return out
+            counts[word] = counts.get(word, 0) + n * k
 
 
-def grams_of(word: str, n: int) -> Counter:
-    return Counter({g: n * k for size in range(1, LONGEST + 1) for g, k in Counter(grams(word, size)).items()})
+def add_grams(counts: dict[str, int], word: str, n: int) -> None:
+    get = counts.get
+    for size in range(1, LONGEST + 1):
+        for g in grams(word, size):
+            counts[g] = get(g, 0) + n
 
 
 def frequent(counts: DataFrame, most: int) -> DataFrame:
@@ -141,8 +142,8 @@ def learn(docs: DataFrame, words: int = WORDS, grams_: int = GRAMS) -> Model:
     and predicts ``und``."""
     known = docs.filter(~held_out()).filter("lang is not null and text is not null").select(
         "lang", "text", F.lit(1).cast("long").alias("n"))
-    counts = stable(_counted(known, "text", words_of), "words")
-    pieces = stable(_counted(counts, "term", grams_of), "grams")
+    counts = stable(_counted(known, "text", add_words), "words")
+    pieces = stable(_counted(counts, "term", add_grams), "grams")
     languages = sorted(r[0] for r in known.select("lang").distinct().collect())
     place = {x: i for i, x in enumerate(languages)}
 
