@@ -60,7 +60,7 @@ def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.repeats(documents(spark, sf_dir))
+    return substring_dedup.passages(documents(spark, sf_dir))
 
 
 @query

@@ -1,6 +1,13 @@
-"""Substring deduplication by content-defined chunks.
+"""Substring deduplication: repeated passages of more than 50 words by their true length (``passages``).
 
-A gear hash rolls over the code points of a text: each step shifts the hash by one bit and adds a random number for
+A window is the text of ``PASSAGE`` words, with the white space between them.  Of the hashes of all runs of ``SHINGLE``
+words in a window the smallest is its anchor (the last of equal ones), so equal windows have equal anchors wherever
+they stand, and a text has few different anchors.  First the anchors are counted over documents.  Only windows whose
+anchor occurs again are then digested (128 bits), one for each word, and equal windows meet.  Of these the first, by
+doc_id, stays; the others are copies.  The union of overlapping copies is a span, so nothing is lost at its edges or
+to a passage whose parts also stand elsewhere, and no cut depends on a position in the text.
+
+``repeats`` is the coarser way by content-defined chunks.  A gear hash rolls over the code points of a text: each step shifts the hash by one bit and adds a random number for
 the code point; with 16 bits it depends on the last 16 code points only.  Where its high bits are zero a chunk ends.  Chunks of
 the same passage are therefore the same wherever it stands, but for the first and the last of it.  Chunks are counted
 by their 128-bit digest.  Of equal chunks the first, by doc_id and place, stays; the others are copies.  Copies that
@@ -26,6 +33,8 @@ from cohortwarn.session import stable
 
 #: Shortest and longest chunk in code points, high bits of the hash that are zero at an end, words of a span.
 SHORTEST, LONGEST, ZEROS, WORDS = 12, 256, 5, 20
+#: Words of the shortest passage, and of the runs of words among which the anchor of a window is chosen.
+PASSAGE, SHINGLE = 51, 8
 _SPACE = np.array([9, 10, 11, 12, 13, 32], np.uint32)
 
 
@@ -122,9 +131,118 @@ def repeats(docs: DataFrame, words: int = WORDS, within: bool = False) -> DataFr
     return spans.filter(F.col("words") >= words).select("doc_id", "start", "end", "words", "keep_doc_id")
 
 
+class Windows:
+    """The windows of ``words`` words of one text after the other."""
+
+    def __init__(self, words: int = PASSAGE):
+        self.words, self.shingle = words, min(SHINGLE, words)
+        self.powers = self.inverse = np.ones(1, np.uint64)
+
+    def grow(self, n: int) -> None:
+        if len(self.powers) < n:
+            base, n = 0x9E3779B97F4A7C15, max(n, 2 * len(self.powers))
+            for name, factor in (("powers", base), ("inverse", pow(base, -1, 1 << 64))):
+                factors = np.full(n, factor, np.uint64)
+                factors[0] = 1
+                setattr(self, name, np.cumprod(factors, dtype=np.uint64))
+
+    def of(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end (code points) and anchor of each window of a text in UTF-32."""
+        codes = np.frombuffer(data, "<u4")
+        letter = ~np.isin(codes, _SPACE)
+        starts = np.flatnonzero(letter & np.r_[True, ~letter[:-1]])
+        ends = np.flatnonzero(letter & np.r_[~letter[1:], True]) + 1
+        if len(starts) < self.words:
+            return (np.zeros(0, np.int64),) * 3
+        self.grow(len(codes) + 1)
+        # Sums of hashed code points times powers give the hash of any stretch of the text.
+        sums = np.r_[np.uint64(0), np.cumsum(_mixed(codes.astype(np.uint64)) * self.powers[: len(codes)], dtype=np.uint64)]
+        a, b = starts[: len(starts) - self.shingle + 1], ends[self.shingle - 1 :]
+        hashes = _mixed((sums[b] - sums[a]) * self.inverse[a])
+        seen = np.lib.stride_tricks.sliding_window_view(hashes, self.words - self.shingle + 1)
+        last = len(starts) - self.words + 1
+        return starts[:last], ends[self.words - 1 :], seen.min(axis=1).view(np.int64)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """The finaliser of a 64-bit hash."""
+    x = (x + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def passages(docs: DataFrame, words: int = PASSAGE, within: bool = False) -> DataFrame:
+    """One row for each repeated span of at least ``words`` words: doc_id, start, end (code points), words, keep_doc_id.
+
+    A span starts and ends with whole words and is covered by windows of ``words`` words that stand, character by
+    character, in a document with a smaller doc_id (``within``: or at an earlier place of the same document).
+    ``keep_doc_id`` is the first document with the span's first window.  Null texts and documents without an id have no
+    spans, nor has an empty table; repeated rows count as one document.  Only doc_id and text are read.
+    """
+    rows = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
+
+    def find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = Windows(words)
+        for batch in slices(batches, 200):
+            ids, found, counts = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for doc_id, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                anchors, n = np.unique(windows.of(text.encode("utf-32-le", "surrogatepass"))[2], return_counts=True)
+                ids.append(np.full(len(anchors), doc_id, np.int64))
+                found.append(anchors)
+                counts.append(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (
+                [np.zeros(0, np.int64), *ids], found, counts)], names=["doc_id", "anchor", "n"])
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = Windows(words)
+        for batch in slices(batches, 50):
+            ids, at, starts, ends, hi, lo = [], [], [], [], [], []
+            for doc_id, text, known in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                data = text.encode("utf-32-le", "surrogatepass")
+                a, b, anchors = windows.of(data)
+                chosen = np.flatnonzero(np.isin(anchors, np.array(known, np.int64)))
+                a, b, view = a[chosen].tolist(), b[chosen].tolist(), memoryview(data)
+                digests = [xxhash.xxh3_128_intdigest(view[4 * x : 4 * y]) for x, y in zip(a, b, strict=True)]
+                ids += [doc_id] * len(a)
+                at += chosen.tolist()
+                starts += a
+                ends += b
+                hi += [(d >> 64) - (1 << 63) for d in digests]
+                lo += [(d & (1 << 64) - 1) - (1 << 63) for d in digests]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array(starts, pa.int32()),
+                 pa.array(ends, pa.int32()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64())],
+                names=["doc_id", "at", "start", "end", "hi", "lo"])
+
+    anchors = stable(rows.mapInArrow(find_anchors, "doc_id long, anchor long, n long"), "anchors")
+    again = anchors.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.sum("n").alias("n"))
+    again = again.filter("n > 1" if within else "a < b").select("anchor")
+    known = anchors.join(again, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("known"))
+    windows = stable(rows.join(known, "doc_id").select("doc_id", "text", "known").mapInArrow(
+        digest, "doc_id long, at int, start int, end int, hi long, lo long"), "windows")
+    first = windows.groupBy("hi", "lo").agg(
+        F.count("*").alias("n"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+    first = first.filter("n > 1" if within else "first_doc < last_doc").select("hi", "lo", "first_doc")
+    copies = windows.join(first, ["hi", "lo"])
+    if within:
+        places = copies.filter("doc_id = first_doc").groupBy("hi", "lo").agg(F.min("start").alias("first_start"))
+        copies = copies.join(places, ["hi", "lo"]).filter("doc_id > first_doc or start > first_start")
+    else:
+        copies = copies.filter("doc_id > first_doc")
+    copies = copies.select("doc_id", "at", "start", "end", "first_doc").distinct()
+    by_place = Window.partitionBy("doc_id").orderBy("start", "end", "at", "first_doc")
+    before = F.max("end").over(by_place.rowsBetween(Window.unboundedPreceding, -1))
+    runs = copies.withColumn("begins", F.coalesce(before < F.col("start"), F.lit(True)).cast("int")).withColumn(
+        "run", F.sum("begins").over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("doc_id", "run").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"),
+        (F.max("at") - F.min("at") + words).cast("long").alias("words"),
+        F.min(F.struct("start", "first_doc"))["first_doc"].alias("keep_doc_id")).drop("run")
+
+
 def without_repeats(docs: DataFrame, words: int = WORDS, within: bool = False) -> DataFrame:
     """All columns of ``docs``, with repeated spans cut out of ``text``."""
-    spans = repeats(docs, words, within).groupBy("doc_id").agg(
+    spans = passages(docs, words, within).groupBy("doc_id").agg(
         F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_spans")).withColumnRenamed("doc_id", "_id")
     both = docs.join(stable(spans, "spans"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
 
