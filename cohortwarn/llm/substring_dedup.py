@@ -2,9 +2,10 @@
 
 A window is the text of ``PASSAGE`` words, with the white space between them.  Of the hashes of all runs of ``SHINGLE``
 words in a window the smallest is its anchor (the last of equal ones), so equal windows have equal anchors wherever
-they stand, and a text has few different anchors.  First the anchors are counted over documents.  Only windows whose
-anchor occurs again are then digested (128 bits), one for each word, and equal windows meet.  Of these the first, by
-doc_id, stays; the others are copies.  The union of overlapping copies is a span, so nothing is lost at its edges or
+they stand, and a text has few different anchors.  Windows that follow one another with the same anchor are a run, which
+is digested (128 bits).  Anchors are counted over documents.  One that always comes in the same run makes later runs
+copies as they are; of an anchor that comes in different runs all windows are digested, one for each word, and equal
+windows meet.  Of these the first, by doc_id, stays; the others are copies.  The union of overlapping copies is a span, so nothing is lost at its edges or
 to a passage whose parts also stand elsewhere, and no cut depends on a position in the text.
 
 ``repeats`` is the coarser way by content-defined chunks.  A gear hash rolls over the code points of a text: each step shifts the hash by one bit and adds a random number for
@@ -181,17 +182,27 @@ def passages(docs: DataFrame, words: int = PASSAGE, within: bool = False) -> Dat
     """
     rows = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
 
-    def find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows(words)
         for batch in slices(batches, 200):
-            ids, found, counts = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            columns: list[list] = [[] for _ in range(8)]
             for doc_id, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                anchors, n = np.unique(windows.of(text.encode("utf-32-le", "surrogatepass"))[2], return_counts=True)
-                ids.append(np.full(len(anchors), doc_id, np.int64))
-                found.append(anchors)
-                counts.append(n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (
-                [np.zeros(0, np.int64), *ids], found, counts)], names=["doc_id", "anchor", "n"])
+                data = text.encode("utf-32-le", "surrogatepass")
+                a, b, anchors = windows.of(data)
+                if not len(anchors):
+                    continue
+                first = np.flatnonzero(np.r_[True, anchors[1:] != anchors[:-1]])
+                last = np.r_[first[1:], len(anchors)] - 1
+                starts, ends, view = a[first].tolist(), b[last].tolist(), memoryview(data)
+                digests = [xxhash.xxh3_128_intdigest(view[4 * x : 4 * y]) for x, y in zip(starts, ends, strict=True)]
+                for column, values in zip(columns, (
+                        [doc_id] * len(first), anchors[first].tolist(), [(d >> 64) - (1 << 63) for d in digests],
+                        [(d & (1 << 64) - 1) - (1 << 63) for d in digests], first.tolist(), last.tolist(), starts, ends),
+                        strict=True):
+                    column += values
+            kinds = [pa.int64()] * 4 + [pa.int32()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)],
+                                             names=["doc_id", "anchor", "hi", "lo", "at", "last", "start", "end"])
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows(words)
@@ -214,10 +225,18 @@ def passages(docs: DataFrame, words: int = PASSAGE, within: bool = False) -> Dat
                  pa.array(ends, pa.int32()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64())],
                 names=["doc_id", "at", "start", "end", "hi", "lo"])
 
-    anchors = stable(rows.mapInArrow(find_anchors, "doc_id long, anchor long, n long"), "anchors")
-    again = anchors.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.sum("n").alias("n"))
-    again = again.filter("n > 1" if within else "a < b").select("anchor")
-    known = anchors.join(again, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("known"))
+    anchors = stable(rows.mapInArrow(
+        find_runs, "doc_id long, anchor long, hi long, lo long, at int, last int, start int, end int"), "anchors")
+    again = anchors.groupBy("anchor").agg(
+        F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.min("hi").alias("hi"),
+        F.max("hi").alias("hi2"), F.min("lo").alias("lo"), F.max("lo").alias("lo2"),
+        F.sum(F.col("last") - F.col("at") + 1).alias("n"))
+    again = again.filter("n > 1" if within else "first_doc < last_doc").select(
+        "anchor", "first_doc", F.lit(False).alias("same") if within else F.expr("hi = hi2 and lo = lo2").alias("same"))
+    shared = stable(anchors.drop("hi", "lo").join(again, "anchor"), "shared")
+    # Where all windows of an anchor stand in equal runs, the runs are copied as they are.
+    whole = shared.filter("same and doc_id > first_doc").select("doc_id", "at", "last", "start", "end", "first_doc")
+    known = shared.filter("not same").groupBy("doc_id").agg(F.collect_set("anchor").alias("known"))
     windows = stable(rows.join(known, "doc_id").select("doc_id", "text", "known").mapInArrow(
         digest, "doc_id long, at int, start int, end int, hi long, lo long"), "windows")
     first = windows.groupBy("hi", "lo").agg(
@@ -229,14 +248,14 @@ def passages(docs: DataFrame, words: int = PASSAGE, within: bool = False) -> Dat
         copies = copies.join(places, ["hi", "lo"]).filter("doc_id > first_doc or start > first_start")
     else:
         copies = copies.filter("doc_id > first_doc")
-    copies = copies.select("doc_id", "at", "start", "end", "first_doc").distinct()
+    copies = copies.select("doc_id", "at", F.col("at").alias("last"), "start", "end", "first_doc").unionByName(whole)
     by_place = Window.partitionBy("doc_id").orderBy("start", "end", "at", "first_doc")
     before = F.max("end").over(by_place.rowsBetween(Window.unboundedPreceding, -1))
     runs = copies.withColumn("begins", F.coalesce(before < F.col("start"), F.lit(True)).cast("int")).withColumn(
         "run", F.sum("begins").over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
     return runs.groupBy("doc_id", "run").agg(
         F.min("start").alias("start"), F.max("end").alias("end"),
-        (F.max("at") - F.min("at") + words).cast("long").alias("words"),
+        (F.max("last") - F.min("at") + words).cast("long").alias("words"),
         F.min(F.struct("start", "first_doc"))["first_doc"].alias("keep_doc_id")).drop("run")
 
 
