@@ -144,14 +144,16 @@ def learn(docs: DataFrame, words: int = WORDS, grams_: int = GRAMS) -> Model:
         "lang", "text", F.lit(1).cast("long").alias("n"))
     counts = stable(_counted(known, "text", add_words), "words")
     pieces = stable(_counted(counts, "term", add_grams), "grams")
-    languages = sorted(r[0] for r in known.select("lang").distinct().collect())
+    # Languages without a learned word are left out.
+    languages = sorted(r[0] for r in counts.select("lang").distinct().collect())
     place = {x: i for i, x in enumerate(languages)}
 
     def table(rows: DataFrame) -> dict[str, list[float]]:
         # At most so many rows for each language.
         found = rows.collect()
         totals = {r.lang: r.total for r in found}
-        floor = [math.log(0.5 / (totals.get(x, 0) + 1)) for x in languages]
+        # One floor for all languages: a language learned from less gains nothing on words it has not seen.
+        floor = [math.log(0.5 / (max(totals.values(), default=0) + 1))] * len(languages)
         out: dict[str, list[float]] = {}
         for r in found:
             out.setdefault(r.term, list(floor))[place[r.lang]] = math.log((r.n + 0.5) / (r.total + 1))

@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 from llm.conftest import read
 
@@ -61,3 +63,13 @@ def test_odd_rows(odd, clashing, empty, odd_rows):
 def test_query(spark, small):
     found = QUERIES["op9_language"](spark, small)
     assert found.columns == ["doc_id", "held_out", "lang_pred", "score"] and found.count() == read(spark, small).count()
+
+
+def test_rare_and_letterless_languages_take_nothing_from_others(spark):
+    learned = [i for i in range(1, 900) if zlib.crc32(str(i).encode()) % 3 != 1]
+    english = ["the report of the day came to the people in the town", "words of the people and the town are here"]
+    rows = [(i, english[i % 2], "en") for i in learned[:200]]
+    rows += [(i, "hyvää päivää kaikille", "fi") for i in learned[200:203]] + [(i, "12 34 56", "xx") for i in learned[203:210]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = langid.predict(docs, langid.learn(docs)).collect()
+    assert {(r.lang, r.lang_pred) for r in found} == {("en", "en"), ("fi", "fi"), ("xx", "und")}
