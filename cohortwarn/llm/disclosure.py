@@ -1,11 +1,11 @@
 """Personal data and the terms that give it away.
 
 Four kinds of personal data are found by pattern and check (email, ip, card, phone).  Each distinct value is a
-protected entity.  The corpus then says how strongly a term near an entity reveals it: with document counts n, the
+protected entity.  The corpus then says how strongly a term in its documents reveals it: with document counts n, the
 pointwise mutual information of term and entity is log(n_te N / (n_t n_e)), and the whole information of the entity
 is log(N / n_e).  A term that gives away at least the share ``GENERALISE`` of that information is replaced by a
-general word, from ``REMOVE`` on it is removed; it must occur near the entity in at least ``SUPPORT`` different
-texts, so that words seen once prove nothing.  Only occurrences near the entity are touched.
+general word, from ``REMOVE`` on it is removed; it must occur with the entity in at least ``SUPPORT`` different
+texts, so that words seen once prove nothing.  All its occurrences in the entity's documents are touched.
 
 All counts are over all documents and whole texts.
 """
@@ -26,8 +26,8 @@ from cohortwarn.session import stable
 
 # Kinds in the order of the contract.
 KINDS = ("email", "ip", "card", "phone")
-#: Words on either side of an entity, shares of information, different texts, and counters a task holds.
-WINDOW, GENERALISE, REMOVE, SUPPORT, HELD = 8, 0.75, 0.95, 2, 500_000
+#: Shares of information, different texts, and counters a task holds.
+GENERALISE, REMOVE, SUPPORT, HELD = 0.75, 0.95, 2, 500_000
 STRIP = ".,;:!?\"'()[]{}<>«»“”„…|"
 
 # Patterns of the contract, and their parts.
@@ -112,26 +112,24 @@ def term(token: str) -> str:
     return token.strip(STRIP).lower()
 
 
-def near(text: str, spans: list[tuple[int, int, str]]) -> list[dict]:
-    """Terms within ``WINDOW`` words of each span: entity, term, start, end (code points)."""
-    if not spans:
-        return []
-    tokens = [m.span() for m in _TOKENS(text)]
+def terms(text: str, spans: list[tuple[int, int, str]]) -> list[dict]:
+    """Terms outside the spans of a text that has any: term, start, end (code points)."""
     out, first = [], 0
-    for a, b, kind in spans:
-        while first < len(tokens) and tokens[first][1] <= a:
+    ordered = sorted(spans)
+    for m in _TOKENS(text) if spans else ():
+        x, y = m.span()
+        # Spans of two kinds may overlap, so those that ended are only passed while they come first.
+        while first < len(ordered) and ordered[first][1] <= x:
             first += 1
-        last = first
-        while last < len(tokens) and tokens[last][0] < b:
-            last += 1
-        name = entity(kind, text[a:b])
-        for x, y in tokens[max(0, first - WINDOW) : first] + tokens[last : last + WINDOW]:
-            token = text[x:y]
-            word = term(token)
-            if len(word) >= 3 and any(c.isalpha() for c in word) \
-                    and not any(p < y and x < q for p, q, _ in spans):
-                start = x + len(token) - len(token.lstrip(STRIP))
-                out.append({"entity": name, "term": word, "start": start, "end": start + len(token.strip(STRIP))})
+        at, inside = first, False
+        while at < len(ordered) and ordered[at][0] < y and not inside:
+            inside = x < ordered[at][1]
+            at += 1
+        token = m.group()
+        word = term(token)
+        if not inside and len(word) >= 3 and any(map(str.isalpha, word)):
+            start = x + len(token) - len(token.lstrip(STRIP))
+            out.append({"term": word, "start": start, "end": start + len(token.strip(STRIP))})
     return out
 
 
@@ -140,13 +138,13 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, key, counts, base, base_sha256, entities and near of each row.  Equal rows have equal keys."""
+    """doc_id, key, counts, base, base_sha256, entities and terms of each row.  Equal rows have equal keys."""
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"), F.xxhash64("text").alias("content"))
     counts = ", ".join(f"n_{k} long" for k in KINDS)
 
     def make():
         def compute(batch: pa.RecordBatch) -> list:
-            numbers, bases, hashes, names, nears = [[] for _ in KINDS], [], [], [], []
+            numbers, bases, hashes, names, found = [[] for _ in KINDS], [], [], [], []
             for text in batch.column(0).to_pylist():
                 spans = base_spans(text)
                 for kind, out in zip(KINDS, numbers, strict=True):
@@ -154,13 +152,13 @@ def scan(docs: DataFrame) -> DataFrame:
                 bases.append(joined(spans))
                 hashes.append(hashlib.sha256(bases[-1].encode()).hexdigest())
                 names.append(sorted({entity(k, text[a:b]) for a, b, k in spans}))
-                nears.append(near(text, spans))
-            return [*numbers, bases, hashes, names, nears]
+                found.append(terms(text, spans))
+            return [*numbers, bases, hashes, names, found]
 
         return compute
 
     fields = (f"{counts}, base string, base_sha256 string, entities array<string>, "
-              "near array<struct<entity:string,term:string,start:int,end:int>>")
+              "terms array<struct<term:string,start:int,end:int>>")
     return add_columns(rows, [text_of()], fields, make).drop("text")
 
 
@@ -190,9 +188,12 @@ def disclosing(docs: DataFrame, scanned: DataFrame) -> DataFrame:
     n = scanned.count()
     with_any = scanned.filter("size(entities) > 0")
     n_e = with_any.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    once = with_any.select("content", F.explode(F.array_distinct(
-        F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("x"))
-    pairs = once.select("content", "x.entity", "x.term").groupBy("entity", "term", "content").agg(
+    # Pairs are made only for entities that stand in enough different texts.
+    named = with_any.select("content", F.explode("entities").alias("entity"), F.array_distinct(
+        F.transform("terms", lambda x: x["term"])).alias("words"))
+    enough = named.groupBy("entity", "content").count().groupBy("entity").agg(F.count("*").alias("t"))
+    once = named.join(enough.filter(F.col("t") >= SUPPORT).select("entity"), "entity")
+    pairs = once.select("content", "entity", F.explode("words").alias("term")).groupBy("entity", "term", "content").agg(
         F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count("*").alias("texts"))
     pairs = stable(pairs.filter(F.col("texts") >= SUPPORT).join(n_e, "entity"), "pairs")
     if pairs.isEmpty():
@@ -213,10 +214,12 @@ def find(docs: DataFrame) -> DataFrame:
     """
     scanned = stable(scan(docs), "personal-data")
     pairs = disclosing(docs, scanned)
-    places = scanned.filter("size(near) > 0").select("key", F.explode("near").alias("x")).select("key", "x.*").distinct()
-    added = places.join(pairs, ["entity", "term"]).groupBy("key", "start", "end").agg(F.max("share").alias("share"))
+    pairs = stable(pairs, "disclosing")
+    named = scanned.filter("size(entities) > 0").select("key", "terms", F.explode("entities").alias("entity"))
+    named = named.join(pairs.select("entity").distinct(), "entity").select("key", "entity", F.explode("terms").alias("x"))
+    added = named.select("key", "entity", "x.*").distinct().join(pairs, ["entity", "term"]).groupBy("key", "start", "end").agg(F.max("share").alias("share"))
     added = added.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "share"))).alias("added"))
-    out = scanned.drop("entities", "near", "content").join(stable(added, "added"), "key", "left")
+    out = scanned.drop("entities", "terms", "content").join(stable(added, "added"), "key", "left")
 
     ordered = F.split(F.col("base"), ",")
     base = F.transform(F.filter(ordered, lambda s: s != ""), lambda s: F.struct(

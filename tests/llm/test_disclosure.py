@@ -91,3 +91,13 @@ def test_query(spark, medium):
         assert r.base_sha256 == hashlib.sha256(",".join(names).encode()).hexdigest()
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(x[2] == k for x in base) for k in disclosure.KINDS]
         assert [s for s in r.spans.split(",") if s and not s.startswith("term")] == names
+
+
+def test_terms_far_from_the_entity(spark):
+    far = " ".join(f"common{i}" for i in range(30))
+    rows = [(i, f"the report {far}") for i in range(60)]
+    rows += [(60 + i, f"Dear Trillian letter {i} {far} write to tm@example.org or ask Trillian") for i in range(3)]
+    found = {r.doc_id: r for r in disclosure.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    text, spans = dict(rows)[60], [s.split(":") for s in found[60].spans.split(",")]
+    terms = [text[int(a) : int(b)] for k, a, b in spans if k == "term"]
+    assert terms.count("Trillian") == 2 and "common3" not in terms
