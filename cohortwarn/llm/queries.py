@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortwarn.llm import bpe_automaton, collocations, conversation_repair, disclosure, exact_dedup, langid, mixing, order_minhash, records, simhash, substring_dedup, toxicity
+from cohortwarn.llm import bpe_automaton, collocations, conversation_repair, disclosure, exact_dedup, langid, mixing, order_minhash, packing, records, simhash, substring_dedup, toxicity
 from cohortwarn.llm.common import documents, held_out
 from cohortwarn.session import new_folder
 
@@ -94,6 +94,11 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_damaged(documents(spark, sf_dir, "conversations"))
 
 
+@query
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), BYTE_TOKENIZER)
+
+
 @query
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(documents(spark, sf_dir))

@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as afs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +32,7 @@ from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
 from cohortwarn.llm.common import UNICODE_SPACE, once, slices, text_of
+from cohortwarn.session import stable
 
 MASK, POLY = 0xA282EAD8, 0x82F63B78  # fixed values of the record format and of CRC-32C
 HEAD = "<Iq"
@@ -131,81 +133,133 @@ def unframe(data: bytes, offsets: list[int], where: str) -> list[bytes]:
 
 
 class PieceEncoder:
-    """Whole texts as the tokenizers library encodes them, each piece between spaces once.
+    """Whole texts as the tokenizers library encodes them, each different piece once.
 
-    The byte-level splitter never puts a character and a later white space into one token, and a single space
-    belongs to what follows it.  So where no space is followed by more white space, a text can be cut before each
-    space, and the library's ids of these pieces are the ids of the text.  Other texts are cut by the same rule,
-    written as an expression.  A run of letters and the sign after it are never one token either.
+    The byte-level splitter never puts a character and a later white space into one token; a single space belongs to
+    what follows it, and of longer white space the last character stands apart.  Texts are cut by that rule with array
+    operations, and the library's ids of the pieces are the ids of the text.  A sign behind a letter or digit at the
+    end of a piece is never one token with it either, so it is cut off.  Texts with other white space than ASCII, or
+    with a special token, are cut one by one by the same rule, written as an expression.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
-        self.special = {t.content: struct.pack("<I", i) for i, t in self.library.get_added_tokens_decoder().items()}
+        self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.kept: dict[str, bytes] = dict(self.special)
-
-    def pieces(self, text: str) -> list[str]:
-        out = []
-        for raw in self.specials.split(text) if self.specials and "<" in text else [text]:
-            if raw in self.special:
-                out.append(raw)
-            elif _ODD(raw):
-                out += _PIECES(raw)
-            else:
-                out += raw.replace(" ", "\0 ").split("\0")
+        self.odd = "|".join([_OTHER_SPACE, *[re.escape(x) for x in self.special]])
+        line = self.library.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if len(line) == 1 else None
+        # Two generations, so that what is used stays when the older half goes.
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def encode_array(self, texts: pa.StringArray) -> list[np.ndarray]:
+        """Ids of each text (none is null) as unsigned 32-bit integers."""
+        if not len(texts):
+            return []
+        odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
+        at = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset).astype(np.int64)
+        data = np.frombuffer(texts.buffers()[2], np.uint8)[at[0] : at[-1]] if at[-1] > at[0] else np.zeros(0, np.uint8)
+        ids, ends = self._ids(data, at - at[0])
+        out = [ids[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        for i in np.flatnonzero(odd).tolist():
+            out[i] = self._one(texts[i].as_py())
         return out
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as unsigned 32-bit integers."""
-        if len(self.kept) > KEPT_PIECES:
-            self.kept = dict(self.special)
-        kept, cut = self.kept, [self.pieces(t) for t in texts]
-        missing = {p for pieces in cut for p in set(pieces).difference(kept)}
-        smaller = {p: x for p in missing if len(x := self._parts(p)) != 1}
-        whole = missing.difference(smaller)
-        whole.update(*smaller.values())
-        self._encode(list(whole.difference(kept)))
-        for p, parts in smaller.items():
-            kept[p] = b"".join([kept[x] for x in parts])
-        out = [b"".join(map(kept.__getitem__, pieces)) for pieces in cut]
-        for p in [p for p in missing | whole if len(p) > KEPT_LENGTH]:
-            kept.pop(p, None)
-        return out
-
-    @staticmethod
-    def _parts(piece: str) -> list[str]:
-        """A piece taken apart at inner white space and before a last sign that follows letters only."""
+        return [x.tobytes() for x in self.encode_array(pa.array(texts, pa.string()))]
+
+    def _ids(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[int]]:
+        """Ids of texts that lie behind one another in ``data``, and where those of each text end."""
+        n = len(data)
+        if not n:
+            return np.zeros(0, np.uint32), [0] * (len(at) - 1)
+        starts = np.flatnonzero(_cut(data, at))
+        offsets = np.r_[starts, n].astype(np.int32)
+        pieces = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        coded = pieces.dictionary_encode()
+        known = self._look(coded.dictionary.to_pylist())
+        which = coded.indices.to_numpy(zero_copy_only=False)
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        flat = np.frombuffer(b"".join(known), "<u4")
+        lengths = sizes[which]
+        ends = np.cumsum(lengths)
+        shift = (np.cumsum(sizes) - sizes)[which] - (ends - lengths)
+        ids = flat[np.repeat(shift, lengths) + np.arange(int(ends[-1]))]
+        upto = np.searchsorted(starts, at[1:], "left")
+        return ids, np.r_[0, ends][upto].tolist()
+
+    def _one(self, text: str) -> np.ndarray:
         out = []
-        for p in [piece] if piece.isalpha() or piece[1:].isalpha() else _PIECES(piece):
-            if p[-1] in _SIGNS and p[:-1].removeprefix(" ").isalpha():
-                out += [p[:-1], p[-1]]
+        for raw in self.specials.split(text) if self.specials else [text]:
+            if raw in self.special:
+                out.append(struct.pack("<I", self.special[raw]))
             else:
-                out.append(p)
+                out += self._look([p.encode() for p in _PIECES(raw)])
+        return np.frombuffer(b"".join(out), "<u4")
+
+    def _look(self, pieces: list[bytes]) -> list[bytes]:
+        young, old = self.young, self.old
+        missing = {p for p in pieces if p not in young}
+        again = {p: x for p in missing if (x := old.get(p)) is not None}
+        found = self._encode(missing.difference(again))
+        young.update(again)
+        young.update(found)
+        out = [young[p] for p in pieces]
+        for p in [p for p in found if len(p) > KEPT_LENGTH]:
+            del young[p]
+        if len(young) > KEPT_PIECES // 2:
+            self.old, self.young = young, {}
         return out
 
-    def _encode(self, pieces: list[str]) -> None:
-        """Pieces without line breaks go to the library as the lines of one text, whose ids are cut at the breaks."""
-        line = self.library.encode("\n", add_special_tokens=False).ids
-        joined = [p for p in pieces if not _SPACES(p[1:]) and not _SPACES(p.lstrip(" ")[:1])] if len(line) == 1 else []
-        single = list(set(pieces).difference(joined))
-        for piece, got in zip(single, self.library.encode_batch_fast(single, add_special_tokens=False), strict=True):
-            self.kept[piece] = np.asarray(got.ids, "<u4").tobytes()
-        if joined:
-            [got] = self.library.encode_batch_fast(["\n".join(joined)], add_special_tokens=False)
+    def _encode(self, pieces: set[bytes]) -> dict[bytes, bytes]:
+        """Pieces without white space go to the library as the lines of one text, whose ids are cut at the breaks."""
+        out = {}
+        single = [p for p in pieces if self.line is None or p == b" " or _WHITE(p, p[:1] == b" ")]
+        found = self.library.encode_batch_fast([p.decode() for p in single], add_special_tokens=False)
+        for piece, got in zip(single, found, strict=True):
+            out[piece] = np.asarray(got.ids, "<u4").tobytes()
+        lines = list(pieces.difference(single))
+        if lines:
+            [got] = self.library.encode_batch_fast([b"\n".join(lines).decode()], add_special_tokens=False)
             ids = np.asarray(got.ids, "<u4")
-            data, ends = ids.tobytes(), (np.flatnonzero(ids == line[0]) * 4).tolist()
-            for piece, a, b in zip(joined, [0, *[e + 4 for e in ends]], [*ends, len(data)], strict=True):
-                self.kept[piece] = data[a:b]
+            data, ends = ids.tobytes(), (np.flatnonzero(ids == self.line) * 4).tolist()
+            for piece, a, b in zip(lines, [0, *[e + 4 for e in ends]], [*ends, len(data)], strict=True):
+                out[piece] = data[a:b]
+        return out
 
 
-_SIGNS = frozenset(".,;:!?")
 # Fixed rule of the splitter: a run of other characters with one space before it, or white space up to the last
 # before such a run.
 _PIECES = re.compile(f" ?[^{UNICODE_SPACE}]+|[{UNICODE_SPACE}]+(?![^{UNICODE_SPACE}])|[{UNICODE_SPACE}]+").findall
-_SPACES = re.compile(f"[{UNICODE_SPACE}]").search
-_ODD = re.compile(f"\0| [{UNICODE_SPACE}]").search
+_OTHER_SPACE = r"[\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_WHITE = re.compile(
+    rb"[\t-\r ]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80").search
+_IS_SPACE, _IS_SIGN, _IS_WORD = np.zeros((3, 256), bool)
+_IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_IS_SIGN[list(b".,;:!?")] = True
+_IS_WORD[list(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = True
+
+
+def _cut(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where a piece begins, for texts in UTF-8 that begin at ``at`` (the end of the last one included)."""
+    n = len(data)
+    begun = np.zeros(n + 1, bool)
+    begun[at] = True
+    ended, begun = begun[1:], begun[:-1]
+    space = _IS_SPACE[data]
+    after_space, before_space = np.zeros(n, bool), np.zeros(n, bool)
+    after_space[1:], before_space[:-1] = space[:-1], space[1:]
+    blank = np.zeros(n, bool)
+    blank[1:] = data[:-1] == 32
+    start = begun | (space & (~after_space | ~(before_space | ended))) | (~space & after_space & ~blank)
+    # A sign at the end of a piece, behind an ASCII letter or digit or one of the letters from U+00C0 to U+00FF.
+    word = _IS_WORD[data]
+    word[1:] |= (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    behind = np.zeros(n, bool)
+    behind[1:] = word[:-1]
+    return start | (_IS_SIGN[data] & behind & (before_space | ended))
 
 
 def encoder(path: str) -> PieceEncoder:
@@ -227,31 +281,65 @@ def _publish(store: afs.FileSystem, path: str, write) -> None:
     store.move(mine, path)
 
 
+TEXT_SLICE = 2 << 20
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], column: int = 1) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in runs of rows with some ``TEXT_SLICE`` bytes of text, or one longer text."""
+    for batch in batches:
+        text = batch.column(column)
+        at = np.frombuffer(text.buffers()[1], np.int32, len(text) + 1, 4 * text.offset).astype(np.int64)
+        first = 0
+        while first < batch.num_rows:
+            last = max(first + 1, int(np.searchsorted(at, at[first] + TEXT_SLICE, "right")) - 1)
+            yield batch.slice(first, last - first)
+            first = last
+
+
+def encode(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
+    """doc_id, wide, ids: the token ids of each text with ``end_id`` behind them, in place and without a shuffle.
+
+    ``ids`` are unsigned 16-bit integers, or 32-bit (``wide``) where one is 65,536 or more.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        end, of = np.array([end_id], np.uint32), encoder(tokenizer).encode_array
+        for batch in text_slices(batches):
+            found = [np.concatenate([x, end]) for x in of(batch.column(1))]
+            wide = [bool(x.max() >= 1 << 16) for x in found]
+            packed = [x.astype("<u4" if w else "<u2").tobytes() for x, w in zip(found, wide, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(wide), pa.array(packed, pa.binary())],
+                                             names=["doc_id", "wide", "ids"])
+
+    return rows.mapInArrow(work, "doc_id long, wide boolean, ids binary")
+
+
 def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0) -> DataFrame:
     """Encode ``docs`` (doc_id, text) and write them as shards in ascending order of doc_id; null ids come first.
 
-    Returns the manifest that is also written to ``folder``/manifest: shard, path, records, tokens.  Documents are
-    dealt out by ranges of doc_id, so a shard is one range, sorted; no task sees more than its range.  Each
+    Returns the manifest that is also written to ``folder``/manifest: shard, path, records, tokens.  Texts are encoded
+    where they are read; the ids are dealt out by ranges of doc_id (rows of one doc_id by a hash), so a shard is one
+    range, sorted; no task sees more than its range.  Each
     document ends with ``end_id``.  A null text counts as empty, repeated rows give repeated records, an empty
     table gives an empty manifest.  Other columns are not written.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    encoded = stable(encode(docs, tokenizer, end_id), "token-ids")
+    rows = encoded.repartitionByRange("doc_id", F.xxhash64("ids")).sortWithinPartitions("doc_id")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = filesystem(folder)
         shard = TaskContext.get().partitionId()
-        path, end = f"{base}/shard-{shard:06d}.rec", struct.pack("<I", end_id)
-        tokens, offsets, encode = 0, [0], encoder(tokenizer).encode_all
+        path = f"{base}/shard-{shard:06d}.rec"
+        tokens, offsets = 0, [0]
 
         def write(out) -> None:
             nonlocal tokens
             for batch in slices(batches, 200):
                 payloads = []
-                encoded = encode(batch.column(1).to_pylist())
-                for doc, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
-                    tokens += len(ids) // 4 + 1
-                    payloads.append(payload(doc, np.frombuffer(ids + end, "<u4")))
+                for doc, wide, ids in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                    tokens += len(ids) // (4 if wide else 2)
+                    payloads.append(struct.pack(HEAD, (doc is not None) | wide << 1, doc or 0) + ids)
                 for record in frame(payloads):
                     out.write(record)
                     offsets.append(offsets[-1] + len(record))
