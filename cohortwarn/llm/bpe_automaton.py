@@ -19,20 +19,44 @@ position of a word is unique: a word is encoded from left to right, each positio
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
+import struct
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cohortwarn.llm.common import UNICODE_SPACE, add_columns, once, sha256_hex
+from cohortwarn.llm.common import UNICODE_SPACE, add_columns, once, text_of
 
-#: Parts between white space, pieces and arcs that a task keeps; more are computed again.
-KEPT_WORDS, KEPT_PIECES, KEPT_ARCS, KEPT_LENGTH = 150_000, 400_000, 500_000, 64
+#: Parts between white space, pieces and arcs that a task keeps, longest of them; more are computed again.
+KEPT_WORDS, KEPT_PIECES, KEPT_ARCS, KEPT_LENGTH = 300_000, 300_000, 300_000, 64
+
+
+class Kept:
+    """A bounded dictionary in two generations: what is used stays when the older half goes."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most // 2, {}, {}
+
+    def get(self, key):
+        found = self.young.get(key)
+        if found is None:
+            found = self.old.get(key)
+            if found is not None:
+                self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.most:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
 
 
 def byte_symbols() -> list[str]:
@@ -58,10 +82,10 @@ class MergeAutomaton:
         self.made: dict[int, int] = {}  # number of the merge that made the token
         self.parts: dict[int, tuple[int, int]] = {}
         self.removed: dict[tuple[int, int], int] = {}  # (state, arc) -> number of the merge that removed it
-        self.arcs: dict[tuple[int, int], bool] = {}
+        # Looked-up arcs, by state and label in one number.
+        self.arcs, self.width = Kept(KEPT_ARCS), max(tokens.values(), default=0) + 1
         for k, (u, v) in enumerate(merges):
             self.gadget(k, tokens[u], tokens[v], tokens[u + v])
-        self.arcs.clear()
         self.start = {i for i in self.labels if i not in self.made or i in self.parts}
         self.longest = max(map(len, tokens), default=1)
 
@@ -91,11 +115,10 @@ class MergeAutomaton:
             x, until_x = self.parts[x][1], min(until_x, self.made[x])
 
     def step(self, x: int, y: int) -> bool:
-        found = self.arcs.get((x, y))
+        found = self.arcs.get(x * self.width + y)
         if found is None:
-            if len(self.arcs) >= KEPT_ARCS:
-                self.arcs.clear()
-            found = self.arcs[x, y] = self.follows(x, y)
+            found = self.follows(x, y)
+            self.arcs.put(x * self.width + y, found)
         return found
 
     def encode(self, symbols: str) -> list[int]:
@@ -104,7 +127,7 @@ class MergeAutomaton:
         Follows arcs from the left, the longest label first.  A path of arcs to a position is the one way to read
         that far, so a position from which the word cannot be finished is left for good.
         """
-        n, get, start, arcs, step = len(symbols), self.tokens.get, self.start, self.arcs, self.step
+        n, get, start, arcs, step, width = len(symbols), self.tokens.get, self.start, self.arcs.young, self.step, self.width
         longest, whole = self.longest, symbols + self.suffix
         t = get(whole)
         if t is not None and t in start:
@@ -116,7 +139,7 @@ class MergeAutomaton:
                 if end not in dead:
                     t = get(symbols[at:end] if end < n else whole[at:])
                     if t is not None and t in start:
-                        ok = arcs.get((last, t)) if last >= 0 else True
+                        ok = arcs.get(last * width + t) if last >= 0 else True
                         if ok or (ok is None and step(last, t)):
                             found = True
                             break
@@ -156,69 +179,127 @@ class WordTokenizer:
         self.library = Tokenizer.from_str(json.dumps(spec))
         self.labels = {**self.automaton.labels, **{i: t for t, i in self.special.items()}}
         self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.words: dict[str, tuple[str, str, int]] = {}  # parts between white space
-        self.kept: dict[str, list[int]] = {}  # pieces
-
-    def _piece(self, piece: str, symbols: str | None = None) -> tuple[str, str, int]:
+        self.odd = "|".join([_OTHER_SPACE, *map(re.escape, self.special)])
+        # Ids of parts between white space and of pieces, as unsigned 32-bit integers.
+        self.words, self.kept = Kept(KEPT_WORDS), Kept(KEPT_PIECES)
+        size = max(self.labels, default=0) + 1
+        self.numbers = _Strings([str(i).encode() for i in range(size)])
+        self.names = _Strings([self.labels.get(i, "").encode("utf-8", "surrogatepass") for i in range(size)])
+
+    def _piece(self, piece: str, symbols: str | None = None) -> bytes:
         found = self.kept.get(piece)
         if found is None:
             ids = self.automaton.encode(symbols or "".join([self.symbols[b] for b in piece.encode("utf-8")]))
-            found = " ".join(map(str, ids)), " ".join([self.labels[i] for i in ids]), len(ids)
+            found = struct.pack(f"<{len(ids)}I", *ids)
             if len(piece) <= KEPT_LENGTH:
-                if len(self.kept) >= KEPT_PIECES:
-                    self.kept.clear()
-                self.kept[piece] = found
+                self.kept.put(piece, found)
         return found
 
-    def _word(self, part: str) -> tuple[str, str, int]:
+    def _word(self, part: str) -> bytes:
         if not _SETTLED(part):
             # Python and the library may have different versions of Unicode: the library splits, and gives symbols.
             pieces = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part))
-            return self._keep(part, [self._piece(f"\0{x}", x) for x, _ in pieces])
+            return b"".join([self._piece(f"\0{x}", x) for x, _ in pieces])
         plain = part if part.isascii() else unicodedata.normalize("NFC", part)
         plain = plain.lower() if "Σ" not in plain else "".join(c.lower() for c in plain)
         if plain.isalpha():  # one run of letters
-            found = self._piece(plain)
-        elif plain[-1:] in _SIGNS and plain[:-1].isalpha():
-            (a, b, c), (d, e, f) = self._piece(plain[:-1]), self._piece(plain[-1])
-            found = f"{a} {d}", f"{b} {e}", c + f
-        else:
-            return self._keep(part, [self._piece(x) for x in self.pieces(plain)])
-        return self._keep(part, [found])
-
-    def _keep(self, part: str, pieces: list[tuple[str, str, int]]) -> tuple[str, str, int]:
-        found = pieces[0] if len(pieces) == 1 else (
-            " ".join([x[0] for x in pieces]), " ".join([x[1] for x in pieces]), sum([x[2] for x in pieces]))
-        if len(part) <= KEPT_LENGTH:
-            if len(self.words) >= KEPT_WORDS:
-                self.words.clear()
-            self.words[part] = found
+            return self._piece(plain)
+        if plain[-1:] in _SIGNS and plain[:-1].isalpha():
+            return self._piece(plain[:-1]) + self._piece(plain[-1])
+        return b"".join([self._piece(x) for x in self.pieces(plain)])
+
+    def part(self, part: bytes) -> bytes:
+        """Ids of a part between white space."""
+        found = self.words.get(part)
+        if found is None:
+            found = self._word(part.decode("utf-8", "surrogatepass"))
+            if len(part) <= KEPT_LENGTH:
+                self.words.put(part, found)
         return found
 
-    def encode_words(self, text: str) -> list[tuple[str, str, int]]:
-        """For each part of the text that has tokens: ids and labels joined by a space, and how many."""
-        out: list[tuple[str, str, int]] = []
-        for raw in self.specials.split(text) if self.specials and "<" in text else [text]:
+    def _one(self, text: str) -> bytes:
+        """Ids of a text that may have special tokens or white space beyond ASCII."""
+        out = []
+        for raw in self.specials.split(text) if self.specials else [text]:
             if raw in self.special:
-                out.append((str(self.special[raw]), raw, 1))
-                continue
-            # str.split() also splits at x1c to x1f, which are not white space for the tokenizer.
-            parts = raw.split() if not _SEPARATORS(raw) else _PARTS(raw)
-            out += [found for p in parts if (found := self.words.get(p) or self._word(p))[2]]
-        return out
+                out.append(struct.pack("<I", self.special[raw]))
+            else:
+                out += [self.part(p.encode("utf-8", "surrogatepass")) for p in _PARTS(raw)]
+        return b"".join(out)
+
+    def encode_array(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (none is null) behind one another, and where those of each text end.
+
+        Each different part between white space is looked up once.
+        """
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        at = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset).astype(np.int64)
+        data = np.frombuffer(texts.buffers()[2], np.uint8)[at[0] : at[-1]] if at[-1] > at[0] else np.zeros(0, np.uint8)
+        at = at - at[0]
+        odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False) if len(data) else np.zeros(len(texts), bool)
+        inside = ~_IS_SPACE[data]
+        for i in np.flatnonzero(odd).tolist():
+            inside[at[i] : at[i + 1]] = False
+        begun = np.zeros(len(data) + 1, bool)
+        begun[at] = True
+        before = np.zeros(len(data), bool)
+        before[1:] = inside[:-1]
+        starts = np.flatnonzero(inside & (~before | begun[:-1]))
+        upto = np.cumsum(inside)
+        offsets = np.r_[upto[starts] - 1, upto[-1:]].astype(np.int32) if len(data) else np.zeros(1, np.int32)
+        parts = pa.BinaryArray.from_buffers(
+            pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])]).dictionary_encode()
+        known = [self.part(p) for p in parts.dictionary.to_pylist()]
+        which = parts.indices.to_numpy(zero_copy_only=False)
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        lengths, flat = sizes[which], np.frombuffer(b"".join(known), "<u4")
+        ends = np.cumsum(lengths)
+        ids = flat[_runs((np.cumsum(sizes) - sizes)[which], lengths)]
+        ends = np.r_[0, ends][np.searchsorted(starts, at[1:], "left")]
+        if odd.any():
+            rows = np.split(ids, ends[:-1])
+            for i in np.flatnonzero(odd).tolist():
+                rows[i] = np.frombuffer(self._one(texts[i].as_py()), "<u4")
+            ids, ends = np.concatenate(rows), np.cumsum([len(x) for x in rows])
+        return ids, ends
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for ids, _, _ in self.encode_words(text) for i in ids.split()]
+        return self.encode_array(pa.array([text], pa.string()))[0].tolist()
 
     def decode(self, ids: list[int]) -> str:
         """Labels joined by a space, as for a file without a decoder; ids without a label are left out."""
         return " ".join([self.labels[i] for i in ids if i in self.labels])
 
 
+def _runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Positions of runs behind one another, each from a start on."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+class _Strings:
+    """Strings by number, with a space before each, to be written behind one another."""
+
+    def __init__(self, strings: list[bytes]):
+        self.sizes = np.array([len(x) + 1 for x in strings], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.frombuffer(b" " + b" ".join(strings), np.uint8)
+
+    def digests(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """SHA-256 of the strings of each run of ids, joined by a space."""
+        sizes = self.sizes[ids]
+        data = memoryview(self.flat[_runs(self.starts[ids], sizes)])
+        at = np.r_[0, np.r_[0, np.cumsum(sizes)][ends]].tolist()
+        return [hashlib.sha256(data[a + 1 : b] if b > a else b"").hexdigest() for a, b in zip(at, at[1:], strict=False)]
+
+
 _SIGNS = frozenset(".,;:!?")
 # Latin, Greek and Cyrillic: these blocks have been the same in all versions of Unicode for long.
 _SETTLED = re.compile("[\0-\u052f]*").fullmatch
-_SEPARATORS = re.compile("[\x1c-\x1f]").search
+_OTHER_SPACE = r"[\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _PARTS = re.compile(f"[^{UNICODE_SPACE}]+").findall
 
 
@@ -236,7 +317,7 @@ def encode(docs: DataFrame, path: str, ids: bool = True) -> DataFrame:
     """All columns of ``docs`` plus ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and, if asked, ``token_ids``.
 
     ``path`` is a tokenizer file that every executor has.  One pass over the rows without a shuffle; a task holds
-    the tables of the automaton and a bounded number of encoded words.  A null text counts as empty (no tokens).
+    the tables of the automaton, a bounded number of encoded words, and the ids of some megabytes of text.  A null text counts as empty (no tokens).
     Columns of ``docs`` with the names of new columns are replaced.
     """
     fields = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * ids
@@ -244,18 +325,15 @@ def encode(docs: DataFrame, path: str, ids: bool = True) -> DataFrame:
     def make():
         tokenizer = load(path)
 
-        def compute(batch: pa.RecordBatch) -> list[list]:
-            counts, id_hash, text_hash, lists = [], [], [], []
-            for text in batch.column(0).to_pylist():
-                words = tokenizer.encode_words(text or "")
-                joined = " ".join([w[0] for w in words])
-                counts.append(sum([w[2] for w in words]))
-                id_hash.append(sha256_hex(joined))
-                text_hash.append(sha256_hex(" ".join([w[1] for w in words])))
-                if ids:
-                    lists.append([int(i) for i in joined.split()])
-            return [counts, id_hash, text_hash] + [lists] * ids
+        def compute(batch: pa.RecordBatch) -> list:
+            found, ends = tokenizer.encode_array(batch.column(0))
+            counts = np.diff(np.r_[0, ends])
+            out = [pa.array(counts), tokenizer.numbers.digests(found, ends), tokenizer.names.digests(found, ends)]
+            if ids:
+                at = pa.array(np.r_[0, ends].astype(np.int32))
+                out.append(pa.ListArray.from_arrays(at, pa.array(found.astype(np.int32))))
+            return out
 
         return compute
 
-    return add_columns(docs, [F.col("text")], fields, make)
+    return add_columns(docs, [text_of()], fields, make)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cohortwarn.llm.common import text_of
+from cohortwarn.llm.common import slices, text_of
 from cohortwarn.session import stable
 
 #: Longest phrase, least occurrences, scores in millionths of this, share (%) from which a longer phrase takes over.
@@ -109,18 +109,6 @@ class Words:
         self.hashes = word_hashes(self.lang, coded.dictionary.take(pa.array(which)).to_pylist())
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Arrow batches in runs of rows with some ``SLICE`` bytes of text, or one longer text."""
-    for batch in batches:
-        text = batch.column(1)
-        at = np.frombuffer(text.buffers()[1], np.int32, len(text) + 1, 4 * text.offset).astype(np.int64)
-        first = 0
-        while first < batch.num_rows:
-            last = max(first + 1, int(np.searchsorted(at, at[first] + SLICE, "right")) - 1)
-            yield batch.slice(first, last - first)
-            first = last
-
-
 COUNTS = "lang string, phrase string, words int, act int, n long"
 
 
@@ -176,7 +164,7 @@ def count_shard(rows: DataFrame, reached, scan: int, shards: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(reached.value, np.uint8)
-        for batch in _slices(batches):
+        for batch in slices(batches, 1 << 20, SLICE):
             yield from count(batch, table)
 
     return rows.select("lang", "text").mapInArrow(work, COUNTS)

@@ -7,6 +7,7 @@ import sys
 import types
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,11 +48,21 @@ def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
-def slices(batches: Iterator, rows: int = 500) -> Iterator:
-    """Arrow batches in pieces of a few rows, so the Python objects of only that many texts exist at once."""
+def slices(batches: Iterator, rows: int = 500, size: int = 2 << 20) -> Iterator:
+    """Arrow batches in pieces of a few rows and some ``size`` bytes of text, so the Python objects of only that many
+    texts exist at once.  A longer text is a piece of its own.  Sizes are those of the top-level text columns."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        sizes = np.zeros(batch.num_rows + 1, np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+                at = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset)
+                sizes += at - at[:1]
+        first = 0
+        while first < batch.num_rows:
+            last = int(np.searchsorted(sizes, sizes[first] + size, "right")) - 1
+            last = min(max(first + 1, last), first + rows, batch.num_rows)
+            yield batch.slice(first, last - first)
+            first = last
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -75,7 +86,7 @@ def add_columns(docs: DataFrame, inputs: list[Column], fields: str, make: Callab
         compute = make()
         for batch in slices(batches):
             arrays = compute(batch.select(batch.schema.names[1:]))
-            typed = [pa.array(a, t) for a, t in zip(arrays, kinds, strict=True)]
+            typed = [a.cast(t) if isinstance(a, pa.Array) else pa.array(a, t) for a, t in zip(arrays, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *typed], names=names)
 
     names, kinds = ["_row", *new.names], [arrow_type(f.dataType) for f in new.fields]

@@ -281,21 +281,6 @@ def _publish(store: afs.FileSystem, path: str, write) -> None:
     store.move(mine, path)
 
 
-TEXT_SLICE = 2 << 20
-
-
-def text_slices(batches: Iterator[pa.RecordBatch], column: int = 1) -> Iterator[pa.RecordBatch]:
-    """Arrow batches in runs of rows with some ``TEXT_SLICE`` bytes of text, or one longer text."""
-    for batch in batches:
-        text = batch.column(column)
-        at = np.frombuffer(text.buffers()[1], np.int32, len(text) + 1, 4 * text.offset).astype(np.int64)
-        first = 0
-        while first < batch.num_rows:
-            last = max(first + 1, int(np.searchsorted(at, at[first] + TEXT_SLICE, "right")) - 1)
-            yield batch.slice(first, last - first)
-            first = last
-
-
 def encode(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
     """doc_id, wide, ids: the token ids of each text with ``end_id`` behind them, in place and without a shuffle.
 
@@ -305,7 +290,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end, of = np.array([end_id], np.uint32), encoder(tokenizer).encode_array
-        for batch in text_slices(batches):
+        for batch in slices(batches, 5000):
             found = [np.concatenate([x, end]) for x in of(batch.column(1))]
             wide = [bool(x.max() >= 1 << 16) for x in found]
             packed = [x.astype("<u4" if w else "<u2").tobytes() for x, w in zip(found, wide, strict=True)]
