@@ -76,6 +76,37 @@ def phrase_hashes(langs: list[str], phrases: list[str]) -> np.ndarray:
     return out
 
 
+def _numbered(key: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys in order, and for each key its number among them; keys are below ``most``."""
+    if most > 20 * len(key) + 1000:
+        return np.unique(key, return_inverse=True)
+    there = np.zeros(most, bool)
+    there[key] = True
+    return np.flatnonzero(there), (np.cumsum(there) - 1)[key]
+
+
+def _packed(columns: list[np.ndarray], size: int):
+    """One number for each row of numbers below ``size``, and the way back from such numbers to columns."""
+    key, span, tables = columns[0], size, []
+    for c in columns[1:]:
+        table = None
+        if span * size >= 1 << 63:  # would not fit: what there is so far is numbered anew
+            table, key = np.unique(key, return_inverse=True)
+            span = len(table)
+        tables.append(table)
+        key, span = key * size + c, span * size
+
+    def unpack(keys: np.ndarray) -> list[np.ndarray]:
+        out = []
+        for table in reversed(tables):
+            out.append(keys % size)
+            keys = keys // size
+            keys = keys if table is None else table[keys]
+        return [keys, *reversed(out)]
+
+    return key, unpack
+
+
 class Words:
     """The words of many texts: number of each in ``terms`` (of a language), and the piece in which it stands."""
 
@@ -102,7 +133,7 @@ class Words:
         lang = langs.dictionary_encode()
         codes, names = lang.indices.to_numpy(zero_copy_only=False)[doc].astype(np.int64), lang.dictionary.to_pylist()
         key = codes * max(1, len(coded.dictionary)) + coded.indices.to_numpy(zero_copy_only=False)
-        known, self.ids = np.unique(key, return_inverse=True) if len(key) else (key, key)
+        known, self.ids = _numbered(key, len(names) * len(coded.dictionary))
         which = known % max(1, len(coded.dictionary))
         self.lang = [names[i] for i in (known // max(1, len(coded.dictionary))).tolist()]
         self.terms = coded.dictionary.take(pa.array(which)).cast(pa.string())
@@ -153,12 +184,12 @@ def count_shard(rows: DataFrame, reached, scan: int, shards: int) -> DataFrame:
             place, hashes = place[pairs], joined_hash(hashes[pairs], found.hashes[ids[place[pairs] + length - 1]])
             now = np.flatnonzero(scan < act + shards)
             if len(now):
-                key = ids[place[now]]
-                for k in range(1, length - 1):
-                    key = np.unique(key * size + ids[place[now] + k], return_inverse=True)[1]
-                _, first, counts = np.unique(key * size + ids[place[now] + length - 1], return_index=True, return_counts=True)
-                at = place[now][first]
-                yield rows_of(ids[at], [ids[at + k] for k in range(length)], act[now][first], counts)
+                key, unpack = _packed([ids[place[now] + k] for k in range(length)], size)
+                # There are few different scans in which a phrase became active, and each is counted by itself.
+                for begun in np.unique(act[now]).tolist():
+                    keys, counts = np.unique(key[act[now] == begun], return_counts=True)
+                    columns = unpack(keys)
+                    yield rows_of(columns[0], columns, np.full(len(keys), begun), counts)
             if length < LONGEST:
                 when = np.maximum(table[hashes & mask], act)
 
@@ -215,7 +246,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, shards: int = SHARDS)
         summed = summed.withColumn("reach", F.coalesce("reach", F.when(F.col("n") >= least, F.lit(scan))))
         # A phrase whose circle ends here below the threshold is of no use any more; word sums always are.
         ends = F.col("act") + shards - 1 <= scan
-        kept = stable(summed.withColumn("ends", ends).filter("not ends or reach is not null or words = 0"), "counts", "ends")
+        kept = stable(summed.withColumn("ends", ends).filter("not ends or reach is not null or words = 0"), "counts")
         done.append(kept.filter("ends").drop("ends"))
         counts = kept.filter("not ends").drop("ends")
         fresh = kept.filter((F.col("reach") == scan) & F.col("words").between(1, LONGEST - 1))
