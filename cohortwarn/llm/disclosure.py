@@ -4,10 +4,14 @@ Four kinds of personal data are found by pattern and check (email, ip, card, pho
 protected entity.  The corpus then says how strongly a term in its documents reveals it: with document counts n, the
 pointwise mutual information of term and entity is log(n_te N / (n_t n_e)), and the whole information of the entity
 is log(N / n_e).  A term that gives away at least the share ``GENERALISE`` of that information is replaced by a
-general word, from ``REMOVE`` on it is removed; it must occur with the entity in at least ``SUPPORT`` different
-texts, so that words seen once prove nothing.  All its occurrences in the entity's documents are touched.
-
-All counts are over all documents and whole texts.
+general word, from ``REMOVE`` on it is removed.  Few texts prove little: from k different texts with both, only
+(k - ``DOUBT``) / k of the common documents count, so of an entity in one text only terms that hardly any other document
+has are touched.  All their occurrences in the entity's documents are.
+
+All counts are over all documents and whole texts.  A term can only reach the share while n_t is at most
+n_e ^ GENERALISE N ^ (1 - GENERALISE), so more frequent terms are left out before they are paired with entities.
+Entities of one text only have the same counts, so they are one entity here: no text pairs all its entities with all its
+terms.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortwarn.llm.common import add_columns, slices, text_of
@@ -26,8 +30,8 @@ from cohortwarn.session import stable
 
 # Kinds in the order of the contract.
 KINDS = ("email", "ip", "card", "phone")
-#: Shares of information, different texts, and counters a task holds.
-GENERALISE, REMOVE, SUPPORT, HELD = 0.75, 0.95, 2, 500_000
+#: Shares of information, texts that do not count, and counters a task holds.
+GENERALISE, REMOVE, DOUBT, HELD = 0.75, 0.95, 0.75, 500_000
 STRIP = ".,;:!?\"'()[]{}<>«»“”„…|"
 
 # Patterns of the contract, and their parts.
@@ -137,9 +141,18 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join([f"{kind}:{a}:{b}" for a, b, kind in spans])
 
 
+def _md5(text) -> Column:
+    return F.unhex(F.md5(text.cast("binary")))
+
+
+def row_key() -> Column:
+    """128 bits that stand for doc_id and text; equal rows have equal keys."""
+    return _md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.coalesce("text", F.lit(""))))
+
+
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, key, counts, base, base_sha256, entities and terms of each row.  Equal rows have equal keys."""
-    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"), F.xxhash64("text").alias("content"))
+    """doc_id, key, content, counts, base, base_sha256, entities and terms of each row."""
+    rows = docs.select("doc_id", "text", row_key().alias("key"), _md5(text_of()).alias("content"))
     counts = ", ".join(f"n_{k} long" for k in KINDS)
 
     def make():
@@ -163,7 +176,8 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def document_counts(docs: DataFrame) -> DataFrame:
-    """term, n_t: in how many documents each term occurs.  Terms are counted within tasks before they are sent."""
+    """h, n_t: in how many documents the terms of a 64-bit hash occur.  Terms are counted within tasks before they are
+    sent."""
 
     def flush(held: Counter) -> pa.RecordBatch:
         return pa.RecordBatch.from_pydict({"term": pa.array(list(held), pa.string()),
@@ -180,29 +194,47 @@ def document_counts(docs: DataFrame) -> DataFrame:
         yield flush(held)
 
     counted = docs.filter("text is not null").select("text").mapInArrow(work, "term string, n long")
-    return counted.filter("length(term) >= 3").groupBy("term").agg(F.sum("n").alias("n_t"))
+    return counted.filter("length(term) >= 3").select(F.xxhash64("term").alias("h"), "n").groupBy("h").agg(
+        F.sum("n").alias("n_t"))
 
 
 def disclosing(docs: DataFrame, scanned: DataFrame) -> DataFrame:
-    """entity, term, share: pairs whose term gives away at least ``GENERALISE`` of the entity's information."""
+    """content, h, share: terms of a text that give away at least ``GENERALISE`` of an entity in it."""
     n = scanned.count()
-    with_any = scanned.filter("size(entities) > 0")
-    n_e = with_any.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    # Pairs are made only for entities that stand in enough different texts.
-    named = with_any.select("content", F.explode("entities").alias("entity"), F.array_distinct(
-        F.transform("terms", lambda x: x["term"])).alias("words"))
-    enough = named.groupBy("entity", "content").count().groupBy("entity").agg(F.count("*").alias("t"))
-    once = named.join(enough.filter(F.col("t") >= SUPPORT).select("entity"), "entity")
-    pairs = once.select("content", "entity", F.explode("words").alias("term")).groupBy("entity", "term", "content").agg(
-        F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count("*").alias("texts"))
-    pairs = stable(pairs.filter(F.col("texts") >= SUPPORT).join(n_e, "entity"), "pairs")
-    if pairs.isEmpty():
-        return pairs.select("entity", "term", F.lit(0.0).alias("share"))
-    wanted = pairs.select("term").distinct()
-    n_t = document_counts(docs).join(wanted, "term", "left_semi")
-    share = F.log(F.col("n_te") * float(n) / (F.col("n_t") * F.col("n_e"))) / F.log(float(n) / F.col("n_e"))
-    found = pairs.filter(F.col("n_e") < n).join(n_t, "term").select("entity", "term", share.alias("share"))
-    return found.filter(F.col("share") >= GENERALISE)
+    # Each different text with entities once, with its copies and the hashes of its terms.
+    words = F.array_distinct(F.transform("terms", lambda x: F.xxhash64(x["term"])))
+    texts = stable(scanned.filter("size(entities) > 0").select("content", "entities", words.alias("words")).groupBy(
+        "content").agg(F.count("*").alias("copies"), F.first("entities").alias("entities"), F.first("words").alias("words")),
+        "texts")
+    named = texts.select("content", "copies", F.explode("entities").alias("entity"))
+    per_entity = named.groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count("*").alias("texts"))
+    several = stable(named.join(per_entity.filter(f"texts > 1 and n_e < {n}"), "entity").select(
+        "content", "copies", "entity", "n_e"), "entities")
+    alone = texts.select("content", "copies", F.lit(None).cast("string").alias("entity"), F.col("copies").alias("n_e"))
+    # The entities that stand in one text only: at least one, else nothing of the kind is known of the text.
+    single = named.join(per_entity.filter("texts = 1"), "entity").select("content").distinct()
+    alone = alone.filter(F.col("copies") < n).join(single, "content", "left_semi")
+    owners = several.unionByName(alone)
+    most = owners.agg(F.max("n_e")).first()[0]
+    if most is None:
+        return texts.select("content", F.lit(0).cast("long").alias("h"), F.lit(0.0).alias("share")).limit(0)
+    # The slack covers rounding.
+    reach = lambda n_e: F.pow(n_e, F.lit(GENERALISE)) * float(n) ** (1 - GENERALISE) * (1 + 1e-9)
+    placed = texts.select("content", F.explode("words").alias("h"))
+    n_t = document_counts(docs).filter(F.col("n_t") <= reach(F.lit(float(most))))
+    rare = stable(placed.join(n_t, "h"), "rare-terms")
+    pairs = owners.join(rare, "content").filter(F.col("n_t") <= reach(F.col("n_e")))
+    known = F.col("n_te") * (F.col("k") - DOUBT) / F.col("k")
+    share = F.log(known * float(n) / (F.col("n_t") * F.col("n_e"))) / F.log(float(n) / F.col("n_e"))
+    # Of an entity in one text the text stands for it.
+    found = pairs.withColumn("own", F.when(F.col("entity").isNull(), F.col("content"))).groupBy(
+        "entity", "own", "h", "n_e", "n_t").agg(F.sum("copies").alias("n_te"), F.count("*").alias("k"))
+    found = stable(found.withColumn("share", share).filter(F.col("share") >= GENERALISE).select("entity", "own", "h", "share"),
+                   "disclosing")
+    of_several = several.join(found.filter("own is null").select("entity", "h", "share"), "entity").join(
+        rare.select("content", "h"), ["content", "h"], "left_semi").select("content", "h", "share")
+    of_single = found.filter("own is not null").select(F.col("own").alias("content"), "h", "share")
+    return of_several.unionByName(of_single).groupBy("content", "h").agg(F.max("share").alias("share"))
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -213,12 +245,11 @@ def find(docs: DataFrame) -> DataFrame:
     empty table gives none.  Only doc_id and text are read.
     """
     scanned = stable(scan(docs), "personal-data")
-    pairs = disclosing(docs, scanned)
-    pairs = stable(pairs, "disclosing")
-    named = scanned.filter("size(entities) > 0").select("key", "terms", F.explode("entities").alias("entity"))
-    named = named.join(pairs.select("entity").distinct(), "entity").select("key", "entity", F.explode("terms").alias("x"))
-    added = named.select("key", "entity", "x.*").distinct().join(pairs, ["entity", "term"]).groupBy("key", "start", "end").agg(F.max("share").alias("share"))
-    added = added.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "share"))).alias("added"))
+    found = stable(disclosing(docs, scanned), "disclosed")
+    placed = scanned.filter("size(entities) > 0").select("key", "content", F.explode("terms").alias("x")).select(
+        "key", "content", "x.start", "x.end", F.xxhash64("x.term").alias("h")).distinct()
+    added = placed.join(found, ["content", "h"]).groupBy("key").agg(
+        F.sort_array(F.collect_list(F.struct("start", "end", "share"))).alias("added"))
     out = scanned.drop("entities", "terms", "content").join(stable(added, "added"), "key", "left")
 
     ordered = F.split(F.col("base"), ",")
@@ -236,7 +267,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     """All columns of ``docs`` plus ``spans`` and ``clean_text``: base spans become their kind in brackets,
     disclosing terms become ``[WORD]`` or, from ``REMOVE`` on, go."""
     found = find(docs).select("key", "spans", "added").dropDuplicates(["key"]).toDF("_key", "_spans", "_added")
-    both = docs.join(found, F.xxhash64("doc_id", "text") == F.col("_key")).drop("_key")
+    both = docs.join(found, row_key() == F.col("_key")).drop("_key")
 
     def make():
         def clean(text: str | None, spans: str, added: list | None) -> str:

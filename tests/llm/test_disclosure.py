@@ -1,6 +1,8 @@
 import hashlib
+import math
 import random
 import re
+from collections import Counter, defaultdict
 
 import pytest
 from llm.conftest import read
@@ -71,6 +73,55 @@ def test_words_seen_once_prove_nothing(spark):
     assert "term" not in found[80].spans and found[80].n_email == 1  # two copies are one text
 
 
+def plain_terms(rows):
+    """(doc_id, start, end) of all added spans, by counting in dictionaries; texts may repeat."""
+    n, by_text, held, n_t = len(rows), {}, {}, Counter()
+    for _, text in rows:
+        by_text[text] = by_text.get(text, 0) + 1
+    for text, copies in by_text.items():
+        for t in {w.strip(disclosure.STRIP) for w in text.lower().split()}:
+            n_t[t] += copies
+        spans = brute(text)
+        found = disclosure.terms(text, spans)
+        held[text] = ({disclosure.entity(k, text[a:b]) for a, b, k in spans}, {x["term"] for x in found}, found)
+    owners = defaultdict(set)
+    for text, (entities, _, _) in held.items():
+        for e in entities:
+            owners[e].add(text)
+    marked = defaultdict(set)
+    for texts in {frozenset(v) for v in owners.values()}:
+        n_e = sum(by_text[t] for t in texts)
+        for term in {w for t in texts for w in held[t][1]} if n_e < n else ():
+            both = [t for t in texts if term in held[t][1]]
+            known = sum(by_text[t] for t in both) * (len(both) - disclosure.DOUBT) / len(both)
+            if math.log(known * n / (n_t[term] * n_e)) / math.log(n / n_e) >= disclosure.GENERALISE:
+                for t in both:
+                    marked[t].add(term)
+    return {(i, x["start"], x["end"]) for i, text in rows for x in held[text][2] if x["term"] in marked[text]}
+
+
+def added(found):
+    return {(r.doc_id, x["start"], x["end"]) for r in found for x in r.added or []}
+
+
+def test_added_terms_of_a_given_table(spark, medium):
+    rows = [(r.doc_id, r.text or "") for r in read(spark, medium).collect()]
+    found = added(disclosure.find(read(spark, medium)).collect())
+    assert found == plain_terms(rows) and found
+
+
+def test_added_terms_of_entities_in_several_texts(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(150):
+        words = [f"word{int(rng.paretovariate(0.7)) % 400}" for _ in range(rng.randint(3, 30))]
+        words += [f"p{rng.randint(0, 12)}@example.org" for _ in range(rng.choice((0, 0, 1, 2, 5)))]
+        rng.shuffle(words)
+        rows += [(len(rows) + j, " ".join(words)) for j in range(rng.choice((1, 1, 1, 3)))]
+    found = added(disclosure.find(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert found == plain_terms(rows) and found
+
+
 def test_odd_rows(odd, clashing, empty, odd_rows):
     for docs in (odd, clashing):
         found = disclosure.find(docs).collect()
