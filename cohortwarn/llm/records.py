@@ -32,7 +32,6 @@ from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
 from cohortwarn.llm.common import UNICODE_SPACE, once, slices, text_of
-from cohortwarn.session import stable
 
 MASK, POLY = 0xA282EAD8, 0x82F63B78  # fixed values of the record format and of CRC-32C
 HEAD = "<Iq"
@@ -281,10 +280,12 @@ def _publish(store: afs.FileSystem, path: str, write) -> None:
     store.move(mine, path)
 
 
-def encode(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str, end_id: int = 0, bounds: list[int] | None = None) -> DataFrame:
     """doc_id, wide, ids: the token ids of each text with ``end_id`` behind them, in place and without a shuffle.
 
-    ``ids`` are unsigned 16-bit integers, or 32-bit (``wide``) where one is 65,536 or more.
+    ``ids`` are unsigned 16-bit integers, or 32-bit (``wide``) where one is 65,536 or more.  With ``bounds`` also
+    ``shard``: how many of them lie below doc_id.  A doc_id that is a bound several times is dealt out to the shards
+    between them, so that not even one doc_id throughout makes one shard.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
 
@@ -294,60 +295,77 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
             found = [np.concatenate([x, end]) for x in of(batch.column(1))]
             wide = [bool(x.max() >= 1 << 16) for x in found]
             packed = [x.astype("<u4" if w else "<u2").tobytes() for x, w in zip(found, wide, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(wide), pa.array(packed, pa.binary())],
-                                             names=["doc_id", "wide", "ids"])
+            columns = [batch.column(0), pa.array(wide), pa.array(packed, pa.binary())]
+            if bounds is not None:
+                ids = batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+                low, high = (np.searchsorted(bounds, ids, side) for side in ("left", "right"))
+                spread = np.fromiter(map(zlib.crc32, packed), np.int64, len(packed))
+                columns.append(pa.array(low + spread % (np.maximum(high - 1, low) - low + 1), pa.int32()))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return rows.mapInArrow(work, "doc_id long, wide boolean, ids binary")
+    schema = "doc_id long, wide boolean, ids binary" + ", shard int" * (bounds is not None)
+    names = [x.split()[0] for x in schema.split(", ")]
+    return rows.mapInArrow(work, schema)
 
 
-def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0) -> DataFrame:
+def shard_bounds(docs: DataFrame, shards: int) -> list[int]:
+    """Values of doc_id that cut the rows into about as many parts of one size."""
+    cuts = F.percentile_approx(F.col("doc_id").cast("long"), [i / shards for i in range(1, shards)], 10 * max(1000, shards))
+    return (docs.agg(cuts).first()[0] or []) if shards > 1 else []
+
+
+def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, shards: int | None = None) -> DataFrame:
     """Encode ``docs`` (doc_id, text) and write them as shards in ascending order of doc_id; null ids come first.
 
     Returns the manifest that is also written to ``folder``/manifest: shard, path, records, tokens.  Texts are encoded
-    where they are read; the ids are dealt out by ranges of doc_id (rows of one doc_id by a hash), so a shard is one
-    range, sorted; no task sees more than its range.  Each
+    where they are read; the ids are dealt out by ranges of doc_id, about ``shards`` of one size (default: the
+    session's shuffle partitions), and sorted in each; no task holds more than a record at a time.  Each
     document ends with ``end_id``.  A null text counts as empty, repeated rows give repeated records, an empty
     table gives an empty manifest.  Other columns are not written.
     """
-    encoded = stable(encode(docs, tokenizer, end_id), "token-ids")
-    rows = encoded.repartitionByRange("doc_id", F.xxhash64("ids")).sortWithinPartitions("doc_id")
+    shards = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = encode(docs, tokenizer, end_id, shard_bounds(docs, shards))
+    rows = rows.repartition("shard").sortWithinPartitions("shard", "doc_id")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = filesystem(folder)
-        shard = TaskContext.get().partitionId()
-        path = f"{base}/shard-{shard:06d}.rec"
-        tokens, offsets = 0, [0]
-
-        def write(out) -> None:
-            nonlocal tokens
-            for batch in slices(batches, 200):
-                payloads = []
-                for doc, wide, ids in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                    tokens += len(ids) // (4 if wide else 2)
-                    payloads.append(struct.pack(HEAD, (doc is not None) | wide << 1, doc or 0) + ids)
-                for record in frame(payloads):
-                    out.write(record)
-                    offsets.append(offsets[-1] + len(record))
-
-        first = next(batches, None)
-        if first is None:
-            return
-        batches = _chain(first, batches)
-        store.create_dir(base, recursive=True)
-        _publish(store, path, write)
-        _publish(store, f"{path}.idx", lambda out: out.write(np.asarray(offsets, "<u8").tobytes()))
-        yield pa.RecordBatch.from_pydict(
-            {"shard": [shard], "path": [f"{folder}/shard-{shard:06d}.rec"], "records": [len(offsets) - 1],
-             "tokens": [tokens]})
+        parts = (part for batch in slices(batches, 200) for part in _by_shard(batch))
+        ahead = next(parts, None)
+        while ahead is not None:
+            shard, tokens, offsets = ahead[0], 0, [0]
+
+            def write(out) -> None:
+                nonlocal ahead, tokens
+                while ahead is not None and ahead[0] == shard:
+                    payloads = []
+                    for doc, wide, ids in zip(*[c.to_pylist() for c in ahead[1].columns[:3]], strict=True):
+                        tokens += len(ids) // (4 if wide else 2)
+                        payloads.append(struct.pack(HEAD, (doc is not None) | wide << 1, doc or 0) + ids)
+                    for record in frame(payloads):
+                        out.write(record)
+                        offsets.append(offsets[-1] + len(record))
+                    ahead = next(parts, None)
+
+            store.create_dir(base, recursive=True)
+            path = f"{base}/shard-{shard:06d}.rec"
+            _publish(store, path, write)
+            _publish(store, f"{path}.idx", lambda out: out.write(np.asarray(offsets, "<u8").tobytes()))
+            yield pa.RecordBatch.from_pydict(
+                {"shard": [shard], "path": [f"{folder}/shard-{shard:06d}.rec"], "records": [len(offsets) - 1],
+                 "tokens": [tokens]})
 
     manifest = rows.mapInArrow(work, "shard long, path string, records long, tokens long")
     manifest.write.mode("overwrite").parquet(f"{folder}/manifest")
     return docs.sparkSession.read.parquet(f"{folder}/manifest")
 
 
-def _chain(first, rest):
-    yield first
-    yield from rest
+def _by_shard(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Parts of a batch that is sorted by shard."""
+    shards = batch.column(3).to_numpy()
+    edges = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)]
+    for a, b in zip(edges, edges[1:], strict=False):
+        if b > a:
+            yield int(shards[a]), batch.slice(a, b - a)
 
 
 def read_at(folder_path: str, positions: list[int]) -> list[tuple[int | None, np.ndarray]]:

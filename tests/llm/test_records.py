@@ -89,3 +89,13 @@ def test_query_over_many_shards(spark, small):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in found] == expected([(r.doc_id, r.text) for r in rows])
+
+
+def test_one_doc_id_throughout_makes_several_shards(spark, tmp_path):
+    rows = [(5, f"text number {i}") for i in range(400)] + [(None, "no id"), (9, "last")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    manifest = records.write_records(df, str(tmp_path / "r"), PATH, shards=8).collect()
+    assert len(manifest) >= 6 and sum(m.records for m in manifest) == len(rows)
+    found = sorted(records.read_records(spark, str(tmp_path / "r")).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in found] == [None] + [5] * 400 + [9]
+    assert all(b.start == a.start + a.n_tokens for a, b in zip(found, found[1:], strict=False))
