@@ -202,6 +202,13 @@ def borderline_smote_rows(spark, path):
     return rounded(smote.borderline_smote2(rows, "row_id", FEATURES, "label"), *FEATURES)
 
 
+@register(SQL["borderline_smote_rows"], name="borderline_smote_rows_many_leaves")
+def borderline_smote_rows_many_leaves(spark, path):
+    """The same rows when one placement of many leaves answers all three lists."""
+    rows = score_table(spark, path).select("row_id", *FEATURES, "label")
+    return rounded(smote.borderline_smote2(rows, "row_id", FEATURES, "label", leaf_rows=16, visitors=8), *FEATURES)
+
+
 def bag_sql(tree: int, seed: int = 42) -> str:
     """How often a row is in the bag of a tree."""
     u = unit_sql(f"{seed}bag{tree}", "row_id")

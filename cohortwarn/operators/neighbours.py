@@ -1,21 +1,25 @@
 """Exact k nearest neighbours as a partitioned join.
 
 1. Copies: equal feature vectors are one point.  Of its rows only the k + 1
-   smallest keys can ever be in an answer, and a group limit keeps those before
-   the shuffle, so a third of the table being copies of one row costs nothing.
-2. Leaves: a k-d tree cut from a sample of bounded size spreads the points over
-   leaves of similar size.  The tree only decides where points go; the answer
-   does not depend on it.
+   smallest keys (of each class, where lists by class are asked for) can ever be in
+   an answer, and a group limit keeps those before the shuffle, so a third of the
+   table being copies of one row costs nothing.
+2. Leaves: a k-d tree cut from a sample of bounded size routes the points to about
+   as many blocks as a block has leaves; the tree of each block is cut from its own
+   sample in a task.  Trees of blocks and boxes of leaves are tables, so the driver holds the square
+   root of the number of leaves, and leaves never grow.  The trees only decide where
+   points go; the answer does not depend on them.
 3. Own leaf: each query point finds its nearest points inside its leaf.
-4. Nearest boxes: a query point visits the few leaves with the nearest bounding
-   boxes, if these are not farther away than its best distance so far.
-5. Other leaves: with the distance found by then, it visits what other leaves may
-   still hold something nearer.  With many features boxes overlap, and the second
-   round keeps most of them from being visited.
+4. Nearest boxes: a query point visits the few leaves of its block with the nearest
+   bounding boxes, if these are not farther away than its best distance so far.
+5. Other leaves: with the distance found by then, it visits the blocks, and in them
+   the leaves, that may still hold something nearer.
 6. The lists are merged by distance, then key.
 
-In each pass a leaf with many query points is split into several groups, so where
-the query points cluster does not matter.
+A :class:`Placement` is made once and answers several lists for the same query
+points in one search, each over all points or those of one class.  In each pass a
+leaf with many query points is split into several groups, so where the query points
+cluster does not matter.
 
 No pair of points leaves a task; a task holds one leaf and works in blocks.
 """
@@ -23,7 +27,7 @@ No pair of points leaves a task; a task holds one leaf and works in blocks.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -35,7 +39,6 @@ from cohortwarn.functions import hash_unit
 from cohortwarn.session import stable
 
 LEAF_ROWS = 4096
-MAX_LEAVES = 16_384
 SAMPLE_PER_LEAF = 16
 SAMPLE_ROWS = 4096
 # Boxes that the first round of visits may go to.
@@ -79,22 +82,30 @@ def _cut_tree(points: np.ndarray, leaves: int) -> list[tuple[int, float, int, in
     return nodes
 
 
-def _leaf_udf(nodes: list[tuple[int, float, int, int]]):
-    dim, at, left, right = (np.array(x) for x in zip(*nodes, strict=True))
+def _descend(nodes: Sequence[np.ndarray], x: np.ndarray) -> np.ndarray:
+    """The leaf of each point."""
+    dim, at, left, right = nodes
+    node, rows = np.zeros(len(x), dtype=np.int64), np.arange(len(x))
+    while (dim[node] >= 0).any():
+        inner = dim[node] >= 0
+        d = np.where(inner, dim[node], 0)
+        step = np.where(x[rows, d] <= at[node], left[node], right[node])
+        node = np.where(inner, step, node)
+    return left[node].astype(np.int32)
+
+
+def _points(vec: pd.Series) -> np.ndarray:
+    return np.stack(vec.to_numpy()) if len(vec) else np.zeros((0, 1))
+
+
+def _route_udf(nodes: list[tuple[int, float, int, int]]):
+    columns = [np.array(x) for x in zip(*nodes, strict=True)]
 
     @F.pandas_udf(IntegerType())
-    def leaf(vec: pd.Series) -> pd.Series:
-        x = np.stack(vec.to_numpy()) if len(vec) else np.zeros((0, 1))
-        node = np.zeros(len(x), dtype=np.int64)
-        rows = np.arange(len(x))
-        while (dim[node] >= 0).any():
-            inner = dim[node] >= 0
-            d = np.where(inner, dim[node], 0)
-            step = np.where(x[rows, d] <= at[node], left[node], right[node])
-            node = np.where(inner, step, node)
-        return pd.Series(left[node].astype(np.int32))
+    def route(vec: pd.Series) -> pd.Series:
+        return pd.Series(_descend(columns, _points(vec)))
 
-    return leaf
+    return route
 
 
 def _block(width: int) -> int:
@@ -124,70 +135,223 @@ def _nearest(q: np.ndarray, r: np.ndarray, k: int) -> Iterator[tuple[np.ndarray,
         yield rows[keep] + start, cols[keep], dist[keep]
 
 
-def _search(k: int):
+def _search(lists: Sequence[tuple[float | None, int]]):
+    """Nearest points within a leaf, for each list (class or None, how many)."""
+    columns = ["_vec", "_list", "_d2", "_key", "_tag", "_nvec"]
+
     def run(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(q) and len(r):
             r = r.sort_values("_key", kind="stable")
-            rv = np.stack(r["_vec"].to_numpy())
-            for qi, ri, d2 in _nearest(np.stack(q["_vec"].to_numpy()), rv, k):
-                hit = r.iloc[ri]
-                out.append(pd.DataFrame({
-                    "_vec": q["_vec"].to_numpy()[qi], "_d2": d2, "_key": hit["_key"].to_numpy(),
-                    "_tag": hit["_tag"].to_numpy(), "_nvec": hit["_vec"].to_numpy(),
-                }))
+            points, asked, vecs = _points(r["_vec"]), _points(q["_vec"]), q["_vec"].to_numpy()
+            for no, (tag, k) in enumerate(lists):
+                of = np.arange(len(r)) if tag is None else np.flatnonzero(r["_tag"].to_numpy() == tag)
+                for qi, ri, d2 in _nearest(asked, points[of], k) if len(of) else ():
+                    hit = r.iloc[of[ri]]
+                    out.append(pd.DataFrame({
+                        "_vec": vecs[qi], "_list": no, "_d2": d2, "_key": hit["_key"].to_numpy(),
+                        "_tag": hit["_tag"].to_numpy(), "_nvec": hit["_vec"].to_numpy(),
+                    }))
         if not out:
-            return pd.DataFrame(columns=["_vec", "_d2", "_key", "_tag", "_nvec"], dtype=object)
+            return pd.DataFrame(columns=columns, dtype=object)
         return pd.concat(out, ignore_index=True)
 
     return run
 
 
-def _visits(boxes: pd.DataFrame, first: bool):
-    """For each query point: other leaves that may hold a nearer point, among the nearest boxes or the rest."""
-    leaf = boxes["_leaf"].to_numpy()
-    lo, hi = np.stack(boxes["_lo"].to_numpy()), np.stack(boxes["_hi"].to_numpy())
+def _gaps(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Squared distance of each point to each box."""
+    gap = np.zeros((len(x), len(lo)))
+    for j in range(x.shape[1]):
+        v = x[:, j, None]
+        gap += np.maximum(np.maximum(lo[None, :, j] - v, v - hi[None, :, j]), 0.0) ** 2
+    return gap
+
+
+def _within(gap: np.ndarray, reach: pd.Series) -> np.ndarray:
+    # The slack covers rounding in the two distance sums.
+    return gap <= reach.to_numpy()[:, None] * (1 + 1e-9)
+
+
+def _blocks_in_reach(boxes: pd.DataFrame):
+    """Query points beside each block that may hold a nearer point."""
+    block, lo, hi = boxes["_block"].to_numpy(), np.stack(boxes["_lo"].to_numpy()), np.stack(boxes["_hi"].to_numpy())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        size = _block(len(leaf))
         for pdf in batches:
-            for start in range(0, len(pdf), size):
-                part = pdf.iloc[start : start + size]
-                x = np.stack(part["_vec"].to_numpy())
-                gap = np.zeros((len(x), len(leaf)))
-                for j in range(x.shape[1]):
-                    v = x[:, j, None]
-                    gap += np.maximum(np.maximum(lo[None, :, j] - v, v - hi[None, :, j]), 0.0) ** 2
-                own = leaf[None, :] == part["_leaf"].to_numpy()[:, None]
-                # The slack covers rounding in the two distance sums.
-                near = (gap <= part["_reach"].to_numpy()[:, None] * (1 + 1e-9)) & ~own
+            for start in range(0, len(pdf), _block(len(block))):
+                part = pdf.iloc[start : start + _block(len(block))]
+                rows, cols = np.nonzero(_within(_gaps(_points(part["_vec"]), lo, hi), part["_reach"]))
+                yield part.iloc[rows].assign(_at=block[cols])
+
+    return run
+
+
+def _leaves_in_reach(first: bool):
+    """For query points in one block: its leaves that may hold a nearer point, the nearest boxes or the rest."""
+
+    def run(q: pd.DataFrame, boxes: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"_vec": [], "_block": [], "_leaf": []}, dtype=object)]
+        if len(q) and len(boxes):
+            leaf, at = boxes["_leaf"].to_numpy(), int(boxes["_block"].iloc[0])
+            lo, hi = np.stack(boxes["_lo"].to_numpy()), np.stack(boxes["_hi"].to_numpy())
+            for start in range(0, len(q), _block(len(leaf))):
+                part = q.iloc[start : start + _block(len(leaf))]
+                gap = _gaps(_points(part["_vec"]), lo, hi)
+                home = part["_block"].to_numpy()[:, None] == at
+                own = home & (leaf[None, :] == part["_leaf"].to_numpy()[:, None])
+                # Round one went to the nearest boxes of the point's own block.
                 order = np.argsort(np.where(own, np.inf, gap), axis=1, kind="stable")[:, :FIRST_BOXES]
-                nearest = np.zeros_like(near)
+                nearest = np.zeros_like(own)
                 np.put_along_axis(nearest, order, True, axis=1)
-                rows, cols = np.nonzero(near & (nearest if first else ~nearest))
-                yield pd.DataFrame({"_vec": part["_vec"].to_numpy()[rows], "_leaf": leaf[cols]})
+                nearest &= home
+                rows, cols = np.nonzero(_within(gap, part["_reach"]) & ~own & (nearest if first else ~nearest))
+                out.append(pd.DataFrame({"_vec": part["_vec"].to_numpy()[rows], "_block": at, "_leaf": leaf[cols]}))
+        return pd.concat(out, ignore_index=True)
 
     return run
 
 
-def _search_leaves(travel: DataFrame, placed: DataFrame, kk: int, schema: str, visitors: int) -> DataFrame:
-    """Nearest points of each query row (_vec, _leaf) within that leaf; busy leaves are held by several groups."""
-    # One row for each leaf: bounded by the number of leaves.
-    parts = travel.groupBy("_leaf").agg(F.ceil(F.count(F.lit(1)) / visitors).cast("int").alias("_parts"))
-    guests = travel.join(parts, "_leaf").select(
-        "_vec", "_leaf", F.pmod(F.xxhash64("_vec"), F.col("_parts")).cast("int").alias("_slot"))
-    hosts = placed.join(parts, "_leaf").select(
-        "_key", "_tag", "_vec", "_leaf", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_slot"))
-    return guests.groupBy("_leaf", "_slot").cogroup(hosts.groupBy("_leaf", "_slot")).applyInPandas(_search(kk), schema)
+def _paired(guests: DataFrame, hosts: DataFrame, place: Sequence[str], visitors: int):
+    """Both sides grouped by place, a place with many guests being held by several groups."""
+    # One row for each place.
+    parts = guests.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / visitors).cast("int").alias("_parts"))
+    guests = guests.join(parts, list(place)).withColumn("_slot", F.pmod(F.xxhash64("_vec"), F.col("_parts")).cast("int"))
+    hosts = hosts.join(parts, list(place)).withColumn("_slot", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    return guests.drop("_parts").groupBy(*place, "_slot").cogroup(hosts.drop("_parts").groupBy(*place, "_slot"))
+
 
+class Placement:
+    """Reference points dealt out to leaves, for any number of searches.
+
+    ``most`` is the longest list that will be asked for; with ``tag`` lists may be limited to one class.
+    """
 
-def _reach(targets: DataFrame, found: DataFrame, kk: int) -> DataFrame:
-    """Query points with the distance within which a nearer point would have to lie."""
-    by_rank = Window.partitionBy("_vec").orderBy("_d2")
-    best = found.select("_vec", "_d2").withColumn("_rn", F.row_number().over(by_rank)).filter(F.col("_rn") <= kk)
-    reach = best.groupBy("_vec").agg(
-        F.when(F.count(F.lit(1)) >= kk, F.max("_d2")).otherwise(F.lit(float("inf"))).alias("_reach"))
-    return targets.join(reach, "_vec", "left").na.fill(float("inf"), ["_reach"])
+    def __init__(
+        self,
+        references: DataFrame,
+        key: str,
+        features: Sequence[str],
+        most: int,
+        tag: str | None = None,
+        leaf_rows: int = LEAF_ROWS,
+        visitors: int = VISITORS,
+    ):
+        self.key, self.features, self.most, self.visitors = key, list(features), most, visitors
+        tag_col = F.col(tag).cast("double") if tag else F.lit(None).cast("double")
+        points = _vectors(references, features).select("_vec", F.col(key).alias("_key"), tag_col.alias("_tag"))
+        spec = Window.partitionBy("_vec", "_tag").orderBy("_key")
+        points = points.withColumn("_rn", F.row_number().over(spec)).filter(F.col("_rn") <= most + 1).drop("_rn")
+        self.points = stable(points, "points")
+        # Rows of each class and in all: as many rows as there are classes.
+        self.sizes = {r[0]: r[1] for r in self.points.groupBy("_tag").count().collect()}
+        n = sum(self.sizes.values())
+        self.leaves = max(1, math.ceil(n / leaf_rows))
+        if self.leaves == 1:
+            self.placed = self.points
+            return
+        blocks = math.isqrt(self.leaves - 1) + 1
+        sample = self.points.filter(hash_unit("leaf", F.col("_key")) < F.lit(min(1.0, max(blocks * SAMPLE_PER_LEAF, SAMPLE_ROWS) / n)))
+        # Bounded: about SAMPLE_PER_LEAF points for each block.
+        vecs = sample.select("_vec").toPandas()["_vec"]
+        self.route = _route_udf(_cut_tree(_points(vecs) if len(vecs) else np.zeros((1, len(features))), blocks))
+        routed = stable(self.points.withColumn("_block", self.route("_vec")), "routed")
+        self.trees = stable(self._trees(routed, leaf_rows, n), "trees")
+        self.placed = stable(self._in_leaves(routed), "placed")
+        corner = lambda f, c: F.array(*[f(F.col(c)[j]) for j in range(len(features))])
+        self.boxes = stable(self.placed.groupBy("_block", "_leaf").agg(
+            corner(F.min, "_vec").alias("_lo"), corner(F.max, "_vec").alias("_hi")), "boxes")
+        # Bounded by the number of blocks.
+        self.block_boxes = self.boxes.groupBy("_block").agg(
+            corner(F.min, "_lo").alias("_lo"), corner(F.max, "_hi").alias("_hi")).toPandas()
+
+    def _trees(self, routed: DataFrame, leaf_rows: int, n: int) -> DataFrame:
+        sizes = routed.groupBy("_block").agg(F.ceil(F.count(F.lit(1)) / leaf_rows).cast("int").alias("_leaves"))
+        share = min(1.0, max(self.leaves * SAMPLE_PER_LEAF, SAMPLE_ROWS) / n)
+        sample = routed.filter(hash_unit("leaf2", F.col("_key")) < F.lit(share)).select("_block", "_vec").join(sizes, "_block")
+
+        def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+            nodes = _cut_tree(_points(pdf["_vec"]), int(pdf["_leaves"].iloc[0]))
+            return pd.DataFrame([[int(pdf["_block"].iloc[0]), *map(list, zip(*nodes, strict=True))]],
+                                columns=["_block", "dim", "at", "left", "right"])
+
+        return sample.groupBy("_block").applyInPandas(
+            cut, "_block int, dim array<int>, at array<double>, left array<int>, right array<int>")
+
+    def _in_leaves(self, routed: DataFrame) -> DataFrame:
+        names = [f.name for f in routed.schema]
+
+        def run(q: pd.DataFrame, tree: pd.DataFrame) -> pd.DataFrame:
+            q = q[names]
+            if not len(tree):  # no sampled point fell into the block: it is one leaf
+                return q.assign(_leaf=0)
+            nodes = [np.asarray(tree[c].iloc[0]) for c in ("dim", "at", "left", "right")]
+            return q.assign(_leaf=_descend(nodes, _points(q["_vec"])))
+
+        fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in routed.schema)
+        return _paired(routed, self.trees, ["_block"], self.visitors).applyInPandas(run, f"{fields}, _leaf int")
+
+    def search(self, queries: DataFrame, lists: Mapping[str, tuple[float | None, int]]) -> DataFrame:
+        """``queries`` plus a column for each of ``lists``: name -> (class or None for all, how many).
+
+        A list is an array of structs ``(d2, key, tag, vec)`` ordered by squared distance, then key; the row itself is
+        not in it.  It is shorter than asked for only if there are no more points.
+        """
+        if max(k for _, k in lists.values()) > self.most:
+            raise ValueError(f"the placement answers lists of up to {self.most} neighbours")
+        wants = [(tag, k + 1) for tag, k in lists.values()]
+        # So many of each list have to be found before a distance bounds it.
+        need = [min(kk, sum(self.sizes.values()) if tag is None else self.sizes.get(tag, 0)) for tag, kk in wants]
+        key_type = self.points.schema["_key"].dataType.simpleString()
+        schema = f"_vec array<double>, _list int, _d2 double, _key {key_type}, _tag double, _nvec array<double>"
+        asked = _vectors(queries, self.features)
+        targets = asked.select("_vec").distinct()
+        if self.leaves == 1:
+            targets = stable(targets, "targets")
+            parts = max(1, math.ceil(targets.count() / self.visitors))
+            guests = targets.withColumn("_slot", F.pmod(F.xxhash64("_vec"), F.lit(parts)).cast("int"))
+            hosts = self.placed.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+            found = guests.groupBy("_slot").cogroup(hosts.groupBy("_slot")).applyInPandas(_search(wants), schema)
+        else:
+            targets = stable(self._in_leaves(targets.withColumn("_block", self.route("_vec"))), "targets")
+            found = self._search_leaves(targets, wants, schema)
+            for first in (True, False):
+                found = stable(found, "found")
+                reach = self._reach(targets, found, need)
+                at = reach.withColumn("_at", F.col("_block")) if first else reach.mapInPandas(
+                    _blocks_in_reach(self.block_boxes), "_vec array<double>, _block int, _leaf int, _reach double, _at int")
+                boxes = self.boxes.withColumn("_at", F.col("_block"))
+                visits = _paired(stable(at, "at"), boxes, ["_at"], self.visitors).applyInPandas(
+                    _leaves_in_reach(first), "_vec array<double>, _block int, _leaf int")
+                found = found.unionByName(self._search_leaves(stable(visits, "visits"), wants, schema))
+
+        best = Window.partitionBy("_vec", "_list").orderBy("_d2", "_key")
+        entry = F.struct(F.col("_rn"), F.col("_d2").alias("d2"), F.col("_key").alias("key"), F.col("_tag").alias("tag"),
+                         F.col("_nvec").alias("vec"))
+        most = max(kk for _, kk in wants)
+        merged = found.withColumn("_rn", F.row_number().over(best)).filter(F.col("_rn") <= most).groupBy("_vec").agg(*[
+            F.sort_array(F.collect_list(F.when(F.col("_list") == i, entry))).alias(f"_list{i}") for i in range(len(wants))])
+
+        def tidy(i: int, name: str, k: int):
+            others = F.filter(f"_list{i}", lambda e: e["key"] != F.col(self.key))
+            return F.transform(F.slice(others, 1, k), lambda e: F.struct(e["d2"], e["key"], e["tag"], e["vec"])).alias(name)
+
+        columns = [tidy(i, name, k) for i, (name, (_, k)) in enumerate(lists.items())]
+        return asked.join(merged, "_vec", "left").select(*queries.columns, *columns)
+
+    def _search_leaves(self, travel: DataFrame, wants: Sequence[tuple[float | None, int]], schema: str) -> DataFrame:
+        place = ["_block", "_leaf"]
+        return _paired(travel.select("_vec", *place), self.placed, place, self.visitors).applyInPandas(_search(wants), schema)
+
+    @staticmethod
+    def _reach(targets: DataFrame, found: DataFrame, need: Sequence[int]) -> DataFrame:
+        """Query points with the distance within which a point missing in any list would have to lie."""
+        enough = F.element_at(F.array(*[F.lit(x) for x in need]), F.col("_list") + 1)
+        by_rank = Window.partitionBy("_vec", "_list").orderBy("_d2")
+        best = found.select("_vec", "_list", "_d2").withColumn("_rn", F.row_number().over(by_rank)).filter(F.col("_rn") <= enough)
+        full = best.groupBy("_vec", "_list").agg(F.max("_d2").alias("_far"), F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= enough)
+        reach = full.groupBy("_vec").agg(F.when(F.count(F.lit(1)) >= sum(x > 0 for x in need), F.max("_far")).alias("_reach"))
+        return targets.join(reach, "_vec", "left").na.fill(float("inf"), ["_reach"])
 
 
 def nearest_neighbours(
@@ -208,52 +372,5 @@ def nearest_neighbours(
     have no missing values.  Both inputs are read several times: hand in stable
     tables.  Fewer than ``k`` entries come back only if the table has no more.
     """
-    kk = k + 1
-    tag_col = F.col(tag).cast("double") if tag else F.lit(None).cast("double")
-    points = _vectors(references, features).select("_vec", F.col(key).alias("_key"), tag_col.alias("_tag"))
-    spec = Window.partitionBy("_vec").orderBy("_key")
-    points = points.withColumn("_rn", F.row_number().over(spec)).filter(F.col("_rn") <= kk).drop("_rn")
-    points = stable(points)
-    n = points.count()
-    leaves = max(1, min(MAX_LEAVES, math.ceil(n / leaf_rows)))
-    asked = _vectors(queries, features)
-    wanted = asked.select("_vec").distinct()
-    key_type = points.schema["_key"].dataType.simpleString()
-    schema = f"_vec array<double>, _d2 double, _key {key_type}, _tag double, _nvec array<double>"
-
-    if leaves == 1:
-        placed = points.withColumn("_leaf", F.lit(0))
-        targets = stable(wanted.withColumn("_leaf", F.lit(0)), "targets")
-    else:
-        # Bounded: about MAX_LEAVES * SAMPLE_PER_LEAF points at most.
-        share = max(leaves * SAMPLE_PER_LEAF, SAMPLE_ROWS) / n
-        sample = points.filter(hash_unit("leaf", F.col("_key")) < F.lit(min(1.0, share))).select("_vec").toPandas()
-        tree = np.stack(sample["_vec"].to_numpy()) if len(sample) else np.zeros((1, len(features)))
-        leaf = _leaf_udf(_cut_tree(tree, leaves))
-        placed = stable(points.withColumn("_leaf", leaf("_vec")))
-        targets = stable(wanted.withColumn("_leaf", leaf("_vec")), "targets")
-
-    own = _search_leaves(targets, placed, kk, schema, visitors)
-    if leaves > 1:
-        boxes = placed.groupBy("_leaf").agg(
-            F.array(*[F.min(F.col("_vec")[j]) for j in range(len(features))]).alias("_lo"),
-            F.array(*[F.max(F.col("_vec")[j]) for j in range(len(features))]).alias("_hi"),
-        ).toPandas()  # bounded by MAX_LEAVES
-        for first in (True, False):
-            own = stable(own, "found")
-            reach = _reach(targets, own, kk)
-            travel = stable(reach.mapInPandas(_visits(boxes, first), "_vec array<double>, _leaf int"), "visits")
-            own = own.unionByName(_search_leaves(travel, placed, kk, schema, visitors))
-
-    best = Window.partitionBy("_vec").orderBy("_d2", "_key")
-    lists = (
-        own.withColumn("_rn", F.row_number().over(best))
-        .filter(F.col("_rn") <= kk)
-        .groupBy("_vec")
-        .agg(F.sort_array(F.collect_list(F.struct(
-            F.col("_rn"), F.col("_d2").alias("d2"), F.col("_key").alias("key"), F.col("_tag").alias("tag"),
-            F.col("_nvec").alias("vec")))).alias("_list"))
-    )
-    others = F.filter("_list", lambda e: e["key"] != F.col(key))
-    tidy = F.transform(F.slice(others, 1, k), lambda e: F.struct(e["d2"], e["key"], e["tag"], e["vec"]))
-    return asked.join(lists, "_vec", "left").select(*queries.columns, tidy.alias("neighbours"))
+    placement = Placement(references, key, features, k, tag, leaf_rows, visitors)
+    return placement.search(queries, {"neighbours": (None, k)})

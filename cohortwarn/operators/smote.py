@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortwarn.functions import hash_unit
-from cohortwarn.operators.neighbours import nearest_neighbours
+from cohortwarn.operators.neighbours import Placement, nearest_neighbours
 from cohortwarn.operators.ranks import hash_rank
 from cohortwarn.session import stable
 
@@ -86,14 +86,14 @@ def danger_points(
     ``danger`` is 1 where at least half but not all of them are of the other class.
     """
     rows = stable(df.select(key, *features, label))
-    return _danger(rows, key, features, label, minority, m, **search)
+    near = nearest_neighbours(rows.filter(F.col(label) == minority), rows, key, features, m, tag=label, **search)
+    return _danger(near, minority, m).drop("neighbours")
 
 
-def _danger(rows, key, features, label, minority, m, **search):
-    near = nearest_neighbours(rows.filter(F.col(label) == minority), rows, key, features, m, tag=label, **search)
+def _danger(near: DataFrame, minority: float, m: int) -> DataFrame:
     foreign = F.size(F.filter("neighbours", lambda e: e["tag"] != F.lit(float(minority))))
     return near.withColumn("n_majority", foreign).withColumn(
-        "danger", ((F.col("n_majority") * 2 >= m) & (F.col("n_majority") < m)).cast("int")).drop("neighbours")
+        "danger", ((F.col("n_majority") * 2 >= m) & (F.col("n_majority") < m)).cast("int"))
 
 
 def borderline_smote2(
@@ -105,6 +105,7 @@ def borderline_smote2(
     k: int = 5,
     m: int = 10,
     seed: int = 42,
+    **search,
 ) -> DataFrame:
     """Balance two classes from the minority rows near the class border.
 
@@ -116,18 +117,19 @@ def borderline_smote2(
     size, need = _class_sizes(rows, label, minority)
     if size <= k:
         raise ValueError(f"{size} minority rows are too few for {k} neighbours")
-    marked = _danger(rows, key, features, label, minority, m).filter(F.col("danger") == 1)
+    # One placement and one search: the m nearest of all, and the k nearest of each class.
+    sides = rows.withColumn("_other", (F.col(label) != minority).cast("double"))
+    placement = Placement(sides, key, features, max(k, m), "_other", **search)
+    near = placement.search(rows.filter(F.col(label) == minority), {
+        "neighbours": (None, m), "near_small": (0.0, k), "near_large": (1.0, k)})
+    marked = _danger(near, 0.0, m).filter(F.col("danger") == 1).drop("neighbours", "n_majority", "danger")
     border = stable(hash_rank(stable(marked), [key], seed, name="_rank"))
     n_border = border.count()
     if not n_border or not need:
         return _with_originals(rows, rows.limit(0).select(
             key, F.lit(0).alias("syn_no"), *[F.col(c).cast("double").alias(c) for c in features],
             F.col(label).cast("double").alias(label)), key, features, label)
-    is_small = F.col(label) == minority
-    near = nearest_neighbours(border, rows.filter(is_small), key, features, k)
-    near = stable(near.withColumnRenamed("neighbours", "near_small"))
-    near = nearest_neighbours(near, rows.filter(~is_small), key, features, k).withColumnRenamed("neighbours", "near_large")
-    copies = _copies(near, need, n_border)
+    copies = _copies(border, need, n_border)
     own = F.col("syn_no") % 2 == 1
     target = F.when(own, _pick("near_small", seed, key)).otherwise(_pick("near_large", seed, key))
     u = hash_unit(f"{seed}u", F.col(key), F.col("syn_no")) * F.when(own, 1.0).otherwise(0.5)

@@ -118,15 +118,15 @@ def test_many_features_and_clustered_queries(spark, monkeypatch):
     x = rng.normal(size=(n, 8))
     x[:200] = 0.1 * rng.normal(size=(200, 8))  # the cluster
     df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], f"k long, {', '.join(f'{f} double' for f in features)}")
-    visited, sizes, real = [], [], neighbours._search_leaves
+    visited, sizes, real = [], [], neighbours.Placement._search_leaves
 
-    def counted(travel, placed, kk, schema, visitors):
-        per_leaf = travel.groupBy("_leaf").count().collect()
+    def counted(self, travel, wants, schema):
+        per_leaf = travel.groupBy("_block", "_leaf").count().collect()
         visited.append(sum(r["count"] for r in per_leaf))
         sizes.append(max((r["count"] for r in per_leaf), default=0))
-        return real(travel, placed, kk, schema, visitors)
+        return real(self, travel, wants, schema)
 
-    monkeypatch.setattr(neighbours, "_search_leaves", counted)
+    monkeypatch.setattr(neighbours.Placement, "_search_leaves", counted)
     out = neighbours.nearest_neighbours(df.filter("k < 200"), df, "k", features, 4, leaf_rows=40, visitors=16)
     got = {r.k: [e.key for e in r.neighbours] for r in out.collect()}
     for i in range(200):
@@ -136,3 +136,31 @@ def test_many_features_and_clustered_queries(spark, monkeypatch):
     leaves = df.count() / 40
     assert len(visited) == 3 and visited[0] == 200 and visited[1] <= 200 * neighbours.FIRST_BOXES
     assert visited[2] < 200 * (leaves - 1 - neighbours.FIRST_BOXES)  # in eight dimensions most boxes overlap
+
+
+@pytest.mark.parametrize("leaf_rows, visitors", [(4096, 8192), (30, 16)])
+def test_lists_by_class_from_one_search(spark, cloud, leaf_rows, visitors):
+    from cohortwarn.operators.neighbours import Placement
+
+    df = spark.createDataFrame(cloud)
+    placed = Placement(df, "k", ["a", "b"], 6, "y", leaf_rows, visitors)
+    found = placed.search(df.filter("y = 0"), {"every": (None, 6), "small": (0.0, 4), "large": (1.0, 3), "none": (7.0, 2)})
+    rows, asked = found.collect(), cloud[cloud.y == 0]
+    wants = {"every": brute(asked, cloud, 6), "small": brute(asked, cloud[cloud.y == 0], 4), "large": brute(asked, cloud[cloud.y == 1], 3)}
+    for name, want in wants.items():
+        assert {r.k: [n.key for n in r[name]] for r in rows} == want
+    assert all(r["none"] == [] for r in rows)
+    with pytest.raises(ValueError):
+        placed.search(df, {"every": (None, 7)})
+
+
+def test_leaves_stay_small_and_trees_lie_in_blocks(spark):
+    """There is no bound on leaves: a leaf holds few points, and the driver the square root of their number."""
+    from cohortwarn.operators.neighbours import Placement
+
+    rng = np.random.default_rng(3)
+    rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(rng.random((6000, 2)))]
+    df = spark.createDataFrame(rows, "k long, a double, b double")
+    placed = Placement(df, "k", ["a", "b"], 3, leaf_rows=20)
+    sizes = [r["count"] for r in placed.placed.groupBy("_block", "_leaf").count().collect()]
+    assert sum(sizes) == 6000 and len(sizes) > 200 and max(sizes) < 100 and len(placed.block_boxes) <= 18
