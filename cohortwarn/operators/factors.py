@@ -7,10 +7,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ByteType, IntegerType, ShortType
 
 from cohortwarn.functions import ratio
-from cohortwarn.operators.ranks import quantiles
+from cohortwarn.operators.ranks import quantiles_of
 
 # Factor name -> activity counter.
 VIEW_FACTORS = {"page_view_factor": "page_views", "participation_factor": "participations"}
@@ -21,18 +20,16 @@ def _group_stats(df: DataFrame, by: Sequence[str], stats: Mapping[tuple[str, str
     """One row per group; ``stats`` maps (column, statistic) to output name."""
     by = list(by)
     keyed = df.na.drop("any", subset=by)
-    plain, narrow = [], []
-    for (col, stat), out in stats.items():
-        if stat == "mean":
-            plain.append(F.avg(col).alias(out))
-        elif stat != "median":
-            raise ValueError(f"stat must be mean or median, not {stat!r}")
-        elif isinstance(df.schema[col].dataType, (ByteType, ShortType, IntegerType)):
-            plain.append(F.median(col).alias(out))
-        else:
-            narrow.append((col, out))
-    parts = [keyed.groupBy(*by).agg(*plain)] if plain else []
-    parts += [quantiles(keyed, by, col, [0.5]).select(*by, F.col("value").alias(out)) for col, out in narrow]
+    means = [F.avg(col).alias(out) for (col, stat), out in stats.items() if stat == "mean"]
+    medians = {out: col for (col, stat), out in stats.items() if stat == "median"}
+    if len(means) + len(medians) < len(stats):
+        raise ValueError("a statistic must be mean or median")
+    parts = [keyed.groupBy(*by).agg(*means)] if means else []
+    if medians:
+        # All columns in the same passes; every group with a row has a median row, null where it has no value.
+        long = quantiles_of(keyed, by, sorted(set(medians.values())), [0.5])
+        parts.append(long.groupBy(*by).agg(*[
+            F.max(F.when(F.col("variable") == col, F.col("value"))).alias(out) for out, col in medians.items()]))
     return reduce(lambda a, b: a.join(b, by, "full"), parts)
 
 

@@ -7,14 +7,13 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ByteType, IntegerType, ShortType
 
 from cohortwarn.functions import hash_hex, hash_unit
+from cohortwarn.session import stable
 
 # Hex digits of the hash that name a bucket: 16**4 = 65,536 buckets, so bucket
 # tables stay small and a bucket of a 10-billion-row table has ~150,000 rows.
 _BUCKET_DIGITS = 4
-_ACCURACY = 100_000
 
 
 def _hashed(df: DataFrame, key: Sequence[str], seed: int | str) -> DataFrame:
@@ -118,65 +117,63 @@ def assign_folds(
     return ranked.withColumn(name, (F.col("_rank") % folds).cast("int")).drop("_rank")
 
 
-def quantiles(df: DataFrame, by: Sequence[str], col: str, probs: Sequence[float]) -> DataFrame:
-    """Exact interpolated quantiles per group: columns ``by``, ``prob``, ``value``.
+def _ordered_bits(v: Column) -> Column:
+    """A double as a whole number of 64 bits in the same order; adding 0.0 makes both zeros one."""
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), v.cast("double") + F.lit(0.0)).cast("long")
+    return F.when(bits >= 0, bits).otherwise(bits.bitwiseXOR(F.lit((1 << 63) - 1)))
 
-    Nulls and NaN do not count; rows with a null group key are left out.  For
-    whole-number columns Spark's own aggregate is used: it keeps one counter per
-    distinct value.  Other columns go through :func:`_bracketed`, whose cost
-    per task does not grow with the number of distinct values in a group.
-    """
-    by = list(by)
-    rows = df.select(*by, F.col(col)).na.drop("any")
-    if isinstance(df.schema[col].dataType, (ByteType, ShortType, IntegerType)):
-        stats = rows.groupBy(*by).agg(F.percentile(F.col(col), F.array(*map(F.lit, probs))).alias("_v"))
-        pairs = F.arrays_zip(F.array(*map(F.lit, probs)).alias("prob"), F.col("_v").alias("value"))
-        return stats.select(*by, F.inline(pairs).alias("prob", "value"))
-    return _bracketed(rows.withColumn("_v", F.col(col).cast("double")).select(*by, "_v"), by, probs)
 
+def quantiles_of(df: DataFrame, by: Sequence[str], cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """Exact interpolated quantiles per group and column: ``by``, ``variable``, ``prob``, ``value``.
 
-def _bracketed(rows: DataFrame, by: list[str], probs: Sequence[float]) -> DataFrame:
-    """Quantiles of ``_v`` by narrowing.
+    Nulls and NaN do not count; rows with a null group key are left out.
 
-    A mergeable sketch brackets each wanted position, exact counts place the
-    bracket, and only values inside it are ranked.  Should a bracket miss its
-    position, that group falls back to ranking all its distinct values.
+    The values are selected by radix: their order-preserving 64-bit forms are counted by the highest 16 bits, which
+    tells the bucket that holds each wanted position; only values of these buckets are counted by the next bits, and so on.  A
+    bucket whose smallest and largest value are the same is an answer, so small whole numbers take one or two passes
+    and any values four.  Every pass is a count that combines before the shuffle; a group has at most 65,536 counts,
+    whatever its rows and values, and no rows of a group ever meet in one task.  The passes run when this is called.
     """
-    eps = 2.0 / _ACCURACY
-    cuts = [F.lit(min(1.0, max(0.0, p + d))) for p in probs for d in (-eps, eps)]
-    goals = rows.groupBy(*by).agg(
-        F.count("_v").alias("_n"), F.percentile_approx("_v", F.array(*cuts), _ACCURACY).alias("_q"))
-    v, q = F.col("_v"), F.col("_q")
-    places = [F.struct(F.count_if(v < q[2 * i]).alias("below"), F.count_if(v <= q[2 * i + 1]).alias("upto"))
-              for i in range(len(probs))]
-    placed = rows.join(goals, by).groupBy(*by, "_n", "_q").agg(F.array(*places).alias("_p"))
-
-    def bracket(i: int, prob: float) -> Column:
-        at = F.lit(prob) * (F.col("_n") - 1)
-        place = F.col("_p")[i]
-        hit = (place["below"] <= F.floor(at)) & (place["upto"] > F.ceil(at))
-        return F.struct(
-            F.lit(prob).alias("prob"), at.alias("at"),
-            F.when(hit, q[2 * i]).otherwise(F.lit(float("-inf"))).alias("lo"),
-            F.when(hit, q[2 * i + 1]).otherwise(F.lit(float("inf"))).alias("hi"),
-            F.when(hit, place["below"]).otherwise(F.lit(0)).alias("below"),
-        )
-
-    ranges = placed.select(*by, F.array(*[bracket(i, p) for i, p in enumerate(probs)]).alias("_r"))
-    inside = F.filter("_r", lambda r: (v >= r["lo"]) & (v <= r["hi"]))
-    near = (
-        rows.join(ranges, by)
-        .select(*by, "_v", F.inline(inside))
-        .groupBy(*by, "prob", "at", "below", "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    upto = Window.partitionBy(*by, "prob").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.col("below") + F.col("_cum") - 1
-    low, high = (F.min(F.when(last >= f("at"), v)) for f in (F.floor, F.ceil))
-    share = F.first(F.col("at") - F.floor("at"))
-    return (
-        near.withColumn("_cum", F.sum("_c").over(upto))
-        .groupBy(*by, "prob")
-        .agg(low.alias("_a"), high.alias("_b"), share.alias("_s"))
-        .select(*by, "prob", (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_s")).alias("value"))
-    )
+    by = list(by)
+    values = F.array(*[F.struct(F.lit(i).alias("_c"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(cols)])
+    rows = df.na.drop("any", subset=by) if by else df
+    rows = rows.select(*by, F.inline(values)).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    rows = rows.withColumn("_k", _ordered_bits(F.col("_v")))
+    group, found, pending = [*by, "_c"], [], None
+    for shift in (48, 32, 16, 0):
+        counted = rows.withColumn("_d", F.shiftright("_k", shift))
+        if pending is not None:
+            counted = counted.withColumn("_p", F.shiftright("_k", shift + 16)).join(pending.drop("_want"), [*group, "_p"])
+        place = group if pending is None else [*group, "_p"]
+        counts = counted.groupBy(*place, "_d").agg(
+            F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        upto = Window.partitionBy(*place).orderBy("_d").rowsBetween(Window.unboundedPreceding, 0)
+        counts = counts.withColumn("_upto", F.sum("_n").over(upto)).withColumn("_before", F.col("_upto") - F.col("_n"))
+        if pending is None:
+            at = [F.lit(float(p)) * (F.sum("_n").over(Window.partitionBy(*place)) - 1) for p in probs]
+            wanted = F.array(*[F.struct(F.lit(i).alias("_i"), F.lit(j).alias("_j"), x.alias("_at"), f(x).alias("_r"))
+                               for i, x in enumerate(at) for j, f in enumerate((F.floor, F.ceil))])
+            counts = counts.withColumn("_want", wanted)
+        else:
+            counts = counts.join(pending, place)
+        here = F.filter("_want", lambda w: (w["_r"] >= F.col("_before")) & (w["_r"] < F.col("_upto")))
+        hits = stable(counts.select(*group, "_d", "_before", "_lo", "_hi", F.inline(here)), "quantiles")
+        found.append(hits.filter(F.col("_lo") == F.col("_hi")))
+        open_ = hits.filter(F.col("_lo") < F.col("_hi"))
+        if open_.isEmpty():
+            break
+        rest = F.struct("_i", "_j", "_at", (F.col("_r") - F.col("_before")).alias("_r"))
+        # Two positions of each probability at most.
+        pending = open_.groupBy(*group, F.col("_d").alias("_p")).agg(F.collect_list(rest).alias("_want"))
+    every = reduce(DataFrame.unionByName, found)
+    ends = every.groupBy(*group, "_i", "_at").agg(*[
+        F.max(F.when(F.col("_j") == j, F.col("_lo"))).alias(name) for j, name in enumerate(("_a", "_b"))])
+    value = F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_at") - F.floor("_at"))
+    names, shares = (F.array(*map(F.lit, x)) for x in (cols, map(float, probs)))
+    return ends.select(*by, F.element_at(names, F.col("_c") + 1).alias("variable"),
+                       F.element_at(shares, F.col("_i") + 1).alias("prob"), value.alias("value"))
+
+
+def quantiles(df: DataFrame, by: Sequence[str], col: str, probs: Sequence[float]) -> DataFrame:
+    """Exact interpolated quantiles of one column per group: columns ``by``, ``prob``, ``value``."""
+    return quantiles_of(df, by, [col], probs).drop("variable")

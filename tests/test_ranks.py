@@ -65,11 +65,9 @@ def test_folds_are_stratified(people):
         assert len(sizes) == 4 and sum(sizes) == n and max(sizes) - min(sizes) <= 1
 
 
-@pytest.mark.parametrize("accuracy", [100_000, 10])
-def test_quantiles_match_numpy_also_when_the_sketch_is_coarse(spark, monkeypatch, accuracy):
-    monkeypatch.setattr(ranks, "_ACCURACY", accuracy)
+def test_quantiles_match_numpy(spark):
     rng = np.random.default_rng(2)
-    x = np.concatenate([rng.normal(size=500), np.full(400, 1.5), rng.exponential(size=101) * 1e6])
+    x = np.concatenate([rng.normal(size=500), np.full(400, 1.5), rng.exponential(size=101) * 1e6, [-0.0, 0.0, 1e-320, -1e300]])
     data = [("hot", float(v)) for v in x] + [("one", 3.0), ("nan", float("nan")), (None, 1.0)]
     df = spark.createDataFrame(data, "g string, v double")
     probs = [0.0, 0.25, 0.5, 0.9, 1.0]
@@ -80,10 +78,39 @@ def test_quantiles_match_numpy_also_when_the_sketch_is_coarse(spark, monkeypatch
         assert got[k] == pytest.approx(v)
 
 
-def test_missed_brackets_fall_back_to_all_values(spark, monkeypatch):
-    monkeypatch.setattr(ranks.F, "percentile_approx", lambda *a: F.transform(a[1], lambda q: F.lit(-1.0)))
-    df = spark.createDataFrame([("a", float(i)) for i in range(11)], "g string, v double")
-    assert [r.value for r in ranks.quantiles(df, ["g"], "v", [0.5]).collect()] == [5.0]
+def test_neighbouring_doubles_are_told_apart(spark):
+    values = [np.nextafter(1.0, 2.0), 1.0, np.nextafter(1.0, 0.0)] + [float(2**52 + i) for i in range(4)]
+    df = spark.createDataFrame([("a", float(v)) for v in values], "g string, v double")
+    got = {r.prob: r.value for r in ranks.quantiles(df, ["g"], "v", [i / 6 for i in range(7)]).collect()}
+    assert [got[i / 6] for i in range(7)] == sorted(values)
+
+
+def test_several_columns_in_the_same_passes(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(i % 3), int(a), float(b), None if i % 5 else int(a) * 10**12) for i, (a, b) in
+            enumerate(zip(rng.integers(-50, 500, 300), rng.normal(size=300), strict=True))]
+    df = spark.createDataFrame(rows, "g int, a int, b double, c long")
+    got = {(r.g, r.variable, r.prob): r.value for r in ranks.quantiles_of(df, ["g"], ["a", "b", "c"], [0.1, 0.5]).collect()}
+    for g in range(3):
+        for j, name in enumerate("abc", 1):
+            x = [r[j] for r in rows if r[0] == g and r[j] is not None]
+            for p in (0.1, 0.5):
+                assert got[g, name, p] == pytest.approx(float(np.quantile(x, p)))
+
+
+def test_a_hot_group_is_counted_before_the_shuffle(spark, monkeypatch):
+    """No pass sends rows of a group to one task: it sends 16-bit counts, joined by key to the few open buckets."""
+    seen = []
+    real = ranks.stable
+    monkeypatch.setattr(ranks, "stable", lambda df, name: seen.append(
+        df._jdf.queryExecution().optimizedPlan().toString()) or real(df, name))
+    df = spark.range(50_000).select(F.when(F.col("id") % 3 > 0, "hot").otherwise("cold").alias("g"), F.rand(5).alias("v"))
+    ranks.quantiles(df, ["g"], "v", [0.5]).collect()
+    assert 2 <= len(seen) <= 4
+    for plan in seen:
+        # Windows and lists stand above the count only.
+        below = plan[plan.index("Aggregate [g"):]
+        assert "Window" not in below.split("Join")[0] and "collect_list(_v" not in plan and "percentile" not in plan
 
 
 def test_integer_quantiles(spark):
