@@ -79,7 +79,7 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    found = langid.predict(docs.select("doc_id", "text"), langid.learn(docs))
+    found = langid.predict(docs, langid.learn(docs), keep=["doc_id"])
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 

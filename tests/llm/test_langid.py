@@ -1,6 +1,11 @@
+import math
+import random
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
+import regex
 from llm.conftest import read
 
 from cohortwarn.llm import langid
@@ -73,3 +78,57 @@ def test_rare_and_letterless_languages_take_nothing_from_others(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     found = langid.predict(docs, langid.learn(docs)).collect()
     assert {(r.lang, r.lang_pred) for r in found} == {("en", "en"), ("fi", "fi"), ("xx", "und")}
+
+
+def plain_model(rows):
+    """Counts of words and n-grams with dictionaries; every word is known, every n-gram kept."""
+    words, pieces = defaultdict(Counter), defaultdict(Counter)
+    for doc_id, text, lang in rows:
+        if lang is not None and text is not None and zlib.crc32(str(doc_id).encode()) % 3 != 1:
+            words[lang].update(w for t in text.lower().split() for w in regex.findall(r"\p{L}+", t))
+    for lang, counts in words.items():
+        for word, n in counts.items():
+            for size in range(1, 6):
+                for g in langid.grams(word, size):
+                    pieces[lang][g] += n
+    return {k: v for k, v in words.items() if v}, pieces
+
+
+def plain_scores(text, words, pieces):
+    langs = sorted(words)
+    found = [w for t in (text or "").lower().split() for w in regex.findall(r"\p{L}+", t)]
+    floor = math.log(0.5 / (max(sum(c.values()) for c in words.values()) + 1))
+    by_length = {n: {x: {g: k for g, k in pieces[x].items() if len(g) == n} for x in langs} for n in range(1, 6)}
+    log = lambda counts, term, total: math.log((counts[term] + 0.5) / (total + 1)) if counts.get(term) else None
+
+    def vector(term, tables):
+        values = [log(tables[x], term, sum(tables[x].values())) for x in langs]
+        return None if all(v is None for v in values) else np.array([floor if v is None else v for v in values])
+
+    total = np.zeros(len(langs))
+    for w in found:
+        v = vector(w, words)
+        n = 5
+        while v is None and n:
+            some = [x for g in langid.grams(w, n) if (x := vector(g, by_length[n])) is not None]
+            v, n = (np.mean(some, axis=0) if some else None), n - 1
+        total += 0 if v is None else v
+    return (langs[int(total.argmax())], float(1 / np.exp(np.maximum(total - total.max(), -700)).sum())) if found else ("und", 0.0)
+
+
+@pytest.mark.parametrize("in_memory", [0, 3, 200_000])
+def test_learned_words_and_scores_against_plain_python(spark, in_memory):
+    """No learned word is dropped, however few are in memory; a tie of all counts empties no language."""
+    rng = random.Random(in_memory)
+    vocab = {x: [f"{a}{b}{rng.choice(tail)}" for a in "abcdé" for b in "lmno"] for x, tail in (("en", "th"), ("de", "ßt"), ("fr", "éa"))}
+    rows = []
+    for i in range(90):
+        lang = rng.choice(list(vocab))
+        words = [rng.choice(vocab[lang] + ["x²", "Die", "½", "12ab!"]) for _ in range(rng.randint(0, 15))] + [f"new{lang}{i}"] * (i % 3)
+        rows.append((i, " ".join(words) + rng.choice(["", ".", "\u2003end", "\n"]), rng.choice([lang, lang, lang, None])))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    words, pieces = plain_model(rows)
+    found = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(df, langid.learn(df, words=in_memory)).collect()}
+    for doc_id, text, _ in rows:
+        want = plain_scores(text, words, pieces)
+        assert found[doc_id][0] == want[0] and found[doc_id][1] == pytest.approx(want[1])
