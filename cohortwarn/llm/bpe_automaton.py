@@ -36,7 +36,9 @@ from tokenizers import Tokenizer
 from cohortwarn.llm.common import UNICODE_SPACE, add_columns, once, text_of
 
 #: Parts between white space, pieces and arcs that a task keeps, longest of them; more are computed again.
-KEPT_WORDS, KEPT_PIECES, KEPT_ARCS, KEPT_LENGTH = 300_000, 300_000, 300_000, 64
+KEPT_WORDS, KEPT_PIECES, KEPT_ARCS, KEPT_LENGTH = 150_000, 150_000, 200_000, 64
+#: Tokens that are written out as text at once.
+WRITTEN = 1 << 18
 
 
 class Kept:
@@ -275,7 +277,9 @@ class WordTokenizer:
 def _runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Positions of runs behind one another, each from a start on."""
     ends = np.cumsum(lengths)
-    return np.repeat(starts - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if total < 1 << 31 else np.int64
+    return np.repeat((starts - (ends - lengths)).astype(kind), lengths) + np.arange(total, dtype=kind)
 
 
 class _Strings:
@@ -287,11 +291,22 @@ class _Strings:
         self.flat = np.frombuffer(b" " + b" ".join(strings), np.uint8)
 
     def digests(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
-        """SHA-256 of the strings of each run of ids, joined by a space."""
-        sizes = self.sizes[ids]
-        data = memoryview(self.flat[_runs(self.starts[ids], sizes)])
-        at = np.r_[0, np.r_[0, np.cumsum(sizes)][ends]].tolist()
-        return [hashlib.sha256(data[a + 1 : b] if b > a else b"").hexdigest() for a, b in zip(at, at[1:], strict=False)]
+        """SHA-256 of the strings of each run of ids, joined by a space; some ids are written out at a time."""
+        out, sha, begun, stops = [], hashlib.sha256(), False, ends.tolist()
+        for a in range(0, len(ids), WRITTEN):
+            part = ids[a : a + WRITTEN]
+            sizes = self.sizes[part]
+            data, at = memoryview(self.flat[_runs(self.starts[part], sizes)]), np.r_[0, np.cumsum(sizes)]
+            here = a
+            while here < a + len(part):
+                stop = min(stops[len(out)], a + len(part))
+                piece = data[int(at[here - a]) : int(at[stop - a])]
+                sha.update(piece if begun or not len(piece) else piece[1:])
+                begun, here = begun or stop > here, stop
+                if stop == stops[len(out)]:
+                    out.append(sha.hexdigest())
+                    sha, begun = hashlib.sha256(), False
+        return out + [sha.hexdigest()] * (len(stops) - len(out))
 
 
 _SIGNS = frozenset(".,;:!?")

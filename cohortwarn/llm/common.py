@@ -48,7 +48,7 @@ def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
-def slices(batches: Iterator, rows: int = 500, size: int = 2 << 20) -> Iterator:
+def slices(batches: Iterator, rows: int = 500, size: int = 1 << 20) -> Iterator:
     """Arrow batches in pieces of a few rows and some ``size`` bytes of text, so the Python objects of only that many
     texts exist at once.  A longer text is a piece of its own.  Sizes are those of the top-level text columns."""
     for batch in batches:

@@ -85,3 +85,18 @@ def test_query(spark, small):
     for r in read(spark, small).collect():
         ids = LIBRARY.encode(r.text or "", add_special_tokens=False).ids
         assert rows[r.doc_id].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+
+
+def test_long_texts_are_written_out_in_parts(spark, monkeypatch):
+    """Digests do not depend on how many ids are written out at once; empty texts stand between."""
+    texts = ["", "a b c", "word " * 5000, "", "", "x" * 300, "end of it all.", ""]
+    mine = bpe_automaton.load(PATH)
+    import pyarrow as pa
+
+    ids, ends = mine.encode_array(pa.array(texts))
+    want = [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+    for size in (1, 3, 1000, 1 << 18):
+        monkeypatch.setattr(bpe_automaton, "WRITTEN", size)
+        assert mine.numbers.digests(ids, ends) == [hashlib.sha256(" ".join(map(str, w)).encode()).hexdigest() for w in want]
+        assert mine.names.digests(ids, ends) == [
+            hashlib.sha256(LIBRARY.decode(w, skip_special_tokens=False).encode()).hexdigest() for w in want]
