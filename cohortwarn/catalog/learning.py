@@ -6,7 +6,17 @@ from cohortwarn.catalog.registry import COHORT, PICKS_SQL, SQL, register, rounde
 from cohortwarn.functions import encode_label, hash_unit
 from cohortwarn.operators import evaluate, models, ranks, smote
 from cohortwarn.operators.clean import build_task, TASK_EXCLUDES
-from cohortwarn.plans.studies import Study, ablation, forest_scores, tree_report, tuned_forest
+from cohortwarn.plans import studies
+from cohortwarn.plans.studies import (
+    TUNED,
+    Study,
+    ablation,
+    forest_scores,
+    forest_study,
+    task_studies,
+    tree_report,
+    tuned_forest,
+)
 from cohortwarn.plans.tables import early_warning, task
 from cohortwarn.sources import cohort_tables
 
@@ -265,16 +275,17 @@ def higher_grades_by_stump(spark, path):
     return evaluate.higher_grade_check(model, early_warning(cohort_tables(spark, path), COHORT, activity=False))
 
 
-_SHUFFLED = " union all ".join(
-    f"""select avg(case when {stump_predicts('s', 'a.x')} = a.label then 1.0 else 0.0 end)
-      - avg(case when {stump_predicts('s', 'b.x')} = a.label then 1.0 else 0.0 end) as loss
-    from (select english_total as x, label, row_number() over (order by md5('42a{r}|' || row_id), row_id) as rk from ef) a
-    join (select english_total as x, row_number() over (order by md5('42b{r}|' || row_id), row_id) as rk from ef) b
-      using (rk), s_best""" for r in range(3))
+_SHUFFLED = """, ranked as (select *, row_number() over (order by md5('42p|' || row_id), row_id) - 1 as rk,
+    count(*) over () as n from ef)
+, turns as (select r, floor(('0x' || substr(md5('42turn|' || r), 1, 8))::bigint / 4294967296.0 * greatest(1, (select count(*) from ef) - 1))::bigint + 1 as by_
+    from (values (0), (1), (2)) t(r))
+, drops as (select """ + f"""avg(case when {stump_predicts('s', 'a.english_total')} = a.label then 1.0 else 0.0 end)
+      - avg(case when {stump_predicts('s', 'b.english_total')} = a.label then 1.0 else 0.0 end) as loss
+    from ranked a cross join turns join ranked b on b.rk = (a.rk + by_) % a.n, s_best group by r)"""
 
 
 @register(
-    _STUMP_SQL + f""", drops as ({_SHUFFLED}) select 'english_total' as feature,
+    _STUMP_SQL + _SHUFFLED + """ select 'english_total' as feature,
     round(avg(loss), 6) as importance_mean, round(stddev_pop(loss), 6) as importance_std from drops""", cohort=True)
 def permutation_by_stump(spark, path):
     rows, model = stump(spark, path)
@@ -412,6 +423,27 @@ def rules_by_stump(spark, path):
     return lines.filter("line_no > 0").select(F.col("line_no").alias("line"), F.trim("rule").alias("rule"))
 
 
+@register(
+    _STUMP_SQL + """, one as (select *, (p_left > 0.5) = (p_right > 0.5) as same from s_best)
+    , sides as (select 0 as leaf, 1 as depth, '`english_total` <= ' || cut || 'D' as rule,
+        case when p_left > 0.5 then 1.0 else 0.0 end::double as prediction, english_total <= cut as is_left, label from ef, one where not same and english_total <= cut
+      union all select 1, 1, '`english_total` > ' || cut || 'D', case when p_right > 0.5 then 1.0 else 0.0 end::double, false, label
+        from ef, one where not same and english_total > cut
+      union all select 0, 0, 'true', case when p_left > 0.5 then 1.0 else 0.0 end::double, true, label from ef, one where same)
+    select leaf, depth, rule, prediction, count(*) as n, count(*) filter (label = 0) as n_0, count(*) filter (label = 1) as n_1
+    from sides group by leaf, depth, rule, prediction""", cohort=True)
+def leaf_rules_by_stump(spark, path):
+    """The leaves of a one-cut tree with the rows that fall into each."""
+    rows, model = stump(spark, path)
+    return models.leaf_rules(model, rows, "label")
+
+
+@register()
+def leaf_rules(spark, path):
+    rows = score_table(spark, path, "EF")
+    return models.leaf_rules(models.fit_tree(rows, FEATURES, "label", max_depth=5, min_leaf=2), rows, "label")
+
+
 @register(_STUMP_SQL + f"select row_id, {stump_predicts('s', 'english_total')} as prediction from ef, s_best", cohort=True)
 def forest_of_stumps(spark, path):
     """Trees without bags or feature subsets are all the same tree."""
@@ -444,6 +476,82 @@ def forest_scores_by_stump(spark, path):
     return rounded(out, "value")
 
 
+def _study_sql(variants: dict[str, list[str]], rows: str = "ef", tag: str = "") -> str:
+    """Measures of one unbagged one-cut tree on english_total; the out-of-bag tree has the first bag."""
+    split = _EIGHTY.replace("from ef", f"from {rows}").replace("tt", f"tt{tag}").replace(" tr ", f" tr{tag} ").replace(" te ", f" te{tag} ")
+    common = split + stump_sql(f"s{tag}", f"tr{tag}", "english_total") + stump_sql(f"b{tag}", f"tr{tag}", "english_total", bag_sql(0)) + f"""
+    , scored{tag} as (select label, {stump_predicts(f's{tag}', 'english_total')} as p from te{tag}, s{tag}_best)
+    , bagged{tag} as (select label, {stump_predicts(f'b{tag}', 'english_total')} as p from tr{tag}, b{tag}_best
+        where {bag_sql(0).replace('row_id', f'tr{tag}.row_id')} = 0)
+    , cells{tag} as (select c, count(*) filter (label = c and p = c)::double as hits, count(*) filter (label = c)::double as support,
+        count(*) filter (p = c)::double as told, (select count(*) from scored{tag}) as n
+      from scored{tag}, (values (0.0), (1.0)) v(c) group by c)
+    , rates{tag} as (select c::double::varchar as class, support, n, hits, case when told > 0 then hits / told else 0 end as precision,
+        case when support > 0 then hits / support else 0 end as recall from cells{tag} where support > 0 or told > 0)
+    , report{tag} as (select *, case when precision + recall > 0 then 2 * precision * recall / (precision + recall) else 0 end as f1 from rates{tag})
+    , lines{tag} as (select class, precision, recall, f1, support from report{tag}
+      union all select 'accuracy', null, null, sum(hits) / any_value(n), any_value(n) from report{tag}
+      union all select 'macro avg', avg(precision), avg(recall), avg(f1), any_value(n) from report{tag}
+      union all select 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
+        sum(f1 * support) / sum(support), any_value(n) from report{tag})
+    , measures{tag} as (select 'report ' || class || ' ' || name as measure, value from lines{tag}
+        unpivot (value for name in (precision, recall, f1, support))
+      union all select 'label ' || c::integer || ' predicted_0', count(*) filter (p = 0)::double from scored{tag}, (values (0), (1)) v(c)
+        where label = c group by c
+      union all select 'label ' || c::integer || ' predicted_1', count(*) filter (p = 1)::double from scored{tag}, (values (0), (1)) v(c)
+        where label = c group by c
+      union all select 'oob accuracy', avg(case when p = label then 1.0 else 0.0 end) from bagged{tag}
+      union all select 'importance english_total', {_WEIGHT_SQL} from s{tag}_best)"""
+    picks = " union all ".join(
+        f"select '{name}' as variant, measure, value from measures{tag}" + "".join(
+            f" union all select '{name}', 'importance {z}', 0.0::double" for z in zeros) for name, zeros in variants.items())
+    return f"{common}, picked{tag} as ({picks})"
+
+
+_ONE_CUT = {"trees": 1, "max_depth": 1, "max_features": None, "bootstrap": False}
+_WITH_ZERO = {"all features": ["zero"], "features dropped": []}
+
+
+@register(
+    SCORES_SQL + _study_sql(_WITH_ZERO) + " select variant, measure, round(value, 6) as value from picked", cohort=True)
+def warning_study_by_stump(spark, path):
+    """The course study up to the balanced forests, with one-cut trees; a constant feature is the one dropped."""
+    rows = score_table(spark, path, "EF").withColumn("zero", F.lit(0.0))
+    return rounded(forest_study(rows, ["english_total", "zero"], ["zero"], balance=None, **_ONE_CUT), "value")
+
+
+@register(
+    SCORES_SQL + _study_sql({"all features": []}, "ef", "1") + _study_sql({"all features": []}, "pf", "2")
+    + """ select 'EF' as task, variant, measure, round(value, 6) as value from picked1
+    union all select 'PF', variant, measure, round(value, 6) from picked2""", cohort=True)
+def task_studies_by_stump(spark, path):
+    """The same study for both ways to cut the grades."""
+    rows = early_warning(cohort_tables(spark, path), COHORT, activity=False)
+    return rounded(task_studies(rows, ["english_total"], balance=None, **_ONE_CUT), "value")
+
+
+@register()
+def warning_study(spark, path):
+    """All four forests of a course, small."""
+    return forest_study(score_table(spark, path), FEATURES, ["absence_time"], "borderline", {**TUNED, "trees": 5}, k=2, m=7, trees=5)
+
+
+@register()
+def balanced_study(spark, path):
+    """Forests with permutation importances."""
+    return forest_study(score_table(spark, path), FEATURES, balance="plain", repeats=2, seed=1, trees=5)
+
+
+@register()
+def before_after_study(spark, path):
+    return studies.before_after_study(score_table(spark, path), FEATURES, trees=5)[0]
+
+
+@register()
+def before_after_predictions(spark, path):
+    return studies.before_after_study(score_table(spark, path), FEATURES, trees=5, whole=True)[1]
+
+
 @register(
     SCORES_SQL + _SPLIT_SQL.format(seed=10, train="(select count(*) - ceil(count(*) * 0.2) from ef)")
     + stump_sql("s", "tr", "english_total") + f"""

@@ -211,9 +211,12 @@ def chi_squared_scores(spark, path):
       as z from lineitem), m as (select g, count(*) as n, avg(z) as m, var_pop(z) * count(*) as ss from z group by g),
       t as (select avg(z) as overall from z)
     select round((sum(n) - count(*)) * sum(n * (m - overall) * (m - overall)) / ((count(*) - 1) * sum(ss)), 6) as w,
-      cast(count(*) - 1 as bigint) as dof_between, cast(sum(n) - count(*) as bigint) as dof_within from m, t""")
+      cast(count(*) - 1 as bigint) as dof_between, cast(sum(n) - count(*) as bigint) as dof_within,
+      -- The tail of the F law has this form where three classes are compared.
+      round(pow((sum(n) - count(*)) / ((sum(n) - count(*)) + 2 * (sum(n) - count(*)) * sum(n * (m - overall) * (m - overall))
+        / ((count(*) - 1) * sum(ss))), (sum(n) - count(*)) / 2.0), 6) as p_value from m, t""")
 def levene_statistic(spark, path):
-    return rounded(hypotheses.levene(load(spark, path, "lineitem"), "l_extendedprice", "l_returnflag"), "w")
+    return rounded(hypotheses.levene(load(spark, path, "lineitem"), "l_extendedprice", "l_returnflag"), "w", "p_value")
 
 
 @register(

@@ -26,6 +26,43 @@ def _upper_tail(x: float, dof: int) -> float:
     return tail
 
 
+def _beta_share(x: float, a: float, b: float) -> float:
+    """The regularised incomplete beta function, by its continued fraction on the side where that converges fast."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _beta_share(1 - x, b, a)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    # The fraction 1 / (1 + d1 / (1 + d2 / ...)) is evaluated from the front; ``tiny`` stands for a zero.
+    tiny, value, c, d = 1e-300, 1.0, 1.0, 0.0
+    for i in range(10_000):
+        m = i // 2
+        if i == 0:
+            term = 1.0
+        elif i % 2:
+            term = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        else:
+            term = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        d = 1 / ((1 + term * d) or tiny)
+        c = (1 + term / c) or tiny
+        value *= c * d
+        if i and abs(1 - c * d) < 1e-15:
+            break
+    return front * (value - 1)
+
+
+def f_tail(w: float | None, between: float, within: float) -> float:
+    """Survival function of the F law."""
+    if w is None or math.isnan(w) or between <= 0 or within <= 0:
+        return math.nan
+    return _beta_share(within / (within + between * w), within / 2, between / 2)
+
+
+@F.pandas_udf(DoubleType())
+def _f_value(w: pd.Series, between: pd.Series, within: pd.Series) -> pd.Series:
+    return pd.Series([f_tail(*x) for x in zip(w, between, within, strict=True)])
+
+
 @F.pandas_udf(DoubleType())
 def _p_value(score: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series([_upper_tail(x, int(d)) for x, d in zip(score, dof, strict=True)])
@@ -55,10 +92,11 @@ def chi2_scores(df: DataFrame, features: Sequence[str], label: str, k: int | Non
 
 
 def levene(df: DataFrame, col: str, by: str) -> DataFrame:
-    """Levene's W around group medians, with its two degrees of freedom.
+    """Levene's W around group medians, with its two degrees of freedom and the p-value.
 
     The median comes from :func:`quantiles`; the rest is a mean and a spread of
-    absolute deviations per class, combined over one row per class.
+    absolute deviations per class, combined over one row per class.  The p-value is
+    the upper tail of the F law, worked out in Python on the one row.
     """
     rows = df.select(by, F.col(col).cast("double").alias("v")).na.drop("any")
     centres = quantiles(rows, [by], "v", [0.5]).select(by, F.col("value").alias("centre"))
@@ -74,4 +112,5 @@ def levene(df: DataFrame, col: str, by: str) -> DataFrame:
             (F.count(F.lit(1)) - 1).alias("dof_between"),
             (F.sum("n") - F.count(F.lit(1))).alias("dof_within"),
         )
+        .withColumn("p_value", _f_value("w", "dof_between", "dof_within"))
     )

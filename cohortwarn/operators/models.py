@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterable, Mapping, Sequence
 from itertools import product
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from cohortwarn.functions import hash_unit
 from cohortwarn.operators.evaluate import accuracy
 from cohortwarn.operators.ranks import assign_folds, hash_rank
-from cohortwarn.session import stable
+from cohortwarn.session import new_folder, stable
 
 MAX_DEPTH = 30
 FEATURES, LABEL = "features", "label"
@@ -177,40 +178,73 @@ def oob_score(df: DataFrame, key: str, features: Sequence[str], label: str, **pa
     return accuracy(oob_predictions(df, key, features, label, **params), LABEL, "prediction", "oob_accuracy")
 
 
+def rotation(seed: int, repeat: int, n: int) -> int:
+    """By how many ranks the rows of a repeat are shifted: from 1 to n - 1."""
+    u = int(hashlib.md5(f"{seed}turn|{repeat}".encode()).hexdigest()[:8], 16) / 4294967296.0
+    return int(u * max(1, n - 1)) + 1
+
+
 def permutation_importance(
     model: PipelineModel, df: DataFrame, key: str, label: str, repeats: int = 5, seed: int = 42
 ) -> DataFrame:
     """Mean and spread of the accuracy lost when one feature is shuffled.
 
-    A shuffle pairs each row with the row of the same rank in another hash
-    order.  One join per repeat serves all features: the row keeps its values
+    The rows are ranked once, in hash order of the key; in each repeat a row's partner is the row some ranks further on, round
+    the end, the number of ranks being a hash of the repeat.  One join serves all repeats and features: the row keeps its values
     and, per feature, is scored once with the partner's value in its place.
     """
     names, tree = feature_names(model), model.stages[-1]
-    rows = stable(df.select(key, *names, label))
-    totals = []
-    for r in range(repeats):
-        mine = hash_rank(rows, [key], f"{seed}a{r}", name="_rank")
-        other = hash_rank(rows.select(key, *[F.col(n).alias(f"_o_{n}") for n in names]), [key], f"{seed}b{r}", name="_rank")
-        pairs = mine.join(other.drop(key), "_rank")
-        hits = []
-        for i, name in enumerate([None, *names]):
-            inputs = [f"_o_{n}" if n == name else n for n in names]
-            scorer = tree.copy().setFeaturesCol("_f").setPredictionCol(f"_p{i}")
-            scorer.setProbabilityCol("").setRawPredictionCol("")
-            pairs = scorer.transform(assembler(inputs, "_f").transform(pairs)).drop("_f")
-            hits.append(F.avg((F.col(f"_p{i}") == F.col(label)).cast("double")).alias(f"a{i}"))
-        one = pairs.agg(*hits)
-        totals.append(one.select(F.inline(F.array(*[
-            F.struct(F.lit(n).alias("feature"), (F.col("a0") - F.col(f"a{i}")).alias("drop"))
-            for i, n in enumerate(names, 1)]))))
-    every = totals[0]
-    for t in totals[1:]:
-        every = every.unionByName(t)
-    return every.groupBy("feature").agg(
+    rows = stable(hash_rank(df.select(key, *names, label), [key], f"{seed}p", name="_rank"), "ranked")
+    n = rows.count()
+    turns = F.array(*[F.struct(F.lit(r).alias("_turn"), F.lit(rotation(seed, r, n)).cast("long").alias("_by")) for r in range(repeats)])
+    others = rows.select("_rank", *[F.col(x).alias(f"_o_{x}") for x in names]).select("*", F.inline(turns))
+    others = others.withColumn("_rank", F.pmod(F.col("_rank") - F.col("_by"), F.lit(max(1, n)))).drop("_by")
+    pairs, hits = rows.join(others, "_rank"), []
+    for i, name in enumerate([None, *names]):
+        inputs = [f"_o_{x}" if x == name else x for x in names]
+        scorer = tree.copy().setFeaturesCol("_f").setPredictionCol(f"_p{i}")
+        scorer.setProbabilityCol("").setRawPredictionCol("")
+        pairs = scorer.transform(assembler(inputs, "_f").transform(pairs)).drop("_f")
+        hits.append(F.avg((F.col(f"_p{i}") == F.col(label)).cast("double")).alias(f"a{i}"))
+    drops = pairs.groupBy("_turn").agg(*hits).select(F.inline(F.array(*[
+        F.struct(F.lit(x).alias("feature"), (F.col("a0") - F.col(f"a{i}")).alias("drop")) for i, x in enumerate(names, 1)])))
+    return drops.groupBy("feature").agg(
         F.avg("drop").alias("importance_mean"), F.stddev_pop("drop").alias("importance_std"))
 
 
+def leaf_rules(model: PipelineModel, df: DataFrame, label: str) -> DataFrame:
+    """The leaves of a fitted tree as a table: leaf, depth, rule, prediction, and the rows of ``df`` that fall into each.
+
+    ``rule`` is a condition in SQL over the features, so it can be put into ``expr`` or ``where``; the rules of a tree
+    exclude one another and cover every row.  ``n``, ``n_0`` and ``n_1`` count rows by class.  The nodes are read from
+    the saved model; there are at most 2 ** (depth + 1) of them.
+    """
+    spark, tree, names = df.sparkSession, model.stages[-1], feature_names(model)
+    path = new_folder(spark, "tree")
+    tree.save(path)
+    nodes = {r.id: r for r in spark.read.parquet(f"{path}/data").select(
+        "id", "prediction", "leftChild", "rightChild", "split").collect()}
+    rows = []
+
+    def walk(at: int, conditions: list[str]) -> None:
+        node = nodes[at]
+        if node.leftChild < 0:
+            rows.append((float(len(rows)), len(conditions), " and ".join(conditions) or "true", node.prediction))
+            return
+        name, cut = names[node.split.featureIndex], node.split.leftCategoriesOrThreshold[0]
+        walk(node.leftChild, [*conditions, f"`{name}` <= {cut!r}D"])
+        walk(node.rightChild, [*conditions, f"`{name}` > {cut!r}D"])
+
+    walk(0, [])
+    table = spark.createDataFrame(rows, "_leaf double, depth int, rule string, prediction double")
+    scored = tree.copy().setLeafCol("_leaf").transform(assembler(names).transform(df.select(*names, F.col(label).alias("_y"))))
+    counts = scored.groupBy("_leaf").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("_y") == 0).alias("n_0"), F.count_if(F.col("_y") == 1).alias("n_1"))
+    zero = {c: F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "n_0", "n_1")}
+    return table.join(counts, "_leaf", "left").select(
+        F.col("_leaf").cast("int").alias("leaf"), "depth", "rule", "prediction", *zero.values())
+
+
 def param_grid(**choices: Iterable) -> list[dict]:
     """All combinations; values as in :func:`forest_classifier`."""
     return [dict(zip(choices, values, strict=True)) for values in product(*choices.values())]

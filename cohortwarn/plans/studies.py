@@ -15,6 +15,7 @@ from cohortwarn.operators.models import (
     grid_search,
     importances,
     oob_score,
+    permutation_importance,
     predict,
     tree_rules,
 )
@@ -138,6 +139,111 @@ def before_after_smote(table: DataFrame, features: Sequence[str], trees: int = 1
     ])
 
 
+def _measures(
+    study: Study,
+    variant: str,
+    features: Sequence[str],
+    train: DataFrame | None = None,
+    repeats: int = 0,
+    parallelism: int = 4,
+    bootstrap: bool = True,
+    **params,
+) -> DataFrame:
+    """Everything that is asked of one forest, long form: variant, measure, value.
+
+    Report and confusion on the test rows, out-of-bag accuracy on the rows the forest learned from, impurity
+    importances and, with ``repeats``, permutation importances.
+    """
+    spark = study.train.sparkSession
+    model = study.forest(features, train, bootstrap=bootstrap, **params)
+    scored = stable(predict(model, study.test), "scored")
+    name = lambda *parts: F.concat_ws(" ", *parts).alias("measure")
+    report = classification_report(scored, study.label)
+    numbers = F.array(*[F.struct(F.lit(c).alias("of"), F.col(c).cast("double").alias("value")) for c in ("precision", "recall", "f1", "support")])
+    report = report.select("class", F.inline(numbers)).filter("value is not null").select(name(F.lit("report"), "class", "of"), "value")
+    cells = confusion(scored, label=study.label)
+    cells = cells.select(study.label, F.inline(F.array(*[
+        F.struct(F.lit(p).alias("name"), F.col(p).cast("double").alias("value")) for p in ("predicted_0", "predicted_1")])))
+    cells = cells.select(name(F.lit("label"), F.col(study.label).cast("int").cast("string"), "name"), "value")
+    rows, key = study.train, study.key
+    if train is not None:  # a made row has the key of its base row and a number
+        key = "_made"
+        rows = train.withColumn(key, F.concat_ws("#", F.col(study.key), "syn_no"))
+    oob = oob_score(rows, key, features, study.label, seed=study.seed, parallelism=parallelism, **params)
+    oob = oob.select(F.lit("oob accuracy").alias("measure"), F.col("oob_accuracy").alias("value"))
+    weights = importances(model, spark).select(name(F.lit("importance"), "feature"), F.col("importance").alias("value"))
+    parts = [report, cells, oob, weights]
+    if repeats:
+        drops = permutation_importance(model, study.test, study.key, study.label, repeats, study.seed)
+        parts.append(drops.select(name(F.lit("permutation"), "feature"), F.col("importance_mean").alias("value")))
+    return append_tables(parts).select(F.lit(variant).alias("variant"), "measure", "value")
+
+
+TUNED = {"trees": 20, "max_depth": None, "max_features": None, "min_leaf": 2}
+
+
+def forest_study(
+    table: DataFrame,
+    features: Sequence[str],
+    dropped: Sequence[str] = (),
+    balance: str | None = "borderline",
+    tuned: Mapping[str, object] | None = None,
+    repeats: int = 0,
+    seed: int = 42,
+    k: int = 5,
+    m: int = 10,
+    key: str = "row_id",
+    **params,
+) -> DataFrame:
+    """The forests of a course beside one another: variant, measure, value.
+
+    All features; without ``dropped``; without them on balanced rows (``balance``: borderline with ``m`` neighbours
+    for the border, plain, or None); and a ``tuned`` forest on the balanced rows.  ``params`` are those of the untuned
+    forests.  See :func:`_measures` for what is measured of each.
+    """
+    study = Study(table, features, key=key, seed=seed)
+    left = [f for f in features if f not in set(dropped)]
+    out = [_measures(study, "all features", features, repeats=repeats, **params)]
+    if dropped:
+        out.append(_measures(study, "features dropped", left, repeats=repeats, **params))
+    if balance:
+        balanced = stable(study.resampled(balance, left, k=k, **({"m": m} if balance == "borderline" else {})), "balanced")
+        out.append(_measures(study, "balanced", left, balanced, repeats, **params))
+        if tuned:
+            out.append(_measures(study, "tuned", left, balanced, repeats, **tuned))
+    return append_tables(out)
+
+
+def task_studies(rows: DataFrame, features: Sequence[str], tasks: Sequence[str] = ("EF", "PF"), **params) -> DataFrame:
+    """:func:`forest_study` for each way to cut the grades: task, variant, measure, value."""
+    return append_tables([
+        forest_study(task(rows, t), features, **params).select(F.lit(t).alias("task"), "*") for t in tasks])
+
+
+def before_after_study(
+    table: DataFrame, features: Sequence[str], trees: int = 100, k: int = 5, whole: bool = False, key: str = "row_id", **params
+) -> tuple[DataFrame, DataFrame]:
+    """A forest before and after plain balancing: its measures, and actual beside predicted of each test row.
+
+    Balanced are the training rows; with ``whole`` all rows are, before they are split anew, which lets the test rows
+    have made ones and neighbours among the training rows.
+    """
+    study = Study(table, features, key=key)
+    if whole:
+        rows = smote(table, study.key, features, study.label, k=k, seed=study.seed)
+        rows = rows.withColumn(study.key, F.concat_ws("#", F.col(study.key), "syn_no")).drop("syn_no")
+        after, train = Study(rows, features, key=key), None
+    else:
+        after, train = study, stable(study.resampled("plain", k=k), "balanced")
+    measures, predicted = [], []
+    for variant, of, rows in (("as is", study, None), ("balanced", after, train)):
+        measures.append(_measures(of, variant, features, rows, trees=trees, **params))
+        model = of.forest(features, rows, trees=trees, **params)
+        predicted.append(of.predictions(model).select(F.lit(variant).alias("variant"), F.col(of.key).cast("string").alias(of.key),
+                                                      "actual", "predicted"))
+    return append_tables(measures), append_tables(predicted)
+
+
 def ablation(table: DataFrame, features: Sequence[str], drop_sets: Mapping[str, Sequence[str]], **params) -> DataFrame:
     study = Study(table, features)
     return ablate(study.train, study.test, study.features, study.label, drop_sets, seed=study.seed, **params)
@@ -150,6 +256,6 @@ def coverage(tables, cohort: Cohort) -> DataFrame:
 
 
 __all__ = [
-    "Study", "ablation", "before_after_smote", "coverage", "forest_scores", "task", "tree_report",
-    "tuned_forest", "warning_reports",
+    "TUNED", "Study", "ablation", "before_after_smote", "before_after_study", "coverage", "forest_scores", "forest_study",
+    "task", "task_studies", "tree_report", "tuned_forest", "warning_reports",
 ]

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortwarn.operators import evaluate, models
+from cohortwarn.plans import studies
 from cohortwarn.plans.studies import Study, ablation, before_after_smote, forest_scores, tuned_forest, warning_reports
 from cohortwarn.session import stable
 
@@ -158,3 +159,54 @@ def test_the_studies_use_the_stated_parameters(people, monkeypatch):
     assert {k: v for k, v in fitted[0].items() if k in same} == {k: v for k, v in bags[0].items() if k in same}
     plans.warning_reports(people, ["x", "u"], dropped=[], trees=2)
     assert fitted[-1]["max_depth"] is None and fitted[-1]["max_features"] is None and fitted[-1]["min_leaf"] == 2
+
+
+def test_every_row_falls_into_one_leaf(people):
+    rows, features = people, ["x", "u"]
+    model = models.fit_tree(rows, features, "label", max_depth=5)
+    table = models.leaf_rules(model, rows, "label").orderBy("leaf").collect()
+    assert len(table) > 4 and sum(r.n for r in table) == rows.count() and all(r.n == r.n_0 + r.n_1 for r in table)
+    met = rows.select(*[F.expr(r.rule).cast("int").alias(f"l{r.leaf}") for r in table]).collect()
+    assert all(sum(r) == 1 for r in met)
+    for r, n in zip(table, [sum(x[i] for x in met) for i in range(len(table))], strict=True):
+        assert r.n == n
+    told = models.predict(model, rows)
+    for r in table:
+        assert told.filter(r.rule).filter(F.col("prediction") != r.prediction).isEmpty()
+
+
+def test_one_leaf_is_a_rule_too(spark):
+    rows = spark.createDataFrame([(1.0, 1.0), (2.0, 1.0)], "x double, label double")
+    [r] = models.leaf_rules(models.fit_tree(rows, ["x"], "label"), rows, "label").collect()
+    assert (r.leaf, r.depth, r.rule, r.prediction, r.n, r.n_0, r.n_1) == (0, 0, "true", 1.0, 2, 0, 2)
+
+
+def test_full_study_of_a_course(people):
+    rows, features = people, ["x", "u"]
+    out = studies.forest_study(rows, features, features[-1:], "borderline", {"trees": 3, "max_depth": 4}, repeats=2,
+                               k=2, m=4, trees=3).collect()
+    by = {(r.variant, r.measure): r.value for r in out}
+    assert {v for v, _ in by} == {"all features", "features dropped", "balanced", "tuned"}
+    n_test = {sum(by[v, f"label {a} predicted_{b}"] for a in (0, 1) for b in (0, 1)) for v in {v for v, _ in by}}
+    assert len(n_test) == 1  # the test rows stay the same in all variants
+    for v in ("all features", "balanced"):
+        assert 0 <= by[v, "oob accuracy"] <= 1 and by[v, "report accuracy support"] in n_test
+    assert ("all features", f"importance {features[-1]}") in by and ("balanced", f"importance {features[-1]}") not in by
+    assert abs(sum(x for (v, m), x in by.items() if v == "tuned" and m.startswith("importance")) - 1) < 1e-9
+    assert ("balanced", f"permutation {features[0]}") in by
+
+
+def test_before_and_after_balancing(people):
+    rows, features = people, ["x", "u"]
+    for whole in (False, True):
+        measures, told = studies.before_after_study(rows, features, trees=3, k=2, whole=whole)
+        assert {r.variant for r in measures.select("variant").distinct().collect()} == {"as is", "balanced"}
+        n = {r.variant: r["count"] for r in told.groupBy("variant").count().collect()}
+        # Made rows are among the test rows only where all rows were balanced first.
+        assert (n["balanced"] > n["as is"]) == whole
+        assert told.filter("row_id like '%#%'").isEmpty() != whole
+
+
+def test_rotation_pairs_no_row_with_itself():
+    for n in (2, 3, 10, 1000):
+        assert all(1 <= models.rotation(42, r, n) < n for r in range(50))

@@ -127,7 +127,19 @@ def test_levene(spark):
     n, k, m = sum(map(len, z)), len(z), np.concatenate(z).mean()
     want = (n - k) / (k - 1) * sum(len(g) * (g.mean() - m) ** 2 for g in z) / sum(((g - g.mean()) ** 2).sum() for g in z)
     got = hypotheses.levene(spark.createDataFrame(data, "g int, v double"), "v", "g").first()
-    assert tuple(got) == (pytest.approx(want), 1, 69)
+    # The tail of the F law with one degree of freedom is that of the square of Student's t.
+    t = np.linspace(0, np.sqrt(want), 200_001)
+    density = (1 + t**2 / 69) ** -35 * np.exp(math.lgamma(35) - math.lgamma(34.5)) / np.sqrt(69 * np.pi)
+    tail = 1 - 2 * np.trapezoid(density, t)
+    assert tuple(got) == (pytest.approx(want), 1, 69, pytest.approx(tail, abs=1e-9))
+
+
+def test_f_tail_at_known_points():
+    for w in (0.01, 0.5, 1.0, 3.0, 20.0):
+        for d in (1, 2, 7, 100, 59_997):
+            assert hypotheses.f_tail(w, 2, d) == pytest.approx((d / (d + 2 * w)) ** (d / 2), rel=1e-9, abs=1e-12)
+            assert hypotheses.f_tail(w, d, 2) == pytest.approx(1 - (d * w / (d * w + 2)) ** (d / 2), rel=1e-9, abs=1e-11)
+    assert hypotheses.f_tail(1.0, 30, 30) == pytest.approx(0.5) and math.isnan(hypotheses.f_tail(None, 2, 5))
 
 
 def test_group_means_skip_missing(spark):
