@@ -56,7 +56,13 @@ def settings(spark: SparkSession, values: dict[str, str]):
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """``docs`` as files whose rows have a place; what isn't a plain file scan is written first."""
+    """``docs`` as files in which every row has a place of its own.
+
+    Only a frame that is nothing but a file scan is taken as it is.  Above a join or an ``explode`` the same place
+    stands for many rows, so anything else is written first.
+    """
+    if docs._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation":
+        return stable(docs, "documents")
     try:
         docs.select("_metadata.file_path", "_metadata.row_index")
         return docs

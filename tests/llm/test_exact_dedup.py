@@ -73,3 +73,20 @@ def test_query(spark, size):
     found = QUERIES["op1_exact_dedup"](spark, path)
     assert "Python" not in plan(found) and "Arrow" not in plan(found)
     assert differences(found, connect(path), SQL["op1_exact_dedup"]) == ""
+
+
+def test_rows_multiplied_above_a_scan(spark, small):
+    """A scan below an explode or a join gives many rows with one place."""
+    docs = read(spark, small)
+    texts = docs.selectExpr("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t")
+    twice = docs.selectExpr("*", "explode(array(1, 2)) as i").drop("i")
+    marked = exact_dedup.mark_copies(twice)
+    assert marked.count() == 2 * docs.count()
+    assert marked.filter("kept").count() == texts.distinct().count() == exact_dedup.drop_copies(twice).count()
+    joined = docs.join(spark.range(3).withColumnRenamed("id", "n"), exact_dedup.F.lit(True)).drop("n")
+    assert exact_dedup.drop_copies(joined).count() == texts.distinct().count()
+
+
+def test_a_bare_scan_is_read_where_it_is(spark, small):
+    docs = read(spark, small)
+    assert exact_dedup.scanned(docs) is docs and exact_dedup.scanned(docs.filter("doc_id > 3")) is not docs
