@@ -1,21 +1,18 @@
-"""Substring deduplication: repeated passages of more than 50 words by their true length (``passages``).
-
-A window is the text of ``PASSAGE`` words, with the white space between them.  Of the hashes of all runs of ``SHINGLE``
-words in a window the smallest is its anchor (the last of equal ones), so equal windows have equal anchors wherever
-they stand, and a text has few different anchors.  Windows that follow one another with the same anchor are a run, which
-is digested (128 bits).  Anchors are counted over documents.  One that always comes in the same run makes later runs
-copies as they are; of an anchor that comes in different runs all windows are digested, one for each word, and equal
-windows meet.  Of these the first, by doc_id, stays; the others are copies.  The union of overlapping copies is a span, so nothing is lost at its edges or
-to a passage whose parts also stand elsewhere, and no cut depends on a position in the text.
-
-``repeats`` is the coarser way by content-defined chunks.  A gear hash rolls over the code points of a text: each step shifts the hash by one bit and adds a random number for
-the code point; with 16 bits it depends on the last 16 code points only.  Where its high bits are zero a chunk ends.  Chunks of
-the same passage are therefore the same wherever it stands, but for the first and the last of it.  Chunks are counted
-by their 128-bit digest.  Of equal chunks the first, by doc_id and place, stays; the others are copies.  Copies that
-follow one another without a gap make a span, and spans of at least ``WORDS`` words are reported.
-
-``WORDS`` is well below the 50 words from which a repeated passage should be found, because the passage's first
-and last chunks also hold what stands around it.
+"""Substring deduplication by content-defined chunks: repeated passages of more than 50 words, by their true length.
+
+A gear hash rolls over the code points of a text: each step shifts the hash by one bit and adds a random number for the
+code point; with 16 bits it depends on the last 16 code points only.  A chunk ends where the hash is the smallest of
+``SPAN`` places in a row (the last of equal ones), so no chunk is longer than that, no cut depends on a position, and after
+an insertion the cuts are soon the same again, in repetitive text too.
+
+A window is the text of ``PASSAGE`` words, with the white space between them.  It holds several whole chunks whose cuts
+follow from its own code points; of these the one with the smallest hash is its anchor, so equal windows have equal
+anchors wherever they stand, and a text has few different anchors.  Anchors are counted over documents.  From a shared
+chunk the texts around it are compared: windows that follow one another with the same anchor are a run, which is
+digested (128 bits).  An anchor that always comes in the same run makes later runs copies as they are; of one that
+comes in different runs all windows are digested, one for each word, and equal windows meet.  Of these the first, by
+doc_id, stays; the others are copies.  The union of overlapping copies is a span, so nothing is lost at its edges or to a
+passage whose parts also stand elsewhere.
 """
 
 from __future__ import annotations
@@ -32,10 +29,8 @@ from pyspark.sql.window import Window
 from cohortwarn.llm.common import add_columns, slices
 from cohortwarn.session import stable
 
-#: Shortest and longest chunk in code points, high bits of the hash that are zero at an end, words of a span.
-SHORTEST, LONGEST, ZEROS, WORDS = 12, 256, 5, 20
-#: Words of the shortest passage, and of the runs of words among which the anchor of a window is chosen.
-PASSAGE, SHINGLE = 51, 8
+#: Words of the shortest passage; places of which the smallest hash ends a chunk; code points that a hash depends on.
+PASSAGE, SPAN, MEMORY = 51, 24, 16
 _SPACE = np.array([9, 10, 11, 12, 13, 32], np.uint32)
 
 
@@ -57,86 +52,43 @@ def rolling(codes: np.ndarray) -> np.ndarray:
     return h
 
 
-def cuts(codes: np.ndarray) -> list[int]:
-    """Ends of the chunks of a text."""
-    # The low bits depend on the last few code points only, so the high bits decide.
-    found = np.flatnonzero(rolling(codes) >> np.uint16(16 - ZEROS) == 0) + 1
-    out, last, n = [], 0, len(codes)
-    for end in [*found.tolist(), n]:
-        while end - last > LONGEST:
-            last += LONGEST
-            out.append(last)
-        if end - last >= SHORTEST or (end == n and end > last):
-            out.append(end)
-            last = end
-    return out
-
-
-def chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, start, end, words, hi, lo of each chunk; words counts those that begin in the chunk."""
-    rows = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 200):
-            ids, starts, ends, words, hi, lo = [], [], [], [], [], []
-            for doc_id, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                data = text.encode("utf-32-le", "surrogatepass")
-                codes = np.frombuffer(data, "<u4")
-                if not len(codes):
-                    continue
-                at = cuts(codes)
-                space = np.isin(codes, _SPACE)
-                begun = np.r_[0, np.cumsum(~space & np.r_[True, space[:-1]])]
-                begins = [0, *at[:-1]]
-                view = memoryview(data)
-                digests = [xxhash.xxh3_128_intdigest(view[4 * a : 4 * b]) for a, b in zip(begins, at, strict=True)]
-                ids += [doc_id] * len(at)
-                starts += begins
-                ends += at
-                words.append(begun[at] - begun[begins])
-                hi += [(d >> 64) - (1 << 63) for d in digests]
-                lo += [(d & (1 << 64) - 1) - (1 << 63) for d in digests]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()),
-                 pa.array(np.concatenate(words) if words else [], pa.int32()), pa.array(hi, pa.int64()),
-                 pa.array(lo, pa.int64())], names=["doc_id", "start", "end", "words", "hi", "lo"])
-
-    return rows.mapInArrow(work, "doc_id long, start int, end int, words int, hi long, lo long")
-
+def cut_at(codes: np.ndarray, span: int = SPAN) -> np.ndarray:
+    """For each run of ``span`` places the place with the smallest hash (the last of equal ones); these never decrease.
 
-def repeats(docs: DataFrame, words: int = WORDS, within: bool = False) -> DataFrame:
-    """One row for each repeated span: doc_id, start, end (code points), words, keep_doc_id.
-
-    ``keep_doc_id`` is the document with the first occurrence of the span's first chunk.  ``within`` also reports
-    what repeats an earlier place of the same document.  Null texts and documents without an id have no spans, nor
-    has an empty table; repeated rows count as one document.  Only doc_id and text are read.
+    A chunk ends behind every such place.
     """
-    pieces = stable(chunks(docs), "chunks")
-    first = pieces.groupBy("hi", "lo").agg(
-        F.count("*").alias("n"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
-    # A chunk of one document only can be a copy only within it.
-    first = first.filter("n > 1" if within else "first_doc < last_doc").select("hi", "lo", "first_doc")
-    copies = pieces.join(first, ["hi", "lo"])
-    if within:
-        places = copies.filter("doc_id = first_doc").groupBy("hi", "lo").agg(F.min("start").alias("first_start"))
-        copies = copies.join(places, ["hi", "lo"]).filter("doc_id > first_doc or start > first_start")
-    else:
-        copies = copies.filter("doc_id > first_doc")
-    copies = copies.select("doc_id", "start", "end", "words", "first_doc").distinct()
-    by_place = Window.partitionBy("doc_id").orderBy("start")
-    begins = F.coalesce(F.lag("end").over(by_place) != F.col("start"), F.lit(True)).cast("int")
-    runs = copies.withColumn("begins", begins).withColumn("run", F.sum("begins").over(by_place))
-    spans = runs.groupBy("doc_id", "run").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"),
-        F.min(F.struct("start", "first_doc"))["first_doc"].alias("keep_doc_id"))
-    return spans.filter(F.col("words") >= words).select("doc_id", "start", "end", "words", "keep_doc_id")
+    n = len(codes)
+    if n < span:
+        return np.zeros(0, np.int64)
+    # Hash and place in one number; the later place is the smaller.
+    low = rolling(codes).astype(np.uint64) << np.uint64(40) | (np.uint64((1 << 40) - 1) - np.arange(n, dtype=np.uint64))
+    size = 1
+    while 2 * size <= span:
+        low = np.minimum(low[:-size], low[size:])
+        size *= 2
+    low = np.minimum(low[: n - span + 1], low[span - size : span - size + n - span + 1])
+    return ((1 << 40) - 1) - (low & np.uint64((1 << 40) - 1)).astype(np.int64)
+
+
+def smallest(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The smallest of the values from ``first`` on and before ``last``, for many stretches (none is empty)."""
+    level = np.frexp((last - first).astype(float))[1] - 1  # 2 ** level is the greatest power in the stretch
+    out, table = np.empty(len(first), values.dtype), values
+    for k in range(int(level.max(initial=0)) + 1):
+        if k:
+            table = np.minimum(table[: -(1 << k - 1)], table[1 << k - 1 :])
+        at = level == k
+        out[at] = np.minimum(table[first[at]], table[last[at] - (1 << k)])
+    return out
 
 
 class Windows:
     """The windows of ``words`` words of one text after the other."""
 
     def __init__(self, words: int = PASSAGE):
-        self.words, self.shingle = words, min(SHINGLE, words)
+        self.words = words
+        # A window of so many words of one letter has to hold a whole chunk.
+        self.span = max(1, min(SPAN, (2 * words - 1 - MEMORY) // 3))
         self.powers = self.inverse = np.ones(1, np.uint64)
 
     def grow(self, n: int) -> None:
@@ -158,11 +110,16 @@ class Windows:
         self.grow(len(codes) + 1)
         # Sums of hashed code points times powers give the hash of any stretch of the text.
         sums = np.r_[np.uint64(0), np.cumsum(_mixed(codes.astype(np.uint64)) * self.powers[: len(codes)], dtype=np.uint64)]
-        a, b = starts[: len(starts) - self.shingle + 1], ends[self.shingle - 1 :]
-        hashes = _mixed((sums[b] - sums[a]) * self.inverse[a])
-        seen = np.lib.stride_tricks.sliding_window_view(hashes, self.words - self.shingle + 1)
         last = len(starts) - self.words + 1
-        return starts[:last], ends[self.words - 1 :], seen.min(axis=1).view(np.int64)
+        a, b = starts[:last], ends[self.words - 1 :]
+        if self.span < 2:  # too few words to be sure of a chunk: the whole window is its anchor
+            return a, b, _mixed((sums[b] - sums[a]) * self.inverse[a]).view(np.int64)
+        places = cut_at(codes, self.span)
+        number = np.r_[0, np.cumsum(places[1:] != places[:-1])]  # of the cut that a run of places gives
+        cuts = places[np.r_[True, places[1:] != places[:-1]]] + 1
+        hashes = _mixed((sums[cuts[1:]] - sums[cuts[:-1]]) * self.inverse[cuts[:-1]])
+        # Only cuts that follow from the window's own code points.
+        return a, b, smallest(hashes, number[a + MEMORY - 1], number[b - self.span]).view(np.int64)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -227,13 +184,14 @@ def passages(docs: DataFrame, words: int = PASSAGE, within: bool = False) -> Dat
 
     anchors = stable(rows.mapInArrow(
         find_runs, "doc_id long, anchor long, hi long, lo long, at int, last int, start int, end int"), "anchors")
+    # Counts are written before they are joined, so that a hot anchor or window is split by the skew join.
     again = anchors.groupBy("anchor").agg(
         F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.min("hi").alias("hi"),
         F.max("hi").alias("hi2"), F.min("lo").alias("lo"), F.max("lo").alias("lo2"),
         F.sum(F.col("last") - F.col("at") + 1).alias("n"))
     again = again.filter("n > 1" if within else "first_doc < last_doc").select(
         "anchor", "first_doc", F.lit(False).alias("same") if within else F.expr("hi = hi2 and lo = lo2").alias("same"))
-    shared = stable(anchors.drop("hi", "lo").join(again, "anchor"), "shared")
+    shared = stable(anchors.drop("hi", "lo").join(stable(again, "shared-anchors"), "anchor"), "shared")
     # Where all windows of an anchor stand in equal runs, the runs are copied as they are.
     whole = shared.filter("same and doc_id > first_doc").select("doc_id", "at", "last", "start", "end", "first_doc")
     known = shared.filter("not same").groupBy("doc_id").agg(F.collect_set("anchor").alias("known"))
@@ -241,7 +199,7 @@ def passages(docs: DataFrame, words: int = PASSAGE, within: bool = False) -> Dat
         digest, "doc_id long, at int, start int, end int, hi long, lo long"), "windows")
     first = windows.groupBy("hi", "lo").agg(
         F.count("*").alias("n"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
-    first = first.filter("n > 1" if within else "first_doc < last_doc").select("hi", "lo", "first_doc")
+    first = stable(first.filter("n > 1" if within else "first_doc < last_doc").select("hi", "lo", "first_doc"), "first")
     copies = windows.join(first, ["hi", "lo"])
     if within:
         places = copies.filter("doc_id = first_doc").groupBy("hi", "lo").agg(F.min("start").alias("first_start"))
@@ -259,7 +217,7 @@ def passages(docs: DataFrame, words: int = PASSAGE, within: bool = False) -> Dat
         F.min(F.struct("start", "first_doc"))["first_doc"].alias("keep_doc_id")).drop("run")
 
 
-def without_repeats(docs: DataFrame, words: int = WORDS, within: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, words: int = PASSAGE, within: bool = False) -> DataFrame:
     """All columns of ``docs``, with repeated spans cut out of ``text``."""
     spans = passages(docs, words, within).groupBy("doc_id").agg(
         F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_spans")).withColumnRenamed("doc_id", "_id")
