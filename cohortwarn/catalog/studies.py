@@ -6,7 +6,7 @@ from cohortwarn.catalog.joining import _PRIOR, prior_sql
 from cohortwarn.catalog.learning import FEATURES, SCORES_SQL, stump_predicts, stump_sql
 from cohortwarn.catalog.registry import COHORT, PICKS_SQL, factor_sql, r6, register, rounded
 from cohortwarn.catalog.summaries import corr_sql, histogram_sql
-from cohortwarn.operators import models, summary
+from cohortwarn.operators import evaluate, models, summary
 from cohortwarn.plans import studies, tables
 from cohortwarn.plans.tables import FACTORS, VIEW_FACTORS
 from cohortwarn.sources import cohort_tables
@@ -30,6 +30,27 @@ def early_warning_table(spark, path):
     return rounded(tables.early_warning(cohort_tables(spark, path), COHORT), *FACTORS)
 
 
+@register(
+    _early_sql(FACTORS) + """
+    , pf as (select *, case when grade = 'F' then 0.0 else 1.0 end::double as label from early where grade <> '-')"""
+    + stump_sql("s", "pf", "english_total") + f""", scored as (select grade, {stump_predicts('s', 'english_total')} as p
+      from early, s_best where grade in ('A', 'B', 'C', 'D'))
+    select grade, count(*) filter (p = 0) as "F", count(*) filter (p = 1) as "P" from scored group by grade""", cohort=True)
+def higher_grades_with_activity(spark, path):
+    """Students above the limit whom a one-cut tree on the table with activity would have flagged."""
+    every = tables.early_warning(cohort_tables(spark, path), COHORT)
+    model = models.fit_tree(tables.task(every, "PF"), ["english_total"], "label", max_depth=1)
+    return evaluate.higher_grade_check(model, every)
+
+
+@register()
+def all_variables_study(spark, path):
+    """The study of every variable for one way to cut the grades, with activity and tests."""
+    rows = tables.all_variables(cohort_tables(spark, path), COHORT)
+    rows = rows.select("row_id", "grade", *_BASE, *FACTORS)
+    return studies.task_studies(rows, [*_BASE, *FACTORS], ["PF"], balance="plain", k=2, trees=5)
+
+
 @register()
 def early_warning_models(spark, path):
     rows = tables.task(tables.early_warning(cohort_tables(spark, path), COHORT), "PF")

@@ -42,6 +42,33 @@ def _models(t, c, a):
     return studies.warning_reports(rows, _features(rows), a.drop, trees=a.trees, k=a.neighbours)
 
 
+def _course_study(t, c, a):
+    """All four forests of a course with everything that is measured of each."""
+    rows = _warning_rows(t, c, a)
+    return studies.forest_study(rows, _features(rows), a.drop, a.balance, studies.TUNED, a.repeats, k=a.neighbours,
+                                m=a.border, trees=a.trees)
+
+
+def _all_variables_study(t, c, a):
+    rows = tables.all_variables(t, c)
+    features = [x for x in _features(rows) if x not in a.drop]
+    return studies.task_studies(rows, features, balance=a.balance, tuned=studies.TUNED, k=a.neighbours, m=a.border,
+                                trees=a.trees)
+
+
+def _before_after(part: int):
+    def run(t, c, a):
+        rows = tables.task(tables.activity_baseline(t, c), a.task)
+        return studies.before_after_study(rows, _features(rows), trees=a.trees, k=a.neighbours, whole=a.whole)[part]
+
+    return run
+
+
+def _ablation(t, c, a):
+    rows = _warning_rows(t, c, a)
+    return studies.ablation(rows, _features(rows), a.drop_sets, trees=a.trees)
+
+
 def _search(t, c, a):
     rows = _warning_rows(t, c, a)
     return studies.tuned_forest(rows, _features(rows), param_grid(**a.grid))[1]
@@ -71,7 +98,7 @@ def _tree(table, test):
     def run(t, c, a):
         rows = tables.task(table(t, c), a.task)
         rows = keep(rows, [x for x in rows.columns if x != "lesson_time"])
-        return studies.tree_report(rows, _features(rows), test=test, max_depth=5)[0]
+        return studies.tree_report(rows, _features(rows), test=test, max_depth=a.depth, min_leaf=a.leaf)[0]
 
     return run
 
@@ -91,6 +118,11 @@ STUDIES: dict[str, Study] = {
     "warning_table": _warning_rows,
     "warning_models": _models,
     "warning_search": _search,
+    "course_study": _course_study,
+    "all_variables_study": _all_variables_study,
+    "before_after_study": _before_after(0),
+    "before_after_predictions": _before_after(1),
+    "ablation": _ablation,
     "all_variables": lambda t, c, a: tables.all_variables(t, c),
     "histograms": lambda t, c, a: summary.histogram_by(
         tables.task(tables.all_variables(t, c), a.task), "grade", ["absence_time", *FACTORS]),
@@ -124,6 +156,13 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--drop", nargs="*", default=[], help="variables to leave out")
     p.add_argument("--trees", type=int, default=100)
     p.add_argument("--neighbours", type=int, default=5)
+    p.add_argument("--border", type=int, default=10, help="neighbours that tell whether a row is at the border")
+    p.add_argument("--balance", choices=["borderline", "plain"], default="borderline")
+    p.add_argument("--repeats", type=int, default=0, help="shuffles of each variable for permutation importances")
+    p.add_argument("--whole", action="store_true", help="balance all rows before they are split")
+    p.add_argument("--depth", type=int, default=5, help="of a tree")
+    p.add_argument("--leaf", type=int, default=1, help="least rows in a leaf of a tree")
+    p.add_argument("--drop-sets", type=json.loads, default={}, help="JSON: name of a variant to the variables it leaves out")
     p.add_argument("--classes", nargs="*", default=[], help="class codes, for class_correlation")
     p.add_argument("--day", help="snapshot day, for class_correlation")
     p.add_argument("--grid", type=json.loads, default=GRID, help="JSON: values to try for each forest parameter")
