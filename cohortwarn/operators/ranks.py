@@ -170,8 +170,9 @@ def quantiles_of(df: DataFrame, by: Sequence[str], cols: Sequence[str], probs: S
         F.max(F.when(F.col("_j") == j, F.col("_lo"))).alias(name) for j, name in enumerate(("_a", "_b"))])
     value = F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_at") - F.floor("_at"))
     names, shares = (F.array(*map(F.lit, x)) for x in (cols, map(float, probs)))
-    return ends.select(*by, F.element_at(names, F.col("_c") + 1).alias("variable"),
-                       F.element_at(shares, F.col("_i") + 1).alias("prob"), value.alias("value"))
+    out = ends.select(*by, F.element_at(names, F.col("_c") + 1).alias("variable"),
+                      F.element_at(shares, F.col("_i") + 1).alias("prob"), value.alias("value"))
+    return out if len(found) == 1 else stable(out, "quantiles")
 
 
 def quantiles(df: DataFrame, by: Sequence[str], col: str, probs: Sequence[float]) -> DataFrame:

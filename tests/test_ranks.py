@@ -106,7 +106,7 @@ def test_a_hot_group_is_counted_before_the_shuffle(spark, monkeypatch):
         df._jdf.queryExecution().optimizedPlan().toString()) or real(df, name))
     df = spark.range(50_000).select(F.when(F.col("id") % 3 > 0, "hot").otherwise("cold").alias("g"), F.rand(5).alias("v"))
     ranks.quantiles(df, ["g"], "v", [0.5]).collect()
-    assert 2 <= len(seen) <= 4
+    assert 2 <= len(seen) <= 5
     for plan in seen:
         # Windows and lists stand above the count only.
         below = plan[plan.index("Aggregate [g"):]
