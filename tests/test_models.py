@@ -1,5 +1,8 @@
+from threading import Barrier, get_ident
+
 import numpy as np
 import pytest
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import functions as F
 
 from cohortwarn.operators import evaluate, models
@@ -90,6 +93,29 @@ def test_permutation_importance(study, forest):
     assert got["x"].importance_std >= 0
 
 
+def test_fits_of_a_grid_share_no_local_properties(people, monkeypatch):
+    """Spark keeps the number of the running query there; a fit fails when another one clears it."""
+    real, sc, met, seen = RandomForestClassifier.fit, people.sparkSession.sparkContext, Barrier(2), []
+
+    def fit(self, rows, params=None):
+        if params and len(seen) < 2:
+            mine = str(get_ident())
+            sc.setLocalProperty("cohortwarn.fit", mine)
+            met.wait(60)
+            seen.append(sc.getLocalProperty("cohortwarn.fit") == mine)
+            met.wait(60)
+        return real(self, rows, params)
+
+    monkeypatch.setattr(RandomForestClassifier, "fit", fit)
+    models.grid_search(people, "row_id", ["x", "u"], "label", models.param_grid(trees=[1, 2]), folds=2, parallelism=2)
+    assert seen == [True, True]
+
+
+def test_a_fold_without_rows_is_an_error(people):
+    with pytest.raises(ValueError, match="data at fold . is empty"):
+        models.grid_search(people.limit(2), "row_id", ["x", "u"], "label", models.param_grid(trees=[1]), folds=3)
+
+
 def test_grid_search(people):
     grid = models.param_grid(trees=[3], max_depth=[1, 4])
     model, settings, report = tuned_forest(people, ["x", "u"], grid, folds=3)
