@@ -20,7 +20,7 @@ from cohortwarn.operators.hypotheses import chi2_scores
 from cohortwarn.operators.models import fit_forest, param_grid
 from cohortwarn.plans import studies, tables
 from cohortwarn.plans.tables import FACTORS, Cohort
-from cohortwarn.session import clear_shared
+from cohortwarn.session import clear_shared, stable
 from cohortwarn.sources.folder import SchoolTables
 
 Study = Callable[[object, Cohort, argparse.Namespace], DataFrame]
@@ -80,7 +80,7 @@ def _feature_scores(t, c, a):
 
 
 def _higher_grades(t, c, a):
-    every = tables.early_warning(t, c, scope=a.scope, activity=not a.no_activity)
+    every = stable(tables.early_warning(t, c, scope=a.scope, activity=not a.no_activity), "scores")
     rows = tables.task(every, "EF")
     model = fit_forest(rows, _features(rows), "label", trees=a.trees)
     return higher_grade_check(model, every)

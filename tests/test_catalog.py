@@ -59,3 +59,11 @@ def test_funnel_is_one_pass_per_table(spark, small):
 def test_counts_are_combined_before_the_shuffle(spark, small):
     for name in ("fail_counts", "histogram_by_class", "crosstab", "label_counts"):
         assert "partial_count" in plan(QUERIES[name](spark, small))
+
+
+def test_modelling_rows_are_joined_once(spark, small):
+    """The jobs of a fit, and what is made of the model, read the kept table, not the sources again."""
+    for name in ("tree_of_depth_one", "forest_of_stumps", "permutation_by_stump", "higher_grades_by_stump", "higher_grade_check",
+                 "higher_grades_with_activity", "leaf_rules", "leaf_rules_by_stump"):
+        read = QUERIES[name](spark, small).inputFiles()
+        assert not [f for f in read if f.startswith(f"file://{small}")], name
