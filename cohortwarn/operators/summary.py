@@ -16,6 +16,7 @@ from cohortwarn.operators.dedup import first_per_key
 from cohortwarn.operators.factors import engagement_factors
 from cohortwarn.operators.ranks import quantiles
 from cohortwarn.sources.dictionary import VARIABLE_LABELS
+from cohortwarn.session import stable
 from cohortwarn.sources.tables import read_cohort, read_snapshot
 
 #: Pairs of columns whose moments are summed in one row of a correlation.
@@ -180,8 +181,12 @@ def corr_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 
 
 def describe_by(df: DataFrame, by: str, col: str) -> DataFrame:
-    """Count, mean, standard deviation, extremes and exact quartiles per class."""
+    """Count, mean, standard deviation, extremes and exact quartiles per class.
+
+    The two columns are kept as a table, since every pass of the quartiles reads them.
+    """
     rows = df.select(by, F.when(~is_missing(df, col), F.col(col)).alias(col)).filter(F.col(by).isNotNull())
+    rows = stable(rows, "described")
     v = F.col(col)
     base = rows.groupBy(by).agg(
         F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),

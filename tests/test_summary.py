@@ -93,6 +93,15 @@ def test_histogram_edges(spark, shared):
     assert {b: n for (g, b), n in got.items() if g == "F"} == {2: 1}
 
 
+def test_every_pass_of_describe_reads_a_kept_table(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([("a", 1.0), ("a", 2.5)], "g string, v double").write.parquet(f"{tmp_path}/t")
+    real, read = summary.quantiles, []
+    monkeypatch.setattr(summary, "quantiles", lambda df, *a: read.extend(df.inputFiles()) or real(df, *a))
+    out = summary.describe_by(spark.read.parquet(f"{tmp_path}/t"), "g", "v")
+    assert read and not [f for f in [*read, *out.inputFiles()] if str(tmp_path) in f]
+    assert list(out.first())[1:3] == [2, 1.75]
+
+
 def test_pair_bins_count_complete_pairs(spark):
     df = spark.createDataFrame([("P", 0.0, 0.0), ("P", 1.0, 1.0), ("F", 1.0, None)], "g string, a double, b double")
     assert rows(summary.pair_bins(df, "g", ["a", "b"], 2)) == [("a", "b", "P", 0, 0, 1), ("a", "b", "P", 1, 1, 1)]
