@@ -225,12 +225,14 @@ def histogram_by(df: DataFrame, by: str, cols: Sequence[str], bins: int = 50, sh
     """Equal-width histograms per variable and class.
 
     Each class has its own range, or all classes of a variable share one with
-    ``shared``.  Only bins with rows are listed.
+    ``shared``.  Only bins with rows are listed.  The ranges are found when this is
+    called and kept as a table: Spark then knows its size and sends it to the rows,
+    which else would meet by variable and class, in a few tasks.
     """
     long = _long(df, by, cols).filter(F.col(by).isNotNull())
     group = ["variable"] if shared else ["variable", by]
     lo, hi = _edges(F.min("v"), F.max("v"))
-    ranges = long.groupBy(*group).agg(lo.alias("lo"), hi.alias("hi"))
+    ranges = stable(long.groupBy(*group).agg(lo.alias("lo"), hi.alias("hi")), "ranges")
     width = (F.col("hi") - F.col("lo")) / bins
     return (
         long.join(ranges, group)

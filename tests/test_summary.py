@@ -93,6 +93,15 @@ def test_histogram_edges(spark, shared):
     assert {b: n for (g, b), n in got.items() if g == "F"} == {2: 1}
 
 
+@pytest.mark.parametrize("shared", [False, True])
+def test_ranges_go_to_the_rows(spark, shared):
+    df = spark.range(3_000_000).select((F.col("id") % 2).cast("string").alias("g"), F.col("id").cast("double").alias("v"))
+    out = summary.histogram_by(df, "g", ["v"], 2, shared)
+    text = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+    assert {(r.g, r.bin): r.n for r in out.collect()} == {(g, b): 750_000 for g in "01" for b in (0, 1)}
+
+
 def test_every_pass_of_describe_reads_a_kept_table(spark, tmp_path, monkeypatch):
     spark.createDataFrame([("a", 1.0), ("a", 2.5)], "g string, v double").write.parquet(f"{tmp_path}/t")
     real, read = summary.quantiles, []
