@@ -93,6 +93,20 @@ def test_permutation_importance(study, forest):
     assert got["x"].importance_std >= 0
 
 
+def test_out_of_bag_plan_does_not_grow_with_the_trees(people):
+    sizes = []
+    for trees in (models.TREES_PER_PASS, 3 * models.TREES_PER_PASS):
+        out = models.oob_predictions(people, "row_id", ["x"], "label", trees=trees, max_depth=1)
+        sizes.append(len(out._jdf.queryExecution().analyzed().toString()))
+    assert sizes[1] < 1.5 * sizes[0]
+
+
+def test_bags_in_one_array(spark):
+    df = spark.range(300).select(F.when(F.col("id") > 0, F.col("id")).alias("k"))
+    one = [models.bag_count(42, t, F.col("k")).cast("int") for t in range(12)]
+    assert df.filter(models.bag_array(42, 12, F.col("k")).cast("array<int>") != F.array(*one)).count() == 0
+
+
 def test_fits_of_a_grid_share_no_local_properties(people, monkeypatch):
     """Spark keeps the number of the running query there; a fit fails when another one clears it."""
     real, sc, met, seen = RandomForestClassifier.fit, people.sparkSession.sparkContext, Barrier(2), []
