@@ -95,7 +95,7 @@ def test_permutation_importance(study, forest):
 
 def test_out_of_bag_plan_does_not_grow_with_the_trees(people):
     sizes = []
-    for trees in (models.TREES_PER_PASS, 3 * models.TREES_PER_PASS):
+    for trees in (10, 30):
         out = models.oob_predictions(people, "row_id", ["x"], "label", trees=trees, max_depth=1)
         sizes.append(len(out._jdf.queryExecution().analyzed().toString()))
     assert sizes[1] < 1.5 * sizes[0]
