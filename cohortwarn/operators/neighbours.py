@@ -18,10 +18,11 @@
 
 A :class:`Placement` is made once and answers several lists for the same query
 points in one search, each over all points or those of one class.  In each pass a
-leaf with many query points is split into several groups, so where the query points
-cluster does not matter.
+leaf (or the leaves of one group) with many query points is split into several groups, so where
+the query points cluster does not matter.
 
-No pair of points leaves a task; a task holds one leaf and works in blocks.
+Leaves of fewer than ``LEAF_ROWS`` points share a group, since a group costs more than a small leaf.  No pair of points
+leaves a task; a task holds one group and works in blocks.
 """
 
 from __future__ import annotations
@@ -135,21 +136,35 @@ def _nearest(q: np.ndarray, r: np.ndarray, k: int) -> Iterator[tuple[np.ndarray,
         yield rows[keep] + start, cols[keep], dist[keep]
 
 
+def _runs(leaf: pd.Series) -> dict[int, slice]:
+    """Where each leaf lies among rows in the order of their leaves."""
+    values, first = np.unique(leaf.to_numpy(), return_index=True)
+    return {v: slice(a, b) for v, a, b in zip(values.tolist(), first.tolist(), [*first[1:].tolist(), len(leaf)], strict=True)}
+
+
 def _search(lists: Sequence[tuple[float | None, int]]):
-    """Nearest points within a leaf, for each list (class or None, how many)."""
+    """Nearest points within the own leaf, for each list (class or None, how many); a group holds several leaves."""
     columns = ["_vec", "_list", "_d2", "_key", "_tag", "_nvec"]
 
     def run(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(q) and len(r):
-            r = r.sort_values("_key", kind="stable")
-            points, asked, vecs = _points(r["_vec"]), _points(q["_vec"]), q["_vec"].to_numpy()
+            q, r = q.sort_values("_leaf", kind="stable"), r.sort_values(["_leaf", "_key"], kind="stable")
+            points, asked, tags = _points(r["_vec"]), _points(q["_vec"]), r["_tag"].to_numpy()
+            hosts = _runs(r["_leaf"])
+            runs = [(at, hosts[leaf]) for leaf, at in _runs(q["_leaf"]).items() if leaf in hosts]
             for no, (tag, k) in enumerate(lists):
-                of = np.arange(len(r)) if tag is None else np.flatnonzero(r["_tag"].to_numpy() == tag)
-                for qi, ri, d2 in _nearest(asked, points[of], k) if len(of) else ():
-                    hit = r.iloc[of[ri]]
+                found = []
+                for mine, theirs in runs:
+                    of = np.arange(theirs.start, theirs.stop)
+                    of = of if tag is None else of[tags[of] == tag]
+                    for qi, ri, d2 in _nearest(asked[mine], points[of], k) if len(of) else ():
+                        found.append((qi + mine.start, of[ri], d2))
+                if found:
+                    qi, ri, d2 = (np.concatenate(x) for x in zip(*found, strict=True))
+                    hit = r.iloc[ri]
                     out.append(pd.DataFrame({
-                        "_vec": vecs[qi], "_list": no, "_d2": d2, "_key": hit["_key"].to_numpy(),
+                        "_vec": q["_vec"].to_numpy()[qi], "_list": no, "_d2": d2, "_key": hit["_key"].to_numpy(),
                         "_tag": hit["_tag"].to_numpy(), "_nvec": hit["_vec"].to_numpy(),
                     }))
         if not out:
@@ -237,7 +252,10 @@ class Placement:
         leaf_rows: int = LEAF_ROWS,
         visitors: int = VISITORS,
     ):
-        self.key, self.features, self.most, self.visitors = key, list(features), most, visitors
+        self.key, self.features, self.most = key, list(features), most
+        # Small leaves share a group: so many that a group has about LEAF_ROWS points, and as many times the visitors.
+        self.bundle = max(1, LEAF_ROWS // leaf_rows)
+        self.visitors = visitors * self.bundle
         tag_col = F.col(tag).cast("double") if tag else F.lit(None).cast("double")
         points = _vectors(references, features).select("_vec", F.col(key).alias("_key"), tag_col.alias("_tag"))
         spec = Window.partitionBy("_vec", "_tag").orderBy("_key")
@@ -311,6 +329,7 @@ class Placement:
             parts = max(1, math.ceil(targets.count() / self.visitors))
             guests = targets.withColumn("_slot", F.pmod(F.xxhash64("_vec"), F.lit(parts)).cast("int"))
             hosts = self.placed.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+            guests, hosts = (x.withColumn("_leaf", F.lit(0)) for x in (guests, hosts))
             found = guests.groupBy("_slot").cogroup(hosts.groupBy("_slot")).applyInPandas(_search(wants), schema)
         else:
             targets = stable(self._in_leaves(targets.withColumn("_block", self.route("_vec"))), "targets")
@@ -340,8 +359,9 @@ class Placement:
         return asked.join(merged, "_vec", "left").select(*queries.columns, *columns)
 
     def _search_leaves(self, travel: DataFrame, wants: Sequence[tuple[float | None, int]], schema: str) -> DataFrame:
-        place = ["_block", "_leaf"]
-        return _paired(travel.select("_vec", *place), self.placed, place, self.visitors).applyInPandas(_search(wants), schema)
+        bundle = F.floor(F.col("_leaf") / self.bundle).cast("int").alias("_bundle")
+        guests, hosts = travel.select("_vec", "_block", "_leaf", bundle), self.placed.select("*", bundle)
+        return _paired(guests, hosts, ["_block", "_bundle"], self.visitors).applyInPandas(_search(wants), schema)
 
     @staticmethod
     def _reach(targets: DataFrame, found: DataFrame, need: Sequence[int]) -> DataFrame:
