@@ -6,13 +6,14 @@ code point; with 16 bits it depends on the last 16 code points only.  A chunk en
 an insertion the cuts are soon the same again, in repetitive text too.
 
 A window is the text of ``PASSAGE`` words, with the white space between them.  It holds several whole chunks whose cuts
-follow from its own code points; of these the one with the smallest hash is its anchor, so equal windows have equal
-anchors wherever they stand, and a text has few different anchors.  Anchors are counted over documents.  From a shared
-chunk the texts around it are compared: windows that follow one another with the same anchor are a run, which is
-digested (128 bits).  An anchor that always comes in the same run makes later runs copies as they are; of one that
-comes in different runs all windows are digested, one for each word, and equal windows meet.  Of these the first, by
-doc_id, stays; the others are copies.  The union of overlapping copies is a span, so nothing is lost at its edges or to a
-passage whose parts also stand elsewhere.
+follow from its own code points; of every ``CHUNKS`` in a row (of all, where there are fewer) those with the smallest
+hash are its anchor, so equal windows have equal anchors wherever they stand, and a text has few different anchors.  One
+chunk is often a common word or two, which many texts share; a few in a row seldom are shared by chance.  Anchors are
+counted over documents.  From shared chunks the texts around them are compared: windows that follow one another with the
+same anchor are a run, which is digested (128 bits).  An anchor that always comes in the same run makes later runs
+copies as they are; of one that comes in different runs all windows are digested, one for each word, and equal windows
+meet.  Of these the first, by doc_id, stays; the others are copies.  The union of overlapping copies is a span, so nothing
+is lost at its edges or to a passage whose parts also stand elsewhere.
 """
 
 from __future__ import annotations
@@ -29,8 +30,9 @@ from pyspark.sql.window import Window
 from cohortwarn.llm.common import add_columns, slices
 from cohortwarn.session import stable
 
-#: Words of the shortest passage; places of which the smallest hash ends a chunk; code points that a hash depends on.
-PASSAGE, SPAN, MEMORY = 51, 24, 16
+#: Words of the shortest passage; places of which the smallest hash ends a chunk; code points that a hash depends on;
+#: chunks in a row that are an anchor.
+PASSAGE, SPAN, MEMORY, CHUNKS = 51, 24, 16, 4
 _SPACE = np.array([9, 10, 11, 12, 13, 32], np.uint32)
 
 
@@ -117,9 +119,14 @@ class Windows:
         places = cut_at(codes, self.span)
         number = np.r_[0, np.cumsum(places[1:] != places[:-1])]  # of the cut that a run of places gives
         cuts = places[np.r_[True, places[1:] != places[:-1]]] + 1
-        hashes = _mixed((sums[cuts[1:]] - sums[cuts[:-1]]) * self.inverse[cuts[:-1]])
-        # Only cuts that follow from the window's own code points.
-        return a, b, smallest(hashes, number[a + MEMORY - 1], number[b - self.span]).view(np.int64)
+        # Only cuts that follow from the window's own code points, and as many chunks in a row as lie between them.
+        first, last = number[a + MEMORY - 1], number[b - self.span]
+        joined, out = np.minimum(last - first, CHUNKS), np.empty(len(a), np.uint64)
+        for k in np.unique(joined).tolist():
+            at = np.flatnonzero(joined == k)
+            hashes = _mixed((sums[cuts[k:]] - sums[cuts[:-k]]) * self.inverse[cuts[:-k]])
+            out[at] = smallest(hashes, first[at], last[at] - k + 1)
+        return a, b, out.view(np.int64)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:

@@ -72,6 +72,15 @@ def test_equal_windows_have_equal_anchors(words):
         assert len(found) <= 1
 
 
+def test_texts_of_common_words_seldom_share_anchors():
+    """Texts without a common passage, from few words: their windows are not compared one by one."""
+    rng = random.Random(8)
+    known = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(50)]
+    windows = substring_dedup.Windows()
+    found = [windows.of(" ".join(rng.choice(known) for _ in range(1050)).encode("utf-32-le"))[2] for _ in range(60)]
+    assert np.isin(found[0], np.concatenate(found[1:])).mean() < 0.05
+
+
 def test_planted_passages_are_cut_out(spark):
     rng = random.Random(5)
     texts = [filler(rng, 400) for _ in range(120)]
