@@ -41,6 +41,8 @@ BLOCK = 1024
 READ_AT_ONCE = 256
 #: Pieces that a task keeps with their ids, and the longest of them; others are encoded again.
 KEPT_PIECES, KEPT_LENGTH = 1_000_000, 64
+#: Of the kept pieces, those that are looked up as numbers: how many, and bytes of the longest.
+SHORT_PIECES, SHORT_LENGTH = 1_000_000, 15
 
 
 class Crc32c:
@@ -131,6 +133,79 @@ def unframe(data: bytes, offsets: list[int], where: str) -> list[bytes]:
     return payloads
 
 
+class ShortPieces:
+    """Ids of pieces of up to ``SHORT_LENGTH`` bytes, looked up for many pieces at once.
+
+    A piece is two 64-bit numbers, its bytes and behind them its length, so equal numbers are equal pieces.  They stand
+    in the first free place from the one that their hash names, in tables of twice as many places as pieces are kept.
+    When these are full, all pieces are forgotten.
+    """
+
+    def __init__(self, pieces: int):
+        self.pieces, self.bits = pieces, max(4, (2 * pieces - 1).bit_length())
+        self.first, self.second = np.zeros((2, 1 << self.bits), np.uint64)
+        self.start, self.size = np.zeros(1 << self.bits, np.int64), np.zeros(1 << self.bits, np.uint8)
+        self.ids = np.empty(1 << 16, np.uint32)
+        self.used = self.count = 0
+
+    def forget(self) -> None:
+        self.second[:] = 0
+        self.used = self.count = 0
+
+    def look(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """The place of each piece, or -1."""
+        place, open_ = np.full(len(first), -1), np.arange(len(first))
+        at = self._home(first, second)
+        while len(open_):
+            there = self.second[at]
+            same = (there == second[open_]) & (self.first[at] == first[open_])
+            place[open_[same]] = at[same]
+            on = np.flatnonzero(~same & (there != 0))
+            open_, at = open_[on], (at[on] + 1) & ((1 << self.bits) - 1)
+        return place
+
+    def add(self, first: np.ndarray, second: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        """Different pieces that are not known yet; ``start`` and ``size`` say where their ids stand."""
+        open_, at = np.arange(len(first)), self._home(first, second)
+        self.count += len(first)
+        while len(open_):
+            free = np.flatnonzero(self.second[at] == 0)
+            # Of pieces that want one place the last has it.
+            self.start[at[free]] = open_[free]
+            had = free[self.start[at[free]] == open_[free]]
+            here, got = at[had], open_[had]
+            self.first[here], self.second[here] = first[got], second[got]
+            self.start[here], self.size[here] = start[got], size[got]
+            left = np.ones(len(open_), bool)
+            left[had] = False
+            open_, at = open_[left], (at[left] + 1) & ((1 << self.bits) - 1)
+
+    def put(self, ids: np.ndarray) -> int:
+        """Write ids behind those in use; returns where."""
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.empty(self.used + 2 * len(ids), np.uint32)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        return self.used
+
+    def _home(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        x = (first ^ (first >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + second
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return (x >> np.uint64(64 - self.bits)).astype(np.int64)
+
+
+# Of a number of 8 bytes those that a piece of 0 to 8 bytes has.
+_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _numbers(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of up to 15 bytes as two numbers each."""
+    padded = np.r_[data, np.zeros(16, np.uint8)]
+    words = np.ndarray(len(data) + 9, "<u8", padded, strides=(1,))
+    first = words[starts] & _BYTES[np.minimum(sizes, 8)]
+    second = words[starts + 8] & _BYTES[np.maximum(sizes - 8, 0)]
+    return first, second | sizes.astype(np.uint64) << np.uint64(56)
+
+
 class PieceEncoder:
     """Whole texts as the tokenizers library encodes them, each different piece once.
 
@@ -149,7 +224,8 @@ class PieceEncoder:
         self.odd = "|".join([_OTHER_SPACE, *[re.escape(x) for x in self.special]])
         line = self.library.encode("\n", add_special_tokens=False).ids
         self.line = line[0] if len(line) == 1 else None
-        # Two generations, so that what is used stays when the older half goes.
+        self.short = ShortPieces(SHORT_PIECES)
+        # Longer pieces, in two generations, so that what is used stays when the older half goes.
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -175,17 +251,37 @@ class PieceEncoder:
         if not n:
             return np.zeros(0, np.uint32), [0] * (len(at) - 1)
         starts = np.flatnonzero(_cut(data, at))
-        offsets = np.r_[starts, n].astype(np.int32)
-        pieces = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
-        coded = pieces.dictionary_encode()
-        known = self._look(coded.dictionary.to_pylist())
-        which = coded.indices.to_numpy(zero_copy_only=False)
-        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
-        flat = np.frombuffer(b"".join(known), "<u4")
-        lengths = sizes[which]
-        ends = np.cumsum(lengths)
-        shift = (np.cumsum(sizes) - sizes)[which] - (ends - lengths)
-        ids = flat[np.repeat(shift, lengths) + np.arange(int(ends[-1]))]
+        lengths, short = np.diff(np.r_[starts, n]), self.short
+        if short.count >= short.pieces:
+            short.forget()
+        small = np.flatnonzero(lengths <= SHORT_LENGTH)
+        first, second = _numbers(data, starts[small], lengths[small])
+        place = short.look(first, second)
+        begin, sizes = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        begin[small], sizes[small] = short.start[place], short.size[place]
+        # What is not known as a number: short pieces that are kept from now on, then all others.
+        new = np.flatnonzero(place < 0)
+        rest = np.r_[small[new], np.flatnonzero(lengths > SHORT_LENGTH)]
+        if len(rest):
+            offsets = np.r_[starts, n].astype(np.int32)
+            pieces = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+            coded = pieces.take(pa.array(rest)).dictionary_encode()
+            names, which = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+            # The dictionary is in the order of first appearance.
+            fresh = int(which[: len(new)].max(initial=-1)) + 1
+            found = self._encode(set(names[:fresh]))
+            known = [*map(found.__getitem__, names[:fresh]), *self._look(names[fresh:])]
+            counts = np.fromiter(map(len, known), np.int64, len(known)) // 4
+            behind = np.cumsum(counts) - counts + short.put(np.frombuffer(b"".join(known), "<u4"))
+            begin[rest], sizes[rest] = behind[which], counts[which]
+            if keep := min(fresh, short.pieces - short.count):
+                one = np.zeros(fresh, np.int64)
+                one[which[: len(new)]] = new
+                one = one[:keep]
+                short.add(first[one], second[one], behind[:keep], counts[:keep])
+                short.used += int(counts[:keep].sum())
+        ends = np.cumsum(sizes)
+        ids = short.ids[np.repeat(begin - (ends - sizes), sizes) + np.arange(int(ends[-1]))]
         upto = np.searchsorted(starts, at[1:], "left")
         return ids, np.r_[0, ends][upto].tolist()
 

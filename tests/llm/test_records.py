@@ -33,6 +33,28 @@ def test_any_text_as_the_library(texts):
     assert got == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_known_pieces_are_not_looked_up_one_by_one():
+    texts = ["Some words, and more words.", "a b  c\n", "more Some é"]
+    mine = records.PieceEncoder(PATH)
+    found, looked = mine.encode_all(texts), []
+    mine._look = lambda pieces: looked.extend(pieces) or []
+    assert mine.encode_all(texts) == found and looked == []
+
+
+def test_few_kept_pieces_as_the_library():
+    """Tables of few places: pieces that want the same one, more pieces than are kept, and pieces that were forgotten."""
+    rng = np.random.default_rng(3)
+    letters = list("ab\0é .,\n0")
+    for kept in (1, 8, 40):
+        mine = records.PieceEncoder(PATH)
+        mine.short = records.ShortPieces(kept)
+        for _ in range(30):
+            texts = ["".join(rng.choice(letters, rng.integers(0, 60))) for _ in range(5)] + ["long" * 5 + " longer" * 2]
+            got = [np.frombuffer(x, "<u4").tolist() for x in mine.encode_all(texts)]
+            assert got == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+            assert mine.short.count <= kept
+
+
 def test_frames_and_damage():
     payloads = [records.payload(i or None, np.arange(n, dtype="<u4") * 3) for i, n in enumerate((0, 1, 5, 30_000))]
     framed = records.frame(payloads)
