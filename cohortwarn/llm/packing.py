@@ -62,13 +62,16 @@ def candidates(ids: np.ndarray, doc_ends: np.ndarray, ends: np.ndarray, spacing:
     stops = np.flatnonzero(ends[np.where(known, ids, 0)] & known) + 1
     # Of each stretch of some tokens the last sentence end.
     stops = stops[np.r_[stops[1:] // spacing != stops[:-1] // spacing, True]] if len(stops) else stops
-    at = np.union1d(stops, np.r_[doc_ends, len(ids)])
+    marked = np.zeros(len(ids) + 1, bool)
+    marked[stops] = marked[doc_ends] = marked[len(ids)] = True
+    at = np.flatnonzero(marked)
     gaps = np.diff(np.r_[0, at])
     long = np.flatnonzero(gaps > step)
     counts = (gaps[long] - 1) // step
     begin = np.repeat(at[long] - gaps[long], counts)
     more = begin + step * (np.arange(len(begin)) - np.repeat(np.cumsum(counts) - counts, counts) + 1)
-    cuts = np.union1d(at, more)
+    marked[more] = True
+    cuts = np.flatnonzero(marked)
     charge = np.full(len(cuts), WITHIN)
     charge[np.searchsorted(cuts, stops)] = SENTENCE
     charge[np.searchsorted(cuts, doc_ends)] = 0
@@ -78,33 +81,40 @@ def candidates(ids: np.ndarray, doc_ends: np.ndarray, ends: np.ndarray, spacing:
 def windows(cuts: np.ndarray, charge: np.ndarray, length: int = LENGTH) -> list[int]:
     """The cheapest cuts of the row from 0 to the last of ``cuts``; neighbours are at most ``length`` apart."""
     places = np.r_[0, cuts]
-    # Cuts that lie a power of two before a cut.
-    near: dict[int, list[int]] = {}
-    size = 1
+    # Pairs of a cut and one that lies a power of two before it, in the order of the first.
+    number = np.full(int(places[-1]) + 1, -1)
+    number[places] = np.arange(len(places))
+    later, earlier, size = [], [], 1
     while size <= length:
-        at = np.searchsorted(places, places - size)
-        for j in np.flatnonzero((places[at] == places - size) & (places >= size)).tolist():
-            near.setdefault(j, []).append(int(at[j]))
+        j = np.searchsorted(places, size)
+        at = number[places[j:] - size]
+        hit = np.flatnonzero(at >= 0)
+        later.append(hit + j)
+        earlier.append(at[hit])
         size *= 2
+    later, earlier = np.concatenate(later), np.concatenate(earlier)
+    near = earlier[np.argsort(later, kind="stable")].tolist()
+    upto = np.cumsum(np.bincount(later, minlength=len(places))).tolist()
     where, price = places.tolist(), [0, *charge.tolist()]
-    cost, back = [0] * len(where), [0] * len(where)
-    queue = deque([(0, 0)])  # (f(i) + i, i), best first
-    get = near.get
+    cost, back, best = [0] * len(where), [0] * len(where), [0] * len(where)  # best: f(i) + i
+    queue, n = deque([0]), 0  # cuts, best first
     for j in range(1, len(where)):
         x = where[j]
-        while where[queue[0][1]] < x - length:
+        while where[queue[0]] < x - length:
             queue.popleft()
-        value, i = queue[0]
-        value += length - x
-        for k in get(j, ()):
-            if cost[k] < value:
-                value, i = cost[k], k
+        i = queue[0]
+        value = best[i] + length - x
+        if upto[j] > n:
+            for k in near[n : upto[j]]:
+                if cost[k] < value:
+                    value, i = cost[k], k
+            n = upto[j]
         cost[j] = value = value + WINDOW + price[j]
         back[j] = i
-        value += x
-        while queue and queue[-1][0] > value:
+        best[j] = value = value + x
+        while queue and best[queue[-1]] > value:
             queue.pop()
-        queue.append((value, j))
+        queue.append(j)
     out, j = [], len(where) - 1
     while j:
         out.append(where[j])

@@ -1,4 +1,5 @@
 import random
+import sys
 import zlib
 
 import numpy as np
@@ -66,6 +67,23 @@ def test_cuts_cost_least():
         assert found[-1] == n and cost == brute_windows(cuts, charge, 32)
 
 
+def test_few_calls_for_a_cut():
+    """The search is most of a task's time; where nearly every cut lies a power of two behind another too."""
+    cuts = np.cumsum(np.random.default_rng(2).integers(8, 25, 20_000))
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event == "c_call"
+
+    sys.setprofile(count)
+    try:
+        packing.windows(cuts, np.zeros(len(cuts), int))
+    finally:
+        sys.setprofile(None)
+    assert calls < 3 * len(cuts)
+
+
 def test_candidates_are_ends_and_steps():
     ends = np.zeros(10, bool)
     ends[7] = True
