@@ -33,7 +33,9 @@ from cohortwarn.session import stable
 #: Longest phrase, least occurrences, scores in millionths of this, share (%) from which a longer phrase takes over.
 LONGEST, LEAST, SCALE, ABSORB, TOP = 4, 30, 2_000_000, 80, 2000
 #: Shards of the circle, bytes of text in a slice, bytes of text for a slot, and bounds of the table of slots.
-SHARDS, SLICE, BYTES_A_SLOT, SLOTS = 3, 4 << 20, 256, (16, 26)
+SHARDS, SLICE, BYTES_A_SLOT, SLOTS = 2, 2 << 20, 256, (16, 26)
+#: Rows of counts that a task hands over at once.
+SENT = 1 << 15
 NEVER = 255
 UNKNOWN = "und"
 
@@ -123,8 +125,9 @@ class Words:
         before = np.empty_like(inside)
         before[:1], before[1:] = False, inside[:-1]
         starts = np.flatnonzero(inside & (~before | begun))
-        self.piece = np.cumsum(cut | begun)[starts]
-        ends = np.cumsum(inside)
+        # A slice has fewer bytes than the offsets of an Arrow array can name.
+        self.piece = np.cumsum(cut | begun, dtype=np.int32)[starts]
+        ends = np.cumsum(inside, dtype=np.int32)
         offsets = np.r_[ends[starts] - 1, ends[-1:] if len(ends) else 0].astype(np.int32)
         body = data[inside]
         found = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(body)])
@@ -196,7 +199,9 @@ def count_shard(rows: DataFrame, reached, scan: int, shards: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(reached.value, np.uint8)
         for batch in slices(batches, 1 << 20, SLICE):
-            yield from count(batch, table)
+            for found in count(batch, table):
+                for at in range(0, found.num_rows, SENT):
+                    yield found.slice(at, SENT)
 
     return rows.select("lang", "text").mapInArrow(work, COUNTS)
 

@@ -1,8 +1,10 @@
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm.conftest import read
 
@@ -72,6 +74,18 @@ def test_shared_slots_do_not_change_counts(spark, monkeypatch):
     assert collect(collocations.collocations(df, least=8)) == brute(rows, least=8)
 
 
+def test_memory_of_a_slice():
+    """Words are cut with numbers of 32 bits."""
+    size, text = 2_000_000, "some-longer-words stand-between-blanks. "
+    langs, rows = pa.array(["en"]), pa.array([text * (size // len(text))])
+    tracemalloc.start()
+    try:
+        found = collocations.Words(langs, rows)
+        assert len(found.ids) == 2 * (size // len(text)) and tracemalloc.get_traced_memory()[1] < 20 * size
+    finally:
+        tracemalloc.stop()
+
+
 def test_keys_go_back_to_columns():
     rng = np.random.default_rng(1)
     for size in (3, 1 << 20, 1 << 31):
