@@ -33,7 +33,7 @@ from cohortwarn.session import stable
 #: Longest phrase, least occurrences, scores in millionths of this, share (%) from which a longer phrase takes over.
 LONGEST, LEAST, SCALE, ABSORB, TOP = 4, 30, 2_000_000, 80, 2000
 #: Shards of the circle, bytes of text in a slice, bytes of text for a slot, and bounds of the table of slots.
-SHARDS, SLICE, BYTES_A_SLOT, SLOTS = 2, 2 << 20, 256, (16, 26)
+SHARDS, SLICE, BYTES_A_SLOT, SLOTS = 2, 4 << 20, 256, (16, 26)
 #: Rows of counts that a task hands over at once.
 SENT = 1 << 15
 NEVER = 255
@@ -60,8 +60,7 @@ def joined_hash(left: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 def word_hashes(langs: list[str], words: list[bytes]) -> np.ndarray:
     seeds = {x: xxhash.xxh64_intdigest(x.encode()) for x in set(langs)}
-    return np.fromiter((xxhash.xxh64_intdigest(w, seeds[x]) for x, w in zip(langs, words, strict=True)), np.uint64,
-                       len(words))
+    return np.fromiter(map(xxhash.xxh64_intdigest, words, map(seeds.__getitem__, langs)), np.uint64, len(words))
 
 
 def phrase_hashes(langs: list[str], phrases: list[str]) -> np.ndarray:
