@@ -45,7 +45,8 @@ SAMPLE_ROWS = 4096
 # Boxes that the first round of visits may go to.
 FIRST_BOXES = 4
 VISITORS = 8192
-_CELLS = 2_000_000
+# Entries of a distance table; small enough for a core's cache.
+_CELLS = 65_536
 
 
 def _vectors(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -121,11 +122,15 @@ def _nearest(q: np.ndarray, r: np.ndarray, k: int) -> Iterator[tuple[np.ndarray,
     """
     k = min(k, len(r))
     size = _block(len(r))
+    columns = np.ascontiguousarray(r.T)
+    table, side = np.empty((2, min(size, len(q)), len(r)))
     for start in range(0, len(q), size):
         block = q[start : start + size]
-        d2 = np.zeros((len(block), len(r)))
+        d2, gap = table[: len(block)], side[: len(block)]
+        d2[:] = 0.0
         for j in range(q.shape[1]):
-            d2 += (block[:, j, None] - r[None, :, j]) ** 2
+            np.subtract(block[:, j, None], columns[j], out=gap)
+            d2 += np.square(gap, out=gap)
         kth = np.partition(d2, k - 1, axis=1)[:, k - 1]
         rows, cols = np.nonzero(d2 <= kth[:, None])
         dist = d2[rows, cols]

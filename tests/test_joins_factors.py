@@ -118,3 +118,35 @@ def test_factors_are_finite(spark):
     df = spark.createDataFrame([("c", 1e308), ("c", 1e-10), ("c", 1e-10), ("d", float("inf"))], "course string, x double")
     out = factors.relative_factors(df, ["course"], {"f": "x"})
     assert sorted(r.f for r in out.collect() if r.f is not None) == [1.0, 1.0]
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_all_variables_leaves_out_students_without_activity_before_the_joins_fan_out(spark):
+    from types import SimpleNamespace
+
+    from cohortwarn.plans import tables
+
+    t = SimpleNamespace(
+        grades=spark.createDataFrame(
+            [(1, "s1", "M1", "A"), (2, "s1", "M1", "F"), (3, "s2", "M1", "E"), (4, None, "M1", "B")],
+            "id long, student_id string, course string, grade string"),
+        absence=spark.createDataFrame(
+            [(1, "s1", "M1", 2020, 5.0), (2, "s1", "M1", 2020, None), (3, "s2", "M1", 2020, 1.0), (4, None, "M1", 2020, 2.0),
+             (5, "s1", "M2", 2020, 9.0)],
+            "id long, student_id string, course string, school_year int, absence_time double"),
+        diagnostics=spark.createDataFrame(
+            [("s1", 1.0, "10%"), ("s2", 2.0, "20%"), (None, 3.0, "30%")],
+            "student_id string, math_score double, english_total string"),
+        activity=spark.createDataFrame(
+            [(1, "s1", "M1-A", "2024-01-15", 4, 2, 1, 1, 1), (2, "s1", "M1-A", "2024-01-15", 2, 2, 1, 1, 1),
+             (3, "s2", "M1-A", "2024-01-16", 2, 2, 1, 1, 1), (4, None, "M1-A", "2024-01-15", 3, 2, 1, 1, 1)],
+            "id long, student_id string, course string, snapshot_date string, page_views int, participations int, missing int, "
+            "on_time int, late int"))
+    out = tables.all_variables(t, tables.Cohort("M1", "M1", "01-15", exact=True))
+    # Every grade with every absence record and every activity row of the one student who has all of them.
+    assert sorted(r.row_id for r in out.collect()) == sorted(
+        f"{g}-2020-{a}-{e}" for g in (1, 2) for a in (1, 2) for e in (1, 2))
+    assert optimized(out).count("LeftSemi") == 2

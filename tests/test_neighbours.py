@@ -180,3 +180,17 @@ def test_small_leaves_share_a_group(spark, cloud):
     assert got == {(0.0, 0): [3], (5.0, 0): [0], (0.0, 1): [1], (5.0, 1): [0, 2]}
     placed = neighbours.Placement(spark.createDataFrame(cloud), "k", ["a", "b"], 3, leaf_rows=16, visitors=8)
     assert placed.bundle == neighbours.LEAF_ROWS // 16 and placed.visitors == 8 * placed.bundle
+
+
+def test_distance_tables_fit_a_cache_and_cuts_of_queries_do_not_matter():
+    from cohortwarn.operators import neighbours
+
+    rng = np.random.default_rng(3)
+    q, r = rng.integers(0, 4, (150, 3)).astype(float), rng.integers(0, 4, (neighbours.LEAF_ROWS, 3)).astype(float)
+    assert neighbours._block(len(r)) * len(r) * 8 <= 1 << 20
+    found = [np.concatenate(x) for x in zip(*neighbours._nearest(q, r, 3), strict=True)]
+    d2 = ((q[:, None, :] - r[None, :, :]) ** 2).sum(axis=2)
+    want = np.argsort(d2, axis=1, kind="stable")[:, :3]
+    assert (found[0] == np.repeat(np.arange(len(q)), 3)).all()
+    assert (found[1] == want.ravel()).all()
+    assert (found[2] == np.take_along_axis(d2, want, axis=1).ravel()).all()
