@@ -124,6 +124,24 @@ def optimized(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_absence_is_one_row_per_student_and_course_before_it_meets_the_grades(spark):
+    grades = spark.createDataFrame(
+        [(1, "s1", "M1", "A"), (2, "s2", "M1b", "E"), (3, None, "M1", "B"), (4, "s1", "M1", "F")],
+        "id long, student_id string, course string, grade string")
+    absence = spark.createDataFrame(
+        [("s1", "M1", 2020, 5.0), ("s1", "M1", 2019, 7.0), ("s1", "M1", 2019, 7.0), ("s1", "M1b", 2000, 1.0), ("s1", "M1", None, 2.0),
+         ("s2", "M1", 2001, 3.0), ("s2", "M1b", 2002, None), ("s2", "M1b", None, 4.0), (None, "M1", 1999, 6.0)],
+        "student_id string, course string, year int, absence double")
+    diag = spark.createDataFrame([("s1", 1.0), ("s2", 2.0), (None, 3.0)], "student_id string, math double")
+    for exact in (True, False):
+        out = joins.cohort_features(grades, absence, diag, "M1", ["year"], exact=exact)
+        # The first lower-case code is the same course as ``M1``; a year that is missing comes last.
+        got = sorted(((r.student_id, r.grade, r.absence) for r in out.collect()), key=str)
+        assert got == [("s1", "A", 7.0), ("s2", "E", None)]
+        plan = optimized(out)
+        assert "_code" in plan[plan.index("LeftSemi"):].split("Window [", 2)[1].split("\n")[0]
+
+
 def test_all_variables_leaves_out_students_without_activity_before_the_joins_fan_out(spark):
     from types import SimpleNamespace
 
