@@ -13,7 +13,8 @@
 4. Nearest boxes: a query point visits the few leaves of its block with the nearest
    bounding boxes, if these are not farther away than its best distance so far.
 5. Other leaves: with the distance found by then, it visits the blocks, and in them
-   the leaves, that may still hold something nearer.
+   the leaves, that may still hold something nearer.  A visitor brings the distance of
+   each of its lists, and only what is as near comes back; a task merges the leaves it holds.
 6. The lists are merged by distance, then key.
 
 A :class:`Placement` is made once and answers several lists for the same query
@@ -47,6 +48,8 @@ FIRST_BOXES = 4
 VISITORS = 8192
 # Entries of a distance table; small enough for a core's cache.
 _CELLS = 65_536
+# Leaves of up to so many points are searched many at once, pair by pair, and so many pairs are held.
+_SMALL, _PAIRS = 256, 262_144
 
 
 def _vectors(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -141,35 +144,72 @@ def _nearest(q: np.ndarray, r: np.ndarray, k: int) -> Iterator[tuple[np.ndarray,
         yield rows[keep] + start, cols[keep], dist[keep]
 
 
-def _runs(leaf: pd.Series) -> dict[int, slice]:
-    """Where each leaf lies among rows in the order of their leaves."""
-    values, first = np.unique(leaf.to_numpy(), return_index=True)
-    return {v: slice(a, b) for v, a, b in zip(values.tolist(), first.tolist(), [*first[1:].tolist(), len(leaf)], strict=True)}
+def _first_of_each(qi: np.ndarray, ri: np.ndarray, d2: np.ndarray, rank: np.ndarray, k: int):
+    """The k best pairs of each query row, by distance, then rank."""
+    order = np.lexsort((rank[ri], d2, qi))
+    qi, ri, d2 = qi[order], ri[order], d2[order]
+    keep = np.arange(len(qi)) - np.searchsorted(qi, qi) < k
+    return qi[keep], ri[keep], d2[keep]
+
+
+def _pairs(asked: np.ndarray, points: np.ndarray, qi: np.ndarray, start: np.ndarray, size: np.ndarray):
+    """Parts of (query row, reference row, squared distance): each query row with the run of references it visits."""
+    upto = np.cumsum(size)
+    at = 0
+    while at < len(qi):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + _PAIRS, side="right")))
+        n = size[at:end]
+        before = np.cumsum(n) - n
+        rows = np.repeat(qi[at:end], n)
+        of = np.arange(n.sum()) + np.repeat(start[at:end] - before, n)
+        d2 = np.zeros(len(rows))
+        for j in range(points.shape[1]):
+            d2 += np.square(asked[rows, j] - points[of, j])
+        yield rows, of, d2
+        at = end
 
 
 def _search(lists: Sequence[tuple[float | None, int]]):
-    """Nearest points within the own leaf, for each list (class or None, how many); a group holds several leaves."""
+    """Nearest points within the visited leaves, for each list (class or None, how many); a group holds several leaves.
+
+    A query point has a row with its own leaf, or with ``_leaves``, all those it visits in the group, and ``_bounds``, the
+    distance beyond which nothing is wanted in each list.
+    """
     columns = ["_vec", "_list", "_d2", "_key", "_tag", "_nvec"]
 
     def run(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(q) and len(r):
-            q, r = q.sort_values("_leaf", kind="stable"), r.sort_values(["_leaf", "_key"], kind="stable")
-            points, asked, tags = _points(r["_vec"]), _points(q["_vec"]), r["_tag"].to_numpy()
-            hosts = _runs(r["_leaf"])
-            runs = [(at, hosts[leaf]) for leaf, at in _runs(q["_leaf"]).items() if leaf in hosts]
-            for no, (tag, k) in enumerate(lists):
-                found = []
-                for mine, theirs in runs:
-                    of = np.arange(theirs.start, theirs.stop)
-                    of = of if tag is None else of[tags[of] == tag]
-                    for qi, ri, d2 in _nearest(asked[mine], points[of], k) if len(of) else ():
-                        found.append((qi + mine.start, of[ri], d2))
-                if found:
-                    qi, ri, d2 = (np.concatenate(x) for x in zip(*found, strict=True))
+            r = r.sort_values("_key", kind="stable", na_position="first").assign(_rank=np.arange(len(r)))
+            r = r.sort_values("_leaf", kind="stable")
+            points, asked, tags, rank = _points(r["_vec"]), _points(q["_vec"]), r["_tag"].to_numpy(), r["_rank"].to_numpy()
+            bounds = _points(q["_bounds"]) if "_bounds" in q else np.full((len(q), len(lists)), np.inf)
+            leaves = q["_leaves"].to_numpy() if "_leaves" in q else q["_leaf"].to_numpy()[:, None]
+            leaf, qi = np.concatenate(leaves), np.repeat(np.arange(len(q)), [len(x) for x in leaves])
+            held, first, sizes = np.unique(r["_leaf"].to_numpy(), return_index=True, return_counts=True)
+            at = np.minimum(np.searchsorted(held, leaf), len(held) - 1)
+            qi, at = qi[held[at] == leaf], at[held[at] == leaf]
+            found = [[] for _ in lists]
+            small = sizes[at] <= _SMALL
+            for rows, of, d2 in _pairs(asked, points, qi[small], first[at[small]], sizes[at[small]]):
+                for no, (tag, k) in enumerate(lists):
+                    near = d2 <= bounds[rows, no]
+                    if tag is not None:
+                        near &= tags[of] == tag
+                    found[no].append(_first_of_each(rows[near], of[near], d2[near], rank, k))
+            for run_ in np.unique(at[~small]):
+                mine, of_leaf = qi[at == run_], np.arange(first[run_], first[run_] + sizes[run_])
+                for no, (tag, k) in enumerate(lists):
+                    of = of_leaf if tag is None else of_leaf[tags[of_leaf] == tag]
+                    for rows, ri, d2 in _nearest(asked[mine], points[of], k) if len(of) else ():
+                        near = d2 <= bounds[mine[rows], no]
+                        found[no].append((mine[rows[near]], of[ri[near]], d2[near]))
+            for no, (_, k) in enumerate(lists):
+                if found[no]:
+                    qs, ri, d2 = _first_of_each(*(np.concatenate(x) for x in zip(*found[no], strict=True)), rank, k)
                     hit = r.iloc[ri]
                     out.append(pd.DataFrame({
-                        "_vec": q["_vec"].to_numpy()[qi], "_list": no, "_d2": d2, "_key": hit["_key"].to_numpy(),
+                        "_vec": q["_vec"].to_numpy()[qs], "_list": no, "_d2": d2, "_key": hit["_key"].to_numpy(),
                         "_tag": hit["_tag"].to_numpy(), "_nvec": hit["_vec"].to_numpy(),
                     }))
         if not out:
@@ -207,26 +247,35 @@ def _blocks_in_reach(boxes: pd.DataFrame):
     return run
 
 
-def _leaves_in_reach(first: bool):
-    """For query points in one block: its leaves that may hold a nearer point, the nearest boxes or the rest."""
+def _leaves_in_reach(first: bool, bundle: int):
+    """For query points in one block: its leaves that may hold a nearer point, the nearest boxes or the rest.
+
+    One row for each query point and bundle of leaves: ``_leaves``, and the first of them as ``_leaf``.
+    """
 
     def run(q: pd.DataFrame, boxes: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"_vec": [], "_block": [], "_leaf": []}, dtype=object)]
+        out = [pd.DataFrame({"_vec": [], "_block": [], "_leaf": [], "_leaves": [], "_bounds": []}, dtype=object)]
         if len(q) and len(boxes):
+            boxes = boxes.sort_values("_leaf")  # one order in both rounds, however the boxes arrive
             leaf, at = boxes["_leaf"].to_numpy(), int(boxes["_block"].iloc[0])
             lo, hi = np.stack(boxes["_lo"].to_numpy()), np.stack(boxes["_hi"].to_numpy())
             for start in range(0, len(q), _block(len(leaf))):
                 part = q.iloc[start : start + _block(len(leaf))]
                 gap = _gaps(_points(part["_vec"]), lo, hi)
-                home = part["_block"].to_numpy()[:, None] == at
-                own = home & (leaf[None, :] == part["_leaf"].to_numpy()[:, None])
+                home = part["_block"].to_numpy() == at
+                own = home[:, None] & (leaf[None, :] == part["_leaf"].to_numpy()[:, None])
                 # Round one went to the nearest boxes of the point's own block.
-                order = np.argsort(np.where(own, np.inf, gap), axis=1, kind="stable")[:, :FIRST_BOXES]
+                order = np.argsort(np.where(own[home], np.inf, gap[home]), axis=1, kind="stable")[:, :FIRST_BOXES]
                 nearest = np.zeros_like(own)
-                np.put_along_axis(nearest, order, True, axis=1)
-                nearest &= home
+                nearest[np.flatnonzero(home)[:, None], order] = True
                 rows, cols = np.nonzero(_within(gap, part["_reach"]) & ~own & (nearest if first else ~nearest))
-                out.append(pd.DataFrame({"_vec": part["_vec"].to_numpy()[rows], "_block": at, "_leaf": leaf[cols]}))
+                if len(rows):
+                    held = leaf[cols] // bundle
+                    begin = np.flatnonzero((np.diff(rows, prepend=-1) != 0) | (np.diff(held, prepend=-1) != 0))
+                    out.append(pd.DataFrame({
+                        "_vec": part["_vec"].to_numpy()[rows[begin]], "_block": at, "_leaf": leaf[cols[begin]],
+                        "_leaves": np.split(leaf[cols], begin[1:]), "_bounds": part["_bounds"].to_numpy()[rows[begin]],
+                    }))
         return pd.concat(out, ignore_index=True)
 
     return run
@@ -343,10 +392,12 @@ class Placement:
                 found = stable(found, "found")
                 reach = self._reach(targets, found, need)
                 at = reach.withColumn("_at", F.col("_block")) if first else reach.mapInPandas(
-                    _blocks_in_reach(self.block_boxes), "_vec array<double>, _block int, _leaf int, _reach double, _at int")
+                    _blocks_in_reach(self.block_boxes),
+                    "_vec array<double>, _block int, _leaf int, _bounds array<double>, _reach double, _at int")
                 boxes = self.boxes.withColumn("_at", F.col("_block"))
                 visits = _paired(stable(at, "at"), boxes, ["_at"], self.visitors).applyInPandas(
-                    _leaves_in_reach(first), "_vec array<double>, _block int, _leaf int")
+                    _leaves_in_reach(first, self.bundle),
+                    "_vec array<double>, _block int, _leaf int, _leaves array<int>, _bounds array<double>")
                 found = found.unionByName(self._search_leaves(stable(visits, "visits"), wants, schema))
 
         best = Window.partitionBy("_vec", "_list").orderBy("_d2", "_key")
@@ -365,18 +416,21 @@ class Placement:
 
     def _search_leaves(self, travel: DataFrame, wants: Sequence[tuple[float | None, int]], schema: str) -> DataFrame:
         bundle = F.floor(F.col("_leaf") / self.bundle).cast("int").alias("_bundle")
-        guests, hosts = travel.select("_vec", "_block", "_leaf", bundle), self.placed.select("*", bundle)
+        guests, hosts = travel.select("*", bundle), self.placed.select("*", bundle)
         return _paired(guests, hosts, ["_block", "_bundle"], self.visitors).applyInPandas(_search(wants), schema)
 
     @staticmethod
     def _reach(targets: DataFrame, found: DataFrame, need: Sequence[int]) -> DataFrame:
-        """Query points with the distance within which a point missing in any list would have to lie."""
+        """Query points with the distance within which a point missing in a list would have to lie, and in any list."""
         enough = F.element_at(F.array(*[F.lit(x) for x in need]), F.col("_list") + 1)
         by_rank = Window.partitionBy("_vec", "_list").orderBy("_d2")
         best = found.select("_vec", "_list", "_d2").withColumn("_rn", F.row_number().over(by_rank)).filter(F.col("_rn") <= enough)
         full = best.groupBy("_vec", "_list").agg(F.max("_d2").alias("_far"), F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= enough)
-        reach = full.groupBy("_vec").agg(F.when(F.count(F.lit(1)) >= sum(x > 0 for x in need), F.max("_far")).alias("_reach"))
-        return targets.join(reach, "_vec", "left").na.fill(float("inf"), ["_reach"])
+        reach = full.groupBy("_vec").agg(*[F.max(F.when(F.col("_list") == i, F.col("_far"))).alias(f"_far{i}") for i in range(len(need))])
+        # A list without any point has nothing to look for.
+        bounds = F.array(*[F.coalesce(f"_far{i}", F.lit(float("inf"))) if x else F.lit(-1.0) for i, x in enumerate(need)])
+        return targets.join(reach, "_vec", "left").select(*targets.columns, bounds.alias("_bounds")).withColumn(
+            "_reach", F.array_max("_bounds"))
 
 
 def nearest_neighbours(

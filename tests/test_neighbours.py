@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from cohortwarn.operators import smote
+from cohortwarn.operators import neighbours, smote
 from cohortwarn.operators.neighbours import nearest_neighbours
 
 
@@ -194,3 +194,32 @@ def test_distance_tables_fit_a_cache_and_cuts_of_queries_do_not_matter():
     assert (found[0] == np.repeat(np.arange(len(q)), 3)).all()
     assert (found[1] == want.ravel()).all()
     assert (found[2] == np.take_along_axis(d2, want, axis=1).ravel()).all()
+
+
+def test_a_visit_brings_back_what_is_within_its_bounds_only():
+    """Leaves of one group, small and large, answer a query together: k rows of each list at most, none beyond its bound."""
+    rng = np.random.default_rng(3)
+    n = 2 * neighbours._SMALL + 40
+    r = pd.DataFrame({"_vec": list(rng.integers(0, 30, (n, 2)) * 1.0), "_key": rng.permutation(n), "_tag": rng.integers(0, 2, n) * 1.0,
+                      "_leaf": np.where(np.arange(n) < neighbours._SMALL + 20, 0, rng.integers(1, 8, n))})
+    bounds = [9.0, 4.0]
+    asked = [np.array([3.0 * i, 29.0 - i]) for i in range(10)]
+    q = pd.DataFrame({"_vec": asked, "_leaf": 0, "_leaves": [np.arange(8)] * 10, "_bounds": [np.array(bounds)] * 10})
+    got = neighbours._search([(None, 5), (1.0, 3)])(q, r)
+    points = np.stack(r["_vec"])
+    for v in asked:
+        d2 = ((points - v) ** 2).sum(axis=1)
+        for no, (of, k) in enumerate(((d2 <= 9, 5), ((d2 <= 4) & (r["_tag"] == 1), 3))):
+            want = sorted(zip(d2[of], r["_key"][of], strict=True))[:k]
+            here = got[(got["_list"] == no) & got["_vec"].map(lambda x, v=v: tuple(x) == tuple(v))]
+            assert sorted(zip(here["_d2"], here["_key"], strict=True)) == want
+
+
+def test_two_rounds_visit_every_leaf_once_in_whatever_order_boxes_arrive():
+    """Eight boxes equally far away: the second round has to know which of them the first one went to."""
+    boxes = pd.DataFrame({"_block": 0, "_leaf": range(9), "_lo": [np.zeros(2)] * 9, "_hi": [np.ones(2)] * 9})
+    q = pd.DataFrame({"_vec": [np.full(2, 0.5)], "_block": 0, "_leaf": 4, "_reach": 1.0, "_bounds": [np.ones(1)]})
+    seen = []
+    for first, given in ((True, boxes), (False, boxes[::-1].reset_index(drop=True))):
+        seen += [x for leaves in neighbours._leaves_in_reach(first, 3)(q, given)["_leaves"] for x in leaves]
+    assert sorted(seen) == [0, 1, 2, 3, 5, 6, 7, 8]
